@@ -69,11 +69,14 @@ def running_totals(
     return out.select(*df.columns, *sums)
 
 
-def attach(rows: DataFrame, facts: DataFrame, on: Sequence[str], how: str = "inner", salts: int = 16):
+def attach(
+    rows: DataFrame, facts: DataFrame, on: Sequence[str], how: str = "inner", salts: int = 4
+) -> DataFrame:
     """Join one narrow fact per key onto many rows.
 
-    The rows of one key are salted over ``salts`` tasks and the facts repeated per salt,
-    so a key with a large share of the rows is not one task.
+    The rows of a key are salted and the facts repeated per salt. The salt splits a key with a
+    large share of the rows, and since it makes both sides shuffle for the join itself (the facts
+    usually come from an aggregate on the same key), adaptive skew handling can split it further.
     """
     salt = F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")
     spread = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

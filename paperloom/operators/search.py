@@ -205,6 +205,7 @@ def resolve_labels(cells: DataFrame, requests: DataFrame) -> DataFrame:
     labels = cells.select(
         "doc_id", F.col("table_idx").alias("t"), "row", "col", "row_span", "col_span", key.alias("key")
     )
+    requests = requests.select("doc_id", "request_no", "label", "direction", "table_idx")
     asked = requests.withColumn("key", nfc(trim_ws(F.col("label"))))
     matches = (
         asked.join(labels, ["doc_id", "key"])
