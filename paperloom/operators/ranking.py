@@ -36,37 +36,48 @@ def cap(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int) -> Da
     )
 
 
-def running_totals(
+def running(
     df: DataFrame,
     by: Sequence[str],
     order: Sequence[str],
-    bucket: Column,
-    sums: dict[str, Column],
+    buckets: dict[str, Column] | None = None,
+    sums: dict[str, Column] | None = None,
+    maxes: dict[str, Column] | None = None,
+    inclusive: bool = True,
 ) -> DataFrame:
-    """Running sums (current row included) per ``by`` in ``order``.
+    """Running sums and maxima per ``by`` in ``order``.
 
-    ``bucket`` must not decrease with ``order``. Rows are summed per (group, bucket), the
-    bucket sums are accumulated, and each bucket then runs on its own, so a group
-    that holds a large share of the table is spread over its buckets.
+    ``buckets`` name expressions from coarse to fine that do not decrease with ``order``. Rows are
+    reduced per (group, buckets), the reduced rows run first, and every bucket then runs on its own
+    with what was carried into it. A group that holds a large share of the table is thus spread
+    over its buckets instead of being one task.
     """
-    keys = [*by, "_bucket"]
-    staged = df.withColumn("_bucket", bucket)
-    for name, value in sums.items():
-        staged = staged.withColumn(f"_v_{name}", value)
-    per_bucket = staged.groupBy(*keys).agg(
-        *[F.sum(f"_v_{name}").alias(f"_s_{name}") for name in sums]
+    sums, maxes, buckets = sums or {}, maxes or {}, buckets or {}
+    end = Window.currentRow if inclusive else -1
+    staged = df.withColumns({f"_v_{n}": v for n, v in {**sums, **maxes}.items()} | buckets)
+    keys = [*by, *buckets]
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    local = {n: F.coalesce(F.sum(f"_v_{n}").over(w), F.lit(0)) for n in sums}
+    local |= {n: F.max(f"_v_{n}").over(w) for n in maxes}
+    if not buckets:
+        return staged.withColumns(local).select(*df.columns, *sums, *maxes)
+    reduced = staged.groupBy(*keys).agg(
+        *[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in sums],
+        *[F.max(f"_v_{n}").alias(f"_s_{n}") for n in maxes],
     )
-    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_bucket.select(
-        *keys, *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in sums]
-    )
-    within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    carried = running(
+        reduced,
+        by,
+        list(buckets),
+        {b: F.col(b) for b in list(buckets)[:-1]},
+        {f"_c_{n}": F.col(f"_s_{n}") for n in sums},
+        {f"_c_{n}": F.col(f"_s_{n}") for n in maxes},
+        inclusive=False,
+    ).drop(*[f"_s_{n}" for n in (*sums, *maxes)])
     out = staged.join(carried, keys)
-    for name in sums:
-        out = out.withColumn(
-            name, F.col(f"_c_{name}") + F.coalesce(F.sum(f"_v_{name}").over(within), F.lit(0))
-        )
-    return out.select(*df.columns, *sums)
+    total = {n: local[n] + F.col(f"_c_{n}") for n in sums}
+    total |= {n: F.greatest(local[n], F.col(f"_c_{n}")) for n in maxes}
+    return out.withColumns(total).select(*df.columns, *sums, *maxes)
 
 
 def attach(

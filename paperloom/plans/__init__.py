@@ -1,6 +1,6 @@
 """Registered queries over the dataset tables."""
 
-from paperloom.plans import compare, edits, grid, pii, profile, search, structure  # noqa: F401
+from paperloom.plans import compare, edits, grid, pii, profile, search, structure, versions  # noqa: F401
 from paperloom.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
