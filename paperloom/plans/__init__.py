@@ -1,6 +1,17 @@
 """Registered queries over the dataset tables."""
 
-from paperloom.plans import compare, edits, grid, pii, profile, search, structure, versions  # noqa: F401
+from paperloom.plans import (  # noqa: F401
+    compare,
+    edits,
+    grid,
+    pii,
+    profile,
+    search,
+    sessions,
+    sources,
+    structure,
+    versions,
+)
 from paperloom.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
