@@ -9,6 +9,7 @@ from paperloom.plans import (  # noqa: F401
     search,
     sessions,
     sources,
+    streams,
     structure,
     versions,
 )

@@ -87,7 +87,11 @@ ml AS (
 
 def contacts(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """Every document with an added block of contact data built from its number."""
-    return documents(spark, sf_dir, *more).withColumn(
+    return with_contacts(documents(spark, sf_dir, *more))
+
+
+def with_contacts(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(
         "text",
         F.expr(
             """text || '\n등록 ' || if(doc_id % 7 = 0, '12-', '')

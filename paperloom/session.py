@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -20,3 +22,17 @@ def local_session(cores: int | str = "*", app: str = "paperloom") -> SparkSessio
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for written intermediate tables, below ``spark.checkpoint.dir``.
+
+    Executors may be lost, so on a cluster this must be shared storage that the session names.
+    A local session without the setting uses a temporary folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        base = tempfile.mkdtemp(prefix="paperloom-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
