@@ -35,15 +35,21 @@ def flag_at(arr: Column, i: Column) -> Column:
 
 def replace_matches(text: Column, pattern: str, fn: Callable[[Column], Column]) -> Column:
     """Replace every match of ``pattern`` by ``fn(match)``."""
+
+    def joined(t: Column, hits: Column) -> Column:
+        return F.array_join(
+            F.transform(
+                F.split(t, pattern, -1),
+                lambda piece, i: F.concat(piece, F.coalesce(fn(F.get(hits, i)), F.lit(""))),
+            ),
+            "",
+        )
+
+    # Bound, since calls nest: a text that is an expression would be evaluated at each use.
     return let(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        lambda hits: F.when(F.size(hits) == 0, text).otherwise(
-            F.array_join(
-                F.transform(
-                    F.split(text, pattern, -1),
-                    lambda piece, i: F.concat(piece, F.coalesce(fn(F.get(hits, i)), F.lit(""))),
-                ),
-                "",
-            )
-        ),
+        text,
+        lambda t: F.when(
+            t.rlike(pattern),
+            let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda hits: joined(t, hits)),
+        ).otherwise(t),
     )

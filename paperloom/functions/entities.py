@@ -24,10 +24,7 @@ def decode_entities(c: Column) -> Column:
     deci = lambda m: F.coalesce(
         _code_point(F.regexp_extract(m, "([0-9]+)", 1).try_cast("bigint")), m
     )
-    numeric = replace_matches(
-        replace_matches(c, "&#x[0-9a-fA-F]+;", hexa), "&#[0-9]+;", deci
-    )
-    c = F.when(F.contains(c, F.lit("&#")), numeric).otherwise(c)
+    c = replace_matches(replace_matches(c, "&#x[0-9a-fA-F]+;", hexa), "&#[0-9]+;", deci)
     return F.replace(c, F.lit("&amp;"), F.lit("&"))
 
 

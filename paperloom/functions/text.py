@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,7 +23,13 @@ def _char_class(ranges: str) -> str:
     )
 
 
+def _characters(ranges: str) -> str:
+    ends = [[int(end, 16) for end in part.split("-")] for part in ranges.split()]
+    return "".join(chr(c) for e in ends for c in range(e[0], e[-1] + 1))
+
+
 SPACE_CHARS = _char_class(_SPACES)
+_SPACE_STRING = _characters(_SPACES)
 WS = f"[{SPACE_CHARS}]"
 NOT_WS = f"[^{SPACE_CHARS}]"
 # ASCII word boundary (Java's \b also counts Hangul and accented letters as word characters).
@@ -31,11 +37,11 @@ B = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
 def trim_ws(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+\\z", "")
+    return F.btrim(c, F.lit(_SPACE_STRING))
 
 
 def trim_end_ws(c: Column) -> Column:
-    return F.regexp_replace(c, f"{WS}+\\z", "")
+    return F.rtrim(c, F.lit(_SPACE_STRING))
 
 
 def is_blank(c: Column) -> Column:
@@ -151,5 +157,14 @@ _NFC_SAFE_ONLY = f"\\A[{_char_class(_SAFE)}]*\\z"
 
 
 def nfc(c: Column) -> Column:
-    """NFC form. Spark has no built-in for it; only rows that may need it go through Arrow."""
+    """NFC form. Spark has no built-in for it; only texts that may need it go through Arrow."""
     return F.coalesce(_nfc(F.when(~c.rlike(_NFC_SAFE_ONLY), c)), c)
+
+
+def with_nfc(df: DataFrame, name: str, c: Column) -> DataFrame:
+    """``df`` with the NFC form of ``c`` as ``name``; rows that are safe skip the Python stage."""
+    staged = df.withColumn(name, c)
+    safe = F.coalesce(F.col(name).rlike(_NFC_SAFE_ONLY), F.lit(True))
+    return staged.filter(safe).unionByName(
+        staged.filter(~safe).withColumn(name, _nfc(F.col(name)))
+    )

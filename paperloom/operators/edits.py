@@ -117,25 +117,26 @@ def overwrite_risk(pairs: DataFrame) -> DataFrame:
 
 
 # Date notations that are brought into the form "YYYY. MM. DD.".
-OLD_DATES = {
-    f"[0-9]{{4}}년{WS}*[0-9]+월{WS}*[0-9]+일": f"([0-9]{{4}})년{WS}*([0-9]+)월{WS}*([0-9]+)일",
-    B + r"[0-9]{2}\.[0-9]{1,2}\.[0-9]{1,2}" + B: r"([0-9]{2})\.([0-9]{1,2})\.([0-9]{1,2})",
-    B + r"[0-9]{4}-[0-9]{2}-[0-9]{2}" + B: r"([0-9]{4})-([0-9]{2})-([0-9]{2})",
-}
+OLD_DATES = (
+    f"[0-9]{{4}}년{WS}*[0-9]+월{WS}*[0-9]+일",
+    B + r"[0-9]{2}\.[0-9]{1,2}\.[0-9]{1,2}" + B,
+    B + r"[0-9]{4}-[0-9]{2}-[0-9]{2}" + B,
+)
 NEW_DATE = f"[0-9]{{4}}\\.{WS}*[0-9]{{2}}\\.{WS}*[0-9]{{2}}\\."
+# Months and days as they are written, with what pads them to two digits.
+_MONTHS = {"(0[1-9]|1[0-2])": "", "([1-9])": "0"}
+_DAYS = {"(0[1-9]|[12][0-9]|3[01])": "", "([1-9])": "0"}
 
 
 def normalized_dates(text: Column) -> Column:
-    """Dates in the old notations rewritten; strings that are no calendar date stay."""
-    for pattern, parts in OLD_DATES.items():
-
-        def rewrite(m: Column, parts: str = parts) -> Column:
-            year, month, day = (F.regexp_extract(m, parts, g) for g in (1, 2, 3))
-            full = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
-            date = F.try_to_date(F.concat_ws("-", full, month, day), "yyyy-M-d")
-            return F.coalesce(F.date_format(date, "yyyy. MM. dd."), m)
-
-        text = replace_matches(text, pattern, rewrite)
+    """Dates in the old notations rewritten; an impossible month or day stays."""
+    for month, pad_m in _MONTHS.items():
+        for day, pad_d in _DAYS.items():
+            new = f"$1. {pad_m}$2. {pad_d}$3."
+            text = F.regexp_replace(text, f"([0-9]{{4}})년{WS}*{month}월{WS}*{day}일", new)
+            text = F.regexp_replace(text, f"{B}([0-9]{{2}})\\.{month}\\.{day}{B}", "20" + new)
+            if not pad_m and not pad_d:
+                text = F.regexp_replace(text, f"{B}([0-9]{{4}})-{month}-{day}{B}", new)
     return text
 
 

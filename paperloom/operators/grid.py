@@ -275,11 +275,11 @@ def _finds(rows: Column, o: Column) -> Column:
 
 
 def _fold(cells: DataFrame, ops: DataFrame) -> DataFrame:
-    """Every original table row taken through its table's whole list of operations.
+    """Every table row of the tables with operations, taken through the whole list.
 
     What an operation does to a cell depends only on the cell's own row, so one fold per table
     row replaces a join per operation. Whether the operation was allowed depends on the whole
-    table: the fold reports what it saw (``found``, ``bad``) and ``table_op_failures`` sums it up.
+    table: the fold reports what it saw (``found``, ``bad``) and ``_failures`` sums it up.
     """
     lists = ops.groupBy(*TABLE).agg(
         F.array_sort(
@@ -292,10 +292,12 @@ def _fold(cells: DataFrame, ops: DataFrame) -> DataFrame:
         ).alias("ops")
     )
     # A table row is bounded by the width of its table.
-    rows = cells.groupBy(*ROW).agg(
-        F.array_sort(F.collect_list(F.struct("col", "row_span", "col_span", "text"))).alias("cells")
+    rows = (
+        cells.join(ops.select(*TABLE).distinct(), TABLE, "left_semi")
+        .groupBy(*ROW)
+        .agg(F.array_sort(F.collect_list(F.struct("col", "row_span", "col_span", "text"))).alias("cells"))
     )
-    joined = attach(rows, lists, TABLE, "left")
+    joined = attach(rows, lists, TABLE)
     start = F.struct(
         F.array(F.struct(F.col("row").cast("int").alias("row"), F.col("cells"))).cast(_ROW_TYPE).alias("rows"),
         F.array().cast("array<int>").alias("found"),
@@ -304,7 +306,7 @@ def _fold(cells: DataFrame, ops: DataFrame) -> DataFrame:
     no_op = F.array().cast("array<int>")
     seen = lambda flag, no: F.when(flag, F.array(no.cast("int"))).otherwise(no_op)
     folded = F.aggregate(
-        F.coalesce("ops", F.array().cast(lists.schema["ops"].dataType)),
+        "ops",
         start,
         lambda acc, o: F.struct(
             _step(acc["rows"], o).alias("rows"),
@@ -316,17 +318,27 @@ def _fold(cells: DataFrame, ops: DataFrame) -> DataFrame:
 
 
 def _failures(folded: DataFrame, ops: DataFrame) -> DataFrame:
-    bad = folded.select(*TABLE, F.explode("f.bad").alias("op_no"), F.lit(CONFLICT).alias("reason"))
-    found = folded.select(*TABLE, F.explode("f.found").alias("op_no")).distinct()
-    # An operation on a table that does not exist has no target either.
-    needed = ops.filter(F.col("op").isin("insertRow", "deleteRow", "mergeCells")).select(
-        *TABLE, F.col("op_no").cast("int").alias("op_no")
+    """First refused operation of each refused table."""
+    seen = F.concat(
+        F.transform("f.bad", lambda n: F.struct(n.alias("op_no"), F.lit(True).alias("bad"))),
+        F.transform("f.found", lambda n: F.struct(n.alias("op_no"), F.lit(False).alias("bad"))),
     )
-    missing = needed.join(found, [*TABLE, "op_no"], "left_anti").withColumn(
-        "reason", F.lit(MISSING)
+    reports = (
+        folded.select(*TABLE, F.inline(seen))
+        .groupBy(*TABLE, "op_no")
+        .agg(F.some("bad").alias("bad"), F.some(~F.col("bad")).alias("found"))
     )
-    first = bad.unionByName(missing).groupBy(*TABLE).agg(
-        F.min(F.struct("op_no", F.when(F.col("reason") == MISSING, 0).otherwise(1).alias("k"), "reason")).alias("m")
+    # An operation on a table that does not exist has no target either.
+    needs_target = F.col("op").isin("insertRow", "deleteRow", "mergeCells")
+    judged = ops.select(*TABLE, F.col("op_no").cast("int").alias("op_no"), needs_target.alias("needs")).join(
+        reports, [*TABLE, "op_no"], "left"
+    )
+    reason = F.when(F.col("needs") & ~F.coalesce("found", F.lit(False)), MISSING).when(F.col("bad"), CONFLICT)
+    first = (
+        judged.withColumn("reason", reason)
+        .filter("reason IS NOT NULL")
+        .groupBy(*TABLE)
+        .agg(F.min(F.struct("op_no", "reason")).alias("m"))
     )
     return first.select(*TABLE, F.col("m.op_no").alias("failed_op"), F.col("m.reason").alias("reason"))
 
@@ -341,17 +353,19 @@ def apply_table_ops(cells: DataFrame, ops: DataFrame) -> DataFrame:
 
     ``ops``: doc_id, table_idx, op_no, op (insertRow | deleteRow | insertColumn | deleteColumn |
     mergeCells), row, col, position (above | below | left | right), start_row, start_col, end_row,
-    end_col.
+    end_col. Cells of tables without operations pass by.
     """
     folded = _fold(cells, ops)
     checked = attach(folded, _failures(folded, ops), TABLE, "left")
     before = F.array(F.struct(F.col("row").cast("int").alias("row"), F.col("cells"))).cast(_ROW_TYPE)
     rows = F.when(F.col("failed_op").isNull(), F.col("f.rows")).otherwise(before)
-    return (
+    changed = (
         checked.select(*TABLE, F.inline(rows))
         .select(*TABLE, "row", F.inline("cells"))
         .select(*TABLE, *CELL_FIELDS)
     )
+    untouched = cells.join(ops.select(*TABLE).distinct(), TABLE, "left_anti")
+    return untouched.select(*TABLE, *CELL_FIELDS).unionByName(changed)
 
 
 def expected_delta(ops: DataFrame) -> DataFrame:

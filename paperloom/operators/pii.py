@@ -18,8 +18,19 @@ from paperloom.functions.text import slice_text
 from paperloom.operators.ranking import top_n
 
 
+def _may_hold(line: Column) -> Column:
+    """Every pattern needs one of these characters, and none reaches over a line end."""
+    return F.contains(line, F.lit("@")) | F.contains(line, F.lit("-"))
+
+
 def _findings(text: Column) -> Column:
     """Array<struct(type_no, type, count, masked)> of the types that occur."""
+    return let(
+        F.array_join(F.filter(F.split(text, "\n"), _may_hold), "\n"), lambda t: _all_findings(t)
+    )
+
+
+def _all_findings(text: Column) -> Column:
 
     def one(no: int, kind: str) -> Column:
         return let(
@@ -40,9 +51,7 @@ def _findings(text: Column) -> Column:
 
 def detect_pii(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Per document and type: number of matches and the first 5 distinct ones, masked."""
-    return docs.filter(F.col("text").rlike(p.ANY_CANDIDATE)).select(
-        "doc_id", *keep, F.inline(_findings(F.col("text")))
-    )
+    return docs.select("doc_id", *keep, F.inline(_findings(F.col("text"))))
 
 
 def summary_text(text: Column) -> Column:
@@ -62,14 +71,19 @@ def summarize_pii(docs: DataFrame) -> DataFrame:
 
 def redacted(text: Column) -> Column:
     """Pattern by pattern, each on the text the one before left."""
-    for kind in p.PATTERNS:
-        text = replace_matches(text, p.PATTERNS[kind], lambda m, k=kind: p.mask(k, m))
-    return text
+
+    def one(line: Column) -> Column:
+        for kind in p.PATTERNS:
+            line = replace_matches(line, p.PATTERNS[kind], lambda m, k=kind: p.mask(k, m))
+        return line
+
+    return F.array_join(
+        F.transform(F.split(text, "\n"), lambda x: F.when(_may_hold(x), one(x)).otherwise(x)), "\n"
+    )
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    hot = F.col("text").rlike(p.ANY_CANDIDATE)
-    return docs.withColumn("text", F.when(hot, redacted(F.col("text"))).otherwise(F.col("text")))
+    return docs.withColumn("text", redacted(F.col("text")))
 
 
 def _type_ranges(text: Column, no: int, kind: str) -> Column:
@@ -153,8 +167,7 @@ def ranges(text: Column) -> Column:
 def pii_ranges(docs: DataFrame) -> DataFrame:
     """One row per range to mask, in order."""
     return (
-        docs.filter(F.col("text").rlike(p.ANY_CANDIDATE))
-        .select("doc_id", F.posexplode(ranges(F.col("text"))).alias("i", "r"))
+        docs.select("doc_id", F.posexplode(ranges(F.col("text"))).alias("i", "r"))
         .select("doc_id", (F.col("i") + 1).alias("range_no"), "r.start", "r.end", "r.type", "r.replacement")
     )
 
@@ -176,10 +189,7 @@ def redact_by_ranges(docs: DataFrame) -> DataFrame:
             F.concat(F.array_join(parts, ""), slice_text(text, last, F.length(text) - last))
         )
 
-    hot = F.col("text").rlike(p.ANY_CANDIDATE)
-    return docs.withColumn(
-        "text", F.when(hot, let(ranges(F.col("text")), build)).otherwise(F.col("text"))
-    )
+    return docs.withColumn("text", let(ranges(F.col("text")), build))
 
 
 def merge_findings(findings: DataFrame, by: Sequence[str], order: str = "doc_id") -> DataFrame:
@@ -188,14 +198,17 @@ def merge_findings(findings: DataFrame, by: Sequence[str], order: str = "doc_id"
     ``findings``: output of ``detect_pii``. Examples are reduced to one row per distinct
     value before ranking, so neither a busy group nor a repeated value gathers in one task.
     """
-    counts = findings.groupBy(*by, "type").agg(
-        F.sum("count").cast("bigint").alias("count"),
-        F.min(F.struct(F.col(order).alias("first"), "type_no")).alias("seen"),
-    )
+    # One row per distinct example; the count of a finding is carried by its first example.
     examples = (
-        findings.select(*by, "type", order, F.posexplode("masked").alias("i", "example"))
-        .groupBy(*by, "type", "example")
-        .agg(F.min(F.struct(F.col(order).alias("first"), "i")).alias("seen"))
+        findings.select(*by, "type", "type_no", order, "count", F.posexplode("masked").alias("i", "example"))
+        .groupBy(*by, "type", "type_no", "example")
+        .agg(
+            F.sum(F.when(F.col("i") == 0, F.col("count"))).alias("n"),
+            F.min(F.struct(F.col(order).alias("first"), "i")).alias("seen"),
+        )
+    )
+    counts = examples.groupBy(*by, "type", "type_no").agg(
+        F.sum("n").cast("bigint").alias("count"), F.min("seen").alias("seen")
     )
     kept = (
         top_n(examples, [*by, "type"], [F.col("seen")], p.MAX_EXAMPLES)
@@ -208,7 +221,7 @@ def merge_findings(findings: DataFrame, by: Sequence[str], order: str = "doc_id"
         "count",
         F.transform("e", lambda x: x["example"]).alias("masked"),
         F.col("seen.first").alias("first_seen"),
-        F.col("seen.type_no").alias("type_no"),
+        "type_no",
     )
 
 

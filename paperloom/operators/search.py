@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.arrays import let
-from paperloom.functions.text import contains_text, nfc, trim_ws, window_text
+from paperloom.functions.text import contains_text, trim_ws, window_text, with_nfc
 from paperloom.operators.ranking import cap
 from paperloom.operators.structure import MAX_EXCERPTS, excerpt_blocks
 
@@ -201,12 +201,15 @@ def resolve_labels(cells: DataFrame, requests: DataFrame) -> DataFrame:
     ``requests``: doc_id, request_no, label, direction (right | below), table_idx (null = any).
     Status: ``found``, ``label_missing``, ``label_ambiguous``, ``target_missing``.
     """
-    key = nfc(trim_ws(F.col("text")))
-    labels = cells.select(
-        "doc_id", F.col("table_idx").alias("t"), "row", "col", "row_span", "col_span", key.alias("key")
-    )
+    labels = with_nfc(
+        cells.select(
+            "doc_id", F.col("table_idx").alias("t"), "row", "col", "row_span", "col_span", "text"
+        ),
+        "key",
+        trim_ws(F.col("text")),
+    ).drop("text")
     requests = requests.select("doc_id", "request_no", "label", "direction", "table_idx")
-    asked = requests.withColumn("key", nfc(trim_ws(F.col("label"))))
+    asked = with_nfc(requests, "key", trim_ws(F.col("label")))
     matches = (
         asked.join(labels, ["doc_id", "key"])
         .filter(F.col("table_idx").isNull() | (F.col("table_idx") == F.col("t")))

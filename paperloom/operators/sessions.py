@@ -239,7 +239,8 @@ def _verdict(json: Column) -> Column:
             ),
         )
 
-    return let(F.try_parse_json(json), typed)
+    # Only an object can hold both fields.
+    return F.when(F.startswith(json, F.lit("{")), let(F.try_parse_json(json), typed))
 
 
 FENCED = r"(?s)```(?:json)?\s*(.+?)```"

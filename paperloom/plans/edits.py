@@ -9,7 +9,7 @@ from paperloom.operators import edits as op
 from paperloom.plans import derived as d
 from paperloom.plans.registry import query
 from paperloom.plans.search import LABEL_REQUESTS_SQL, label_requests
-from paperloom.sources.tables import load
+from paperloom.sources.tables import load, load_wide
 
 _FIND, _NEW = "ation", "[$1\\]"
 _ALL_SQL = f"regexp_replace(text, '{_FIND}', '[$1\\\\]', 'gi')"
@@ -118,7 +118,7 @@ def overwrite_risk(spark, sf_dir):
     FROM orders""",
 )
 def normalize_dates(spark, sf_dir):
-    raw = load(spark, sf_dir, "orders").select(
+    raw = load_wide(spark, sf_dir, "orders", "o_orderkey", "o_orderdate").select(
         F.col("o_orderkey").alias("doc_id"),
         F.expr(
             """'기준일 ' || case when o_orderkey % 2 = 0 or year(o_orderdate) < 2000

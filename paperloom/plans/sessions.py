@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from paperloom.operators import sessions as op
 from paperloom.plans.registry import query
-from paperloom.sources.tables import load
+from paperloom.sources.tables import load, load_wide
 
 
 @query(
@@ -171,7 +171,7 @@ def classify_errors(spark, sf_dir):
 )
 def parse_verdicts(spark, sf_dir):
     json = """'{"pass": ' || (o_orderkey % 2 = 0) || ', "reason": "' || o_orderpriority || '"}'"""
-    answers = load(spark, sf_dir, "orders").select(
+    answers = load_wide(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority").select(
         F.col("o_orderkey").alias("id"),
         F.expr(
             f"""case o_orderkey % 7 when 0 then '  ' || {json} || '\n'
