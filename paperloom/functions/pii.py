@@ -22,7 +22,7 @@ RAW_PATTERNS = (
     B + r"0\d{1,2}-\d{3,4}-\d{4}" + B,
     B + r"\d{4}-\d{4}-\d{4}-\d{4}" + B,
 )
-MASK_EVIDENCE = r"\*{3,}"
+MASK_EVIDENCE = "***"
 MAX_EXAMPLES = 5
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.text import with_nfc
 from paperloom.operators.ranking import attach
-from paperloom.operators.search import resolve_labels
+from paperloom.operators.search import label_targets
 
 CELL = ["doc_id", "table_idx", "row", "col"]
 
@@ -36,24 +36,26 @@ def cell_edit_results(cells: DataFrame, edits: DataFrame) -> DataFrame:
     """
     checked = validate_edits(edits)
     by_label = checked.filter("mode = 'label'").withColumn("request_no", F.col("edit_no"))
-    resolved = resolve_labels(cells, by_label).select(
+    pointed = label_targets(cells, by_label).select(
         "doc_id",
         F.col("request_no").alias("edit_no"),
-        F.col("status").alias("label_status"),
-        F.col("table_idx").alias("lt"),
-        F.col("row").alias("lr"),
-        F.col("col").alias("lc"),
+        "matches",
+        *[F.when(F.col("matches") == 1, F.col(c)).alias(f"_{c}") for c in ("table_idx", "row", "col")],
     )
-    placed = checked.join(resolved, ["doc_id", "edit_no"], "left").select(
+    is_label = F.col("mode") == "label"
+    place = lambda c: F.when(is_label, F.col(f"_{c}")).when(
+        F.col("mode") == "coordinate", F.col(c)
+    )
+    placed = checked.join(pointed, ["doc_id", "edit_no"], "left").select(
         "doc_id",
         "edit_no",
-        F.when(F.col("mode") == "label", F.col("lt")).otherwise(F.col("table_idx")).alias("table_idx"),
-        F.when(F.col("mode") == "label", F.col("lr")).otherwise(F.col("row")).alias("row"),
-        F.when(F.col("mode") == "label", F.col("lc")).otherwise(F.col("col")).alias("col"),
+        *[place(c).alias(c) for c in ("table_idx", "row", "col")],
         "new_text",
         "expected_text",
+        is_label.alias("by_label"),
         F.when(F.col("mode").isin("both_modes", "incomplete"), F.col("mode"))
-        .when((F.col("mode") == "label") & (F.col("label_status") != "found"), F.col("label_status"))
+        .when(is_label & (F.col("matches") == 0), "label_missing")
+        .when(is_label & (F.col("matches") > 1), "label_ambiguous")
         .alias("problem"),
     )
     current = cells.select(*CELL, F.col("text").alias("old_text"))
@@ -78,6 +80,7 @@ def cell_edit_results(cells: DataFrame, edits: DataFrame) -> DataFrame:
             "new_text",
             F.coalesce(
                 F.col("problem"),
+                F.when(F.col("by_label") & F.col("old_text").isNull(), "target_missing"),
                 F.when(F.col("has_table").isNull(), "table_missing"),
                 F.when(F.col("old_text").isNull(), "cell_missing"),
                 F.when(differs, "text_differs"),

@@ -195,11 +195,10 @@ def resolve_anchor(cells: DataFrame, anchors: DataFrame) -> DataFrame:
     )
 
 
-def resolve_labels(cells: DataFrame, requests: DataFrame) -> DataFrame:
-    """Cell to the right of or below the one cell whose text is the label.
+def label_targets(cells: DataFrame, requests: DataFrame) -> DataFrame:
+    """Where each request's label points, with the number of cells that bear the label.
 
     ``requests``: doc_id, request_no, label, direction (right | below), table_idx (null = any).
-    Status: ``found``, ``label_missing``, ``label_ambiguous``, ``target_missing``.
     """
     labels = with_nfc(
         cells.select(
@@ -220,7 +219,7 @@ def resolve_labels(cells: DataFrame, requests: DataFrame) -> DataFrame:
         )
     )
     right = F.coalesce("direction", F.lit("right")) == "right"
-    targets = requests.join(matches, ["doc_id", "request_no"], "left").select(
+    return requests.join(matches, ["doc_id", "request_no"], "left").select(
         "doc_id",
         "request_no",
         "label",
@@ -229,6 +228,14 @@ def resolve_labels(cells: DataFrame, requests: DataFrame) -> DataFrame:
         F.when(right, F.col("m.row")).otherwise(F.col("m.row") + F.col("m.row_span")).alias("row"),
         F.when(right, F.col("m.col") + F.col("m.col_span")).otherwise(F.col("m.col")).alias("col"),
     )
+
+
+def resolve_labels(cells: DataFrame, requests: DataFrame) -> DataFrame:
+    """Cell to the right of or below the one cell whose text is the label.
+
+    Status: ``found``, ``label_missing``, ``label_ambiguous``, ``target_missing``.
+    """
+    targets = label_targets(cells, requests)
     exists = cells.select("doc_id", "table_idx", "row", "col", F.lit(True).alias("exists"))
     found = (F.col("matches") == 1) & F.col("exists").isNotNull()
     return targets.join(exists, ["doc_id", "table_idx", "row", "col"], "left").select(

@@ -168,9 +168,9 @@ _CELL_EDITS_SQL = f"""{d.CELLS_SQL}, {LABEL_REQUESTS_SQL},
       ON lab.doc_id = c.doc_id AND t = c.table_idx AND tr = c.row AND tc = c.col),
     placed AS (
       SELECT e.doc_id, e.edit_no, new_text, expected_text,
-        CASE WHEN label IS NULL THEN e.table_idx WHEN n = 1 AND there THEN t END AS table_idx,
-        CASE WHEN label IS NULL THEN e.row WHEN n = 1 AND there THEN tr END AS row,
-        CASE WHEN label IS NULL THEN e.col WHEN n = 1 AND there THEN tc END AS col,
+        CASE WHEN label IS NULL THEN CASE WHEN e.col IS NOT NULL THEN e.table_idx END WHEN n = 1 THEN t END AS table_idx,
+        CASE WHEN label IS NULL THEN CASE WHEN e.col IS NOT NULL THEN e.row END WHEN n = 1 THEN tr END AS row,
+        CASE WHEN label IS NULL THEN e.col WHEN n = 1 THEN tc END AS col,
         CASE WHEN label IS NOT NULL AND e.row IS NOT NULL THEN 'both_modes'
           WHEN label IS NOT NULL THEN CASE WHEN n IS NULL THEN 'label_missing'
             WHEN n > 1 THEN 'label_ambiguous' WHEN NOT there THEN 'target_missing' END
@@ -237,12 +237,7 @@ def _cell_edits(cells):
 )
 def cell_edit_results(spark, sf_dir):
     cells = d.order_cells(spark, sf_dir)
-    return co.cell_edit_results(cells, _cell_edits(cells)).withColumns(
-        {
-            "table_idx": F.when(F.col("status") != "both_modes", F.col("table_idx")),
-            "row": F.when(F.col("status") != "both_modes", F.col("row")),
-        }
-    )
+    return co.cell_edit_results(cells, _cell_edits(cells))
 
 
 @query(
