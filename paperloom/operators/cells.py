@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import with_nfc
+from paperloom.functions.text import nfc
 from paperloom.operators.ranking import attach
 from paperloom.operators.search import label_targets
 
@@ -61,12 +61,13 @@ def cell_edit_results(cells: DataFrame, edits: DataFrame) -> DataFrame:
     current = cells.select(*CELL, F.col("text").alias("old_text"))
     tables = cells.select("doc_id", "table_idx").distinct().withColumn("has_table", F.lit(True))
     joined = placed.join(current, CELL, "left").join(tables, ["doc_id", "table_idx"], "left")
-    # Equal texts need no normal form; it is taken only of the few that differ.
+    # Equal texts need no normal form; it is taken only of those that differ.
     unequal = F.col("expected_text") != F.col("old_text")
-    pair = with_nfc(
-        with_nfc(joined, "_want", F.when(unequal, F.col("expected_text"))),
-        "_have",
-        F.when(unequal, F.col("old_text")),
+    pair = joined.withColumns(
+        {
+            "_want": nfc(F.when(unequal, F.col("expected_text"))),
+            "_have": nfc(F.when(unequal, F.col("old_text"))),
+        }
     )
     differs = F.coalesce(F.col("_want") != F.col("_have"), F.lit(False))
     return (

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.arrays import let
-from paperloom.functions.text import contains_text, trim_ws, window_text, with_nfc
+from paperloom.functions.text import contains_text, nfc, trim_ws, window_text, with_nfc
 from paperloom.operators.ranking import cap
 from paperloom.operators.structure import MAX_EXCERPTS, excerpt_blocks
 
@@ -208,7 +208,7 @@ def label_targets(cells: DataFrame, requests: DataFrame) -> DataFrame:
         trim_ws(F.col("text")),
     ).drop("text")
     requests = requests.select("doc_id", "request_no", "label", "direction", "table_idx")
-    asked = with_nfc(requests, "key", trim_ws(F.col("label")))
+    asked = requests.withColumn("key", nfc(trim_ws(F.col("label"))))
     matches = (
         asked.join(labels, ["doc_id", "key"])
         .filter(F.col("table_idx").isNull() | (F.col("table_idx") == F.col("t")))
