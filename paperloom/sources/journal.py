@@ -19,8 +19,7 @@ def read_journal_files(spark: SparkSession, path: str) -> DataFrame:
     a shuffle, and many files make many tasks.
     """
     return (
-        spark.read.option("wholetext", True)
-        .text(path)
+        spark.read.text(path, wholetext=True)
         .select(
             F.regexp_replace(
                 F.regexp_extract(F.col("_metadata.file_name"), "([^/]+)$", 1), r"\.jsonl$", ""

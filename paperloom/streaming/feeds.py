@@ -19,10 +19,10 @@ LATENESS = "10 minutes"
 
 def journal_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """Records of journal files as they arrive, each file read whole."""
-    reader = spark.readStream.option("wholetext", True)
+    reader = spark.readStream
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    files = reader.text(path).select(
+    files = reader.text(path, wholetext=True).select(
         F.regexp_replace(F.regexp_extract(F.col("_metadata.file_name"), "([^/]+)$", 1), r"\.jsonl$", "").alias("session_id"),
         F.col("value").alias("content"),
     )
