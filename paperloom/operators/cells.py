@@ -5,11 +5,11 @@ All of them check first and change after: a document with one failed edit stays
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import nfc
-from paperloom.operators.ranking import attach
+from paperloom.operators.ranking import attach, running
 from paperloom.operators.search import label_targets
 
 CELL = ["doc_id", "table_idx", "row", "col"]
@@ -192,11 +192,16 @@ def sheet_edit_results(sheet_cells: DataFrame, updates: DataFrame) -> DataFrame:
     current = sheet_cells.select(
         "doc_id", "sheet", "row", "col", "kind", "value_text", "value_ts", "formula"
     )
-    # One cell takes only as many updates as were asked for it; this is no data-sized group.
-    same_cell = Window.partitionBy("doc_id", "sheet", "row", "col").orderBy("update_no")
-    joined = target.join(current, ["doc_id", "sheet", "row", "col"], "left").withColumn(
-        "written", F.lag("value").over(same_cell)
-    )
+    # What an earlier update of the same cell wrote.
+    chained = running(
+        target,
+        ["doc_id", "sheet", "row", "col"],
+        ["update_no"],
+        {"_block": F.floor(F.col("update_no") / 1024)},
+        maxes={"_last": F.struct("update_no", "value")},
+        inclusive=False,
+    ).withColumn("written", F.col("_last.value"))
+    joined = chained.join(current, ["doc_id", "sheet", "row", "col"], "left")
     address = F.concat(F.col("sheet"), F.lit("!"), F.col("cell"))
     master = cell_name(F.col("row"), F.col("col"))
     overwrites_formula = F.col("written").isNull() & (F.col("kind") == "formula")

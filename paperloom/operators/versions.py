@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.operators.ranking import cap, running
+from paperloom.operators.ranking import attach, cap, running
 
 VERSION_NAME = r"^(\d{4}-\d{2}-\d{2}T\d{2}-\d{2}-\d{2}-\d{3}Z)-(.+)$"
 TOKEN_PARTS = r"^(\d{4}-\d{2}-\d{2})T(\d{2})-(\d{2})-(\d{2})-(\d{3})Z$"
@@ -76,11 +76,10 @@ def pick_version(versions: DataFrame, requests: DataFrame) -> DataFrame:
         .agg(newest.alias("s"), F.count("*").alias("s_count"))
     )
     latest = versions.groupBy("base_name").agg(newest.alias("l"), F.count("*").alias("l_count"))
-    joined = (
-        asked.join(exact, ["base_name", "requested"], "left")
-        .join(suffixes, ["base_name", "requested"], "left")
-        .join(latest, "base_name", "left")
+    named = asked.join(exact, ["base_name", "requested"], "left").join(
+        suffixes, ["base_name", "requested"], "left"
     )
+    joined = attach(named, latest, ["base_name"], "left")
     by_suffix = F.col("_exact").isNull() & F.col("s").isNotNull()
     by_age = F.col("requested").isNull() & F.col("l").isNotNull()
     return joined.select(
@@ -100,7 +99,12 @@ def pick_version(versions: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
-def pick_as_of(versions: DataFrame, requests: DataFrame, bucket: str = "day") -> DataFrame:
+def time_buckets(time: str) -> dict[str, Column]:
+    """Days and minutes: a busy file is spread over minutes, its days over one small window."""
+    return {"_day": F.date_trunc("day", time), "_minute": F.date_trunc("minute", time)}
+
+
+def pick_as_of(versions: DataFrame, requests: DataFrame) -> DataFrame:
     """Newest version at or before each request's time.
 
     ``versions``: filename, base_name, token, mtime; ``requests``: request_id, base_name, as_of.
@@ -125,7 +129,7 @@ def pick_as_of(versions: DataFrame, requests: DataFrame, bucket: str = "day") ->
         v.unionByName(r),
         ["base_name"],
         ["at", "_kind"],
-        {"_bucket": F.date_trunc(bucket, "at")},
+        time_buckets("at"),
         maxes={"newest": F.col("v")},
     )
     return merged.filter("_kind = 1").select(
@@ -175,13 +179,20 @@ def sidecar_deletions(marked: DataFrame, sidecars: DataFrame) -> DataFrame:
     return sidecars.join(marked.filter("expired").select("filename"), "filename", "left_semi")
 
 
-def assign_version_ts(new: DataFrame, taken: DataFrame, bucket_ms: int = 3_600_000) -> DataFrame:
+def assign_version_ts(new: DataFrame, taken: DataFrame, bucket_ms: int = 10_000) -> DataFrame:
     """A millisecond of its own for every new version of a name, the next free one if taken.
 
     ``new``: name, seq, ms, served in order of (ms, seq); ``taken``: name, ms. Slots are counted in
     free slots: a version wants the first free slot at or after its time, gets at least one more
     than the version before it, and the result is counted back to milliseconds.
     """
+
+    def buckets(slot: str) -> dict[str, Column]:
+        return {
+            "_coarse": F.floor(F.col(slot) / (bucket_ms * 1000)),
+            "_fine": F.floor(F.col(slot) / bucket_ms),
+        }
+
     used = taken.select("name", "ms").distinct()
     rows = used.select("name", "ms", F.lit(0).alias("_new"), F.lit(None).cast("bigint").alias("seq"))
     asks = new.select("name", "ms", F.lit(1).alias("_new"), F.col("seq").cast("bigint").alias("seq"))
@@ -190,7 +201,7 @@ def assign_version_ts(new: DataFrame, taken: DataFrame, bucket_ms: int = 3_600_0
         rows.unionByName(asks).withColumn("_first", 1 - F.col("_new")),
         ["name"],
         ["ms", "_first", "seq"],
-        {"_bucket": F.floor(F.col("ms") / bucket_ms)},
+        buckets("ms"),
         sums={"_taken": 1 - F.col("_new"), "_rank": F.col("_new")},
     )
     wants = counted.filter("_new = 1").withColumn("_want", F.col("ms") - F.col("_taken"))
@@ -198,7 +209,7 @@ def assign_version_ts(new: DataFrame, taken: DataFrame, bucket_ms: int = 3_600_0
         wants,
         ["name"],
         ["ms", "seq"],
-        {"_bucket": F.floor(F.col("ms") / bucket_ms)},
+        buckets("ms"),
         maxes={"_base": F.col("_want") - F.col("_rank")},
     ).withColumn("_slot", F.col("_base") + F.col("_rank"))
     # A taken slot t with j taken before it has t - j free slots before it.
@@ -213,7 +224,7 @@ def assign_version_ts(new: DataFrame, taken: DataFrame, bucket_ms: int = 3_600_0
         walls.unionByName(placed.select("name", "_slot", "_new", "seq", "ms")),
         ["name"],
         ["_slot", "_new", "ms"],
-        {"_bucket": F.floor(F.col("_slot") / bucket_ms)},
+        buckets("_slot"),
         sums={"_walls": 1 - F.col("_new")},
     )
     return back.filter("_new = 1").select(
@@ -268,12 +279,12 @@ def restore(current: DataFrame, picks: DataFrame, versions: DataFrame) -> tuple[
 
 
 def previous_versions(versions: DataFrame) -> DataFrame:
-    """Each version beside the one before it of the same file (by time, day buckets)."""
+    """Each version beside the one before it of the same file."""
     out = running(
         versions,
         ["base_name"],
         ["mtime", "token"],
-        {"_bucket": F.date_trunc("day", "mtime")},
+        time_buckets("mtime"),
         maxes={"_prev": F.struct("mtime", "token", "filename")},
         inclusive=False,
     )

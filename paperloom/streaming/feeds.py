@@ -128,23 +128,36 @@ def write_change_feed(batch: DataFrame, batch_id: int, store: str, feed: str) ->
     # Written first: everything after reads the written batch, not the source again.
     batch.select(*columns).write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
     everything = spark.read.parquet(store)
-    new = everything.filter(F.col("batch_id") == batch_id).select(*columns)
+    heads = ["base_name", "mtime", "token", "filename", "batch_id"]
+    new = everything.filter(F.col("batch_id") == batch_id).select(*heads)
+    # Names only: the texts of earlier batches are not read here.
     latest = (
         everything.filter(F.col("batch_id") < batch_id)
         .join(new.select("base_name").distinct(), "base_name", "left_semi")
         .groupBy("base_name")
-        .agg(F.max(F.struct("mtime", "token", "filename")).alias("l"))
-        .select("base_name", "l.mtime", "l.token", "l.filename")
+        .agg(F.max(F.struct("mtime", "token", "filename", "batch_id")).alias("l"))
+        .select("base_name", "l.mtime", "l.token", "l.filename", "l.batch_id")
     )
-    names = new.select("base_name", "mtime", "token", "filename")
-    linked = previous_versions(names.unionByName(latest)).join(
-        names.select("filename"), "filename", "left_semi"
+    known = new.unionByName(latest)
+    linked = (
+        previous_versions(known.drop("batch_id"))
+        .join(new.select("filename", "batch_id"), "filename")
+        .join(
+            known.select(F.col("filename").alias("previous"), F.col("batch_id").alias("previous_batch")),
+            "previous",
+        )
     )
-    texts = everything.select("filename", "content")
-    pairs = (
-        linked.filter("previous IS NOT NULL")
-        .join(texts.withColumnRenamed("content", "after"), "filename")
-        .join(texts.select(F.col("filename").alias("previous"), F.col("content").alias("before")), "previous")
+    # Joined by batch folder as well, so only folders that hold a needed text are read.
+    texts = everything.select("filename", "batch_id", "content")
+    pairs = linked.join(
+        texts.withColumnRenamed("content", "after"), ["filename", "batch_id"]
+    ).join(
+        texts.select(
+            F.col("filename").alias("previous"),
+            F.col("batch_id").alias("previous_batch"),
+            F.col("content").alias("before"),
+        ),
+        ["previous", "previous_batch"],
     )
     units = lambda side: pairs.select(
         F.col("filename").alias("pair_id"), F.posexplode(F.split(side, "\n")).alias("no", "text")
