@@ -237,9 +237,12 @@ def merge_findings(findings: DataFrame, by: Sequence[str], order: str = "doc_id"
     kept = (
         top_n(examples, [*by, "type"], [F.col("seen")], p.MAX_EXAMPLES)
         .groupBy(*by, "type")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "example"))).alias("e"))
+        .agg(F.array_sort(F.collect_list(F.struct("rank", "example"))).alias("e"), F.sum("n").alias("shown"))
     )
-    return counts.join(kept, [*by, "type"]).select(
+    # Both sides keep the same columns of ``examples``, so its shuffle is made once and reused and
+    # the texts are searched once: "shown" is never above "count", and "seen" is never null.
+    joined = counts.join(kept, [*by, "type"]).filter("shown <= count AND seen IS NOT NULL")
+    return joined.select(
         *by,
         "type",
         "count",

@@ -6,10 +6,10 @@ count, first n) before anything is gathered, and running values go through time
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.operators.ranking import attach, cap, running
+from paperloom.operators.ranking import attach, cap, running, top_n
 
 VERSION_NAME = r"^(\d{4}-\d{2}-\d{2}T\d{2}-\d{2}-\d{2}-\d{3}Z)-(.+)$"
 TOKEN_PARTS = r"^(\d{4}-\d{2}-\d{2})T(\d{2})-(\d{2})-(\d{2})-(\d{3})Z$"
@@ -47,7 +47,13 @@ def list_versions(versions: DataFrame, path: str | None = None, k: int = MAX_LIS
     """Newest versions of one file, or of all files together, with the true total."""
     if path is not None:
         versions = versions.filter(F.col("base_name") == path.rsplit("/", 1)[-1])
-    return cap(versions.withColumn("_all", F.lit(0)), ["_all"], _newest(), k).drop("_all")
+    top = top_n(versions, [], _newest(), k)
+    # The total travels as one more row, so k + 1 rows meet in the last step.
+    total = versions.agg(F.count("*").alias("total")).withColumn("rank", F.lit(0))
+    both = top.unionByName(total, allowMissingColumns=True).withColumn(
+        "total", F.max("total").over(Window.partitionBy())
+    )
+    return both.filter("rank > 0").withColumn("truncated", F.col("total") > k)
 
 
 def versions_per_file(versions: DataFrame, k: int = MAX_LISTED) -> DataFrame:
