@@ -21,7 +21,7 @@ def test_no_cross_join(spark, name):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
-@pytest.mark.parametrize("name", ["cap_per_source", "versions_per_file", "timelines", "list_versions", "top_hits", "pii_by_source"])
+@pytest.mark.parametrize("name", ["cap_per_source", "versions_per_file", "timelines", "top_hits", "pii_by_source"])
 def test_first_n_is_cut_before_the_shuffle(spark, name):
     assert re.search(r"WindowGroupLimit .*Partial", plan(spark, name))
 
