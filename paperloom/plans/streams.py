@@ -22,6 +22,13 @@ def _stream(spark, sf_dir, table):
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{table}.parque[t]")
 
 
+def _run(stream, folder):
+    """Rows of a finished stream, times without a zone."""
+    rows = feeds.run_to_table(stream, folder)
+    times = [f.name for f in rows.schema if f.dataType.typeName() == "timestamp"]
+    return rows.withColumns({t: F.col(t).cast("timestamp_ntz") for t in times}) if times else rows
+
+
 def _events(spark, sf_dir):
     return _stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
@@ -43,7 +50,7 @@ def stream_usage(spark, sf_dir):
         F.expr("event_id % 100").alias("input_tokens"),
         F.expr("event_id % 7").alias("output_tokens"),
     )
-    return feeds.run_to_table(feeds.usage_stream(turns), shared_folder(spark, "usage"))
+    return _run(feeds.usage_stream(turns), shared_folder(spark, "usage"))
 
 
 @query(
@@ -57,7 +64,7 @@ def stream_thrash(spark, sf_dir):
     calls = _events(spark, sf_dir).filter("event_type in ('click', 'purchase')").select(
         F.col("user_id").alias("session_id"), "ts", F.col("event_type").alias("tool")
     )
-    return feeds.run_to_table(feeds.thrash_stream(calls, 2, "1 day"), shared_folder(spark, "thrash"))
+    return _run(feeds.thrash_stream(calls, 2, "1 day"), shared_folder(spark, "thrash"))
 
 
 @query(
@@ -72,7 +79,7 @@ def stream_pii(spark, sf_dir):
     docs = d.with_contacts(_stream(spark, sf_dir, "documents").select("doc_id", "text")).withColumn(
         "ts", F.expr("timestamp'2026-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id as int))")
     )
-    return feeds.run_to_table(feeds.pii_stream(docs), shared_folder(spark, "pii"))
+    return _run(feeds.pii_stream(docs), shared_folder(spark, "pii"))
 
 
 _SESSIONS_SQL = """
@@ -93,7 +100,7 @@ def stream_activity(spark, sf_dir):
     events = _events(spark, sf_dir).select(
         F.col("user_id").alias("session_id"), "ts", F.col("event_type").alias("type")
     )
-    return feeds.run_to_table(feeds.activity_stream(events, "12 hours"), shared_folder(spark, "activity"))
+    return _run(feeds.activity_stream(events, "12 hours"), shared_folder(spark, "activity"))
 
 
 # A proposal per event; two in three are answered, some of them too late.
@@ -119,7 +126,7 @@ def stream_approvals(spark, sf_dir):
         F.col("event_id").alias("proposal_id"),
         F.inline(F.when(F.col("event_id") % 3 == 0, F.array(asked)).otherwise(F.array(asked, answered))),
     )
-    return feeds.run_to_table(feeds.approval_stream(events), shared_folder(spark, "approvals"))
+    return _run(feeds.approval_stream(events), shared_folder(spark, "approvals"))
 
 
 # Documents 2k and 2k + 1 are two versions of one file.
