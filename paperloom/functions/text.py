@@ -17,7 +17,7 @@ _SPACES = "09-0d 20 a0 1680 2000-200a 2028 2029 202f 205f 3000 feff"
 _SAFE = "00-2ff 3041-3096 30a1-30fa 4e00-9fff ac00-d7a3"
 
 
-def _char_class(ranges: str) -> str:
+def char_class(ranges: str) -> str:
     return "".join(
         "-".join(f"\\x{{{end}}}" for end in part.split("-")) for part in ranges.split()
     )
@@ -28,7 +28,7 @@ def _characters(ranges: str) -> str:
     return "".join(chr(c) for e in ends for c in range(e[0], e[-1] + 1))
 
 
-SPACE_CHARS = _char_class(_SPACES)
+SPACE_CHARS = char_class(_SPACES)
 _SPACE_STRING = _characters(_SPACES)
 WS = f"[{SPACE_CHARS}]"
 NOT_WS = f"[^{SPACE_CHARS}]"
@@ -153,7 +153,7 @@ def _nfc(s: pd.Series) -> pd.Series:
 
 
 # Texts made of _SAFE characters only are in NFC already.
-_NFC_SAFE_ONLY = f"\\A[{_char_class(_SAFE)}]*\\z"
+_NFC_SAFE_ONLY = f"\\A[{char_class(_SAFE)}]*\\z"
 
 
 def nfc(c: Column) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import WS
 from paperloom.operators import ranking
 from paperloom.operators import search as op
 from paperloom.operators import structure
