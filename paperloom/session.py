@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -27,12 +31,20 @@ def local_session(cores: int | str = "*", app: str = "paperloom") -> SparkSessio
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for written intermediate tables, below ``spark.checkpoint.dir``.
 
-    Executors may be lost, so on a cluster this must be shared storage that the session names.
-    A local session without the setting uses a temporary folder.
+    Executors may be lost, so this must be storage that all of them share. Only a single-process
+    session without the setting, as in tests, gets a temporary folder of its own; it is removed when
+    the process ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        base = tempfile.mkdtemp(prefix="paperloom-")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = _own_folder()
     return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+@lru_cache(1)
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="paperloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
