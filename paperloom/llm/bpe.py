@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import load, query, steps, texts
+from paperloom.llm.common import load, query, steps, texts, with_fields
 
 RANKS = "byte_bpe_50k.tiktoken"
 # Pieces whose ids are remembered per worker; the cache starts anew when it is full.
@@ -321,7 +321,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     path = path or public_tokenizers.path(RANKS)
     kept = [F.col(c) for c in dict.fromkeys((id_col, *keep))]
     narrow = docs.select(*kept, F.col(text_col).alias("_bpe_text"))
-    schema = narrow.drop("_bpe_text").schema.add("ids", "binary").add("offsets", "binary")
+    schema = with_fields(narrow.drop("_bpe_text").schema, "ids binary, offsets binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -338,7 +338,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """Add `decoded` (binary) to rows of encode(); null or empty ids decode to no bytes."""
     path = path or public_tokenizers.path(RANKS)
-    schema = encoded.schema.add("decoded", "binary")
+    schema = with_fields(encoded.schema, "decoded binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

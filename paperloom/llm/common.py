@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from paperloom.plans.registry import Query
 from paperloom.session import shared_folder
@@ -45,6 +46,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_fields(schema: StructType, ddl: str) -> StructType:
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column, null as empty; never decodes, so never fails."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
