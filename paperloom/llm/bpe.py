@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import load, query, steps, texts, with_fields
+from paperloom.llm.common import load, query, slices, steps, texts, with_fields
 
 RANKS = "byte_bpe_50k.tiktoken"
 # Pieces whose ids are remembered per worker; the cache starts anew when it is full.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 250_000
 LOCKSTEP = 48
 NO_PAIR = 1 << 40
 BLOCK = 256
@@ -324,7 +324,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     schema = with_fields(narrow.drop("_bpe_text").schema, "ids binary, offsets binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch)):
             data = texts(batch.column(batch.num_columns - 1))
             for a, b in steps(data):
                 done = encode_texts(data[a:b], path)
@@ -341,13 +341,10 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     schema = with_fields(encoded.schema, "decoded binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch)):
             ids, offsets = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("ids", "offsets"))
-            limit = 256
-            for a in range(0, len(ids), limit):
-                done = [decode_ids(x or b"", y or b"", path) for x, y in zip(ids[a : a + limit], offsets[a : a + limit])]
-                columns = [c.slice(a, limit) for c in batch.columns]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(done, pa.binary())], names=[*batch.schema.names, "decoded"])
+            done = pa.array([decode_ids(x or b"", y or b"", path) for x, y in zip(ids, offsets)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, done], names=[*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, schema)
 

@@ -20,7 +20,7 @@ SQL: dict[str, str] = {}
 WORD = r"[^\x20\x09-\x0D]+"
 
 # Bytes of text that one numpy step handles at a time; a longer text is a step of its own.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 19
 
 
 def query(name: str, sql: str | None = None):
@@ -50,6 +50,12 @@ def with_fields(schema: StructType, ddl: str) -> StructType:
     return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
 
 
+def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Small parts of a batch, so that few values are Python objects at a time."""
+    for a in range(0, batch.num_rows, rows):
+        yield batch.slice(a, rows)
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column, null as empty; never decodes, so never fails."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import load, query, staged, texts, with_fields
+from paperloom.llm.common import load, query, slices, staged, texts, with_fields
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\r\x0b\x0c"
@@ -69,7 +69,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     schema = with_fields(narrow.drop("_rule_text").schema, ", ".join(f"{m} long" for m in MEASURES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch)):
             rows = [measure_text(x) for x in texts(batch.column(batch.num_columns - 1))]
             columns = [pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * len(MEASURES)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], *MEASURES])
@@ -90,16 +90,17 @@ def host_verdicts(measured: DataFrame, host_col: str = "source", max_rate: float
     n, k = F.col("host_docs"), F.col("host_failed")
     rate = k / n
     sums = hosts.agg(F.sum(n).alias("_n"), F.sum(k).alias("_k"), F.count("*").alias("_h"), F.sum(rate * rate * n).alias("_r2"))
-    # Between-host variance, weighted by size: what is seen less what binomial noise gives.
-    mean = F.col("_k") / F.col("_n")
-    noise = mean * (1 - mean) * F.col("_h") / F.col("_n")
-    spread = F.col("_r2") / F.col("_n") - mean * mean - noise
-    weight = F.when(spread > 0, F.least(F.greatest(mean * (1 - mean) / spread - 1, F.lit(PRIOR_WEIGHT[0])), F.lit(PRIOR_WEIGHT[1]))).otherwise(F.lit(PRIOR_WEIGHT[1]))
-    prior = sums.select(mean.alias("_mean"), weight.alias("_weight"))
-    # One row of sums beside every host: a broadcast of fixed size.
-    joined = hosts.join(F.broadcast(prior))
-    shrunk = (k + F.col("_mean") * F.col("_weight")) / (n + F.col("_weight"))
-    return joined.select(host_col, "host_docs", "host_failed", shrunk.alias("host_rate"), (shrunk <= max_rate).alias("host_kept"))
+    # One row; from here on numbers of the whole corpus.
+    total = sums.first()
+    mean, weight = 0.0, PRIOR_WEIGHT[1]
+    if total["_n"]:
+        mean = total["_k"] / total["_n"]
+        # Between-host variance, weighted by size: what is seen less what binomial noise gives.
+        spread = total["_r2"] / total["_n"] - mean * mean - mean * (1 - mean) * total["_h"] / total["_n"]
+        if spread > 0:
+            weight = min(max(mean * (1 - mean) / spread - 1, PRIOR_WEIGHT[0]), PRIOR_WEIGHT[1])
+    shrunk = (k + mean * weight) / (n + weight)
+    return hosts.select(host_col, "host_docs", "host_failed", shrunk.alias("host_rate"), (shrunk <= max_rate).alias("host_kept"))
 
 
 def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
@@ -120,7 +121,7 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 _SQL = """
 WITH words AS (
     SELECT rowid AS r, doc_id, source, coalesce(text, '') AS text,
-        list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), w -> w <> '') AS words
+        list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words
     FROM (SELECT row_number() OVER () AS rowid, * FROM documents)
 ), placed AS (
     SELECT r, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM words

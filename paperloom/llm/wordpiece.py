@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm.bpe import RANKS, read_ranks
-from paperloom.llm.common import load, query, steps, texts, with_fields
+from paperloom.llm.common import load, query, slices, steps, texts, with_fields
 
 # Words whose counts are remembered per worker; the cache starts anew when it is full.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 # What stands before a word: pieces that begin with it are word-initial, all others continue.
 INITIAL = b" "
 
@@ -147,7 +147,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _counts(path)
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch)):
             data = texts(batch.column(1))
             n_words, n_tokens = [], []
             for a, b in steps(data):
