@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline, each with the query that applies it."""
 
-from paperloom.llm import archives, bpe, chat, collision, mixing, rules, toxicity, wordpiece  # noqa: F401
+from paperloom.llm import archives, bpe, chat, collision, minhash, mixing, rules, toxicity, wordpiece  # noqa: F401
 from paperloom.llm.common import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
