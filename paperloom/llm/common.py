@@ -19,6 +19,8 @@ SQL: dict[str, str] = {}
 # bytes.split() cuts at exactly these six.
 WORD = r"[^\x20\x09-\x0D]+"
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 # Bytes of text that one numpy step handles at a time; a longer text is a step of its own.
 STEP_BYTES = 1 << 19
 
@@ -39,10 +41,18 @@ def load(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Nothing reads the shuffle files of the write again, so they go as soon as it has ended.
+    """
     spark = df.sparkSession
     path = shared_folder(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
