@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,25 +13,13 @@ from pyspark.sql import types as T
 
 from paperloom.functions.arrays import let
 
-# Whitespace as ECMAScript defines it
-# (Java's \s is ASCII only), and single characters or ranges of code points as text.
-_SPACES = "09-0d 20 a0 1680 2000-200a 2028 2029 202f 205f 3000 feff"
-_SAFE = "00-2ff 3041-3096 30a1-30fa 4e00-9fff ac00-d7a3"
-
-
-def char_class(ranges: str) -> str:
-    return "".join(
-        "-".join(f"\\x{{{end}}}" for end in part.split("-")) for part in ranges.split()
-    )
-
-
-def _characters(ranges: str) -> str:
-    ends = [[int(end, 16) for end in part.split("-")] for part in ranges.split()]
-    return "".join(chr(c) for e in ends for c in range(e[0], e[-1] + 1))
-
-
-SPACE_CHARS = char_class(_SPACES)
-_SPACE_STRING = _characters(_SPACES)
+# White space as ECMAScript defines it (Java's \s is ASCII only).
+SPACE_STRING = (
+    "\t\n\v\f\r \u00a0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
+SPACE_CHARS = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 WS = f"[{SPACE_CHARS}]"
 NOT_WS = f"[^{SPACE_CHARS}]"
 # ASCII word boundary (Java's \b also counts Hangul and accented letters as word characters).
@@ -37,11 +27,11 @@ B = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
 def trim_ws(c: Column) -> Column:
-    return F.btrim(c, F.lit(_SPACE_STRING))
+    return F.btrim(c, F.lit(SPACE_STRING))
 
 
 def trim_end_ws(c: Column) -> Column:
-    return F.rtrim(c, F.lit(_SPACE_STRING))
+    return F.rtrim(c, F.lit(SPACE_STRING))
 
 
 def is_blank(c: Column) -> Column:
@@ -57,9 +47,27 @@ def clip(c: Column, limit: int, mark: str = "…") -> Column:
     return F.when(F.length(c) > limit, F.concat(F.substring(c, 1, limit), F.lit(mark))).otherwise(c)
 
 
+@lru_cache(1)
+def _same_lower() -> dict[str, str]:
+    """Characters by the single character that is their lower case, itself included."""
+    found: dict[str, str] = {}
+    for code in range(sys.maxunicode + 1):
+        low = chr(code).lower()
+        if len(low) == 1 and low != chr(code):
+            found[low] = found.get(low, low) + chr(code)
+    return found
+
+
 def literal_pattern(find: str, case_sensitive: bool) -> str:
-    """Regular expression that matches ``find`` literally."""
-    return ("" if case_sensitive else "(?iu)") + re.sub(r"([^\w\s])", r"\\\1", find)
+    """Regular expression that matches ``find`` literally.
+
+    Without case, a character stands for all that have the same lower case and for nothing else;
+    hits, counts and replacements all go by this pattern, in the text as it is.
+    """
+    if case_sensitive:
+        return re.sub(r"([^\w\s])", r"\\\1", find)
+    same = _same_lower()
+    return "".join(f"[{same[c]}]" if c in same else re.sub(r"([^\w\s])", r"\\\1", c) for c in find.lower())
 
 
 def literal_replacement(text: str) -> str:
@@ -69,17 +77,22 @@ def literal_replacement(text: str) -> str:
 def contains_text(c: Column, query: str, case_sensitive: bool = False) -> Column:
     if case_sensitive:
         return F.contains(c, F.lit(query))
-    return F.contains(F.lower(c), F.lit(query.lower()))
+    return c.rlike(literal_pattern(query, False))
 
 
 def count_literal(c: Column, find: str, case_sensitive: bool) -> Column:
     """Number of non-overlapping occurrences of ``find``."""
     if not case_sensitive:
-        c, find = F.lower(c), find.lower()
+        return F.regexp_count(c, F.lit(literal_pattern(find, False))).cast("int") if find else F.lit(0)
     removed = F.length(c) - F.length(F.replace(c, F.lit(find), F.lit("")))
     return (removed / len(find)).cast("int")
 
 
+def first_place(c: Column, pattern: str) -> Column:
+    """1-based place of the first match, 0 without one."""
+    return F.when(c.rlike(pattern), F.length(F.get(F.split(c, pattern, 2), F.lit(0))) + 1).otherwise(0)
+
+
 def slice_text(c: Column, start: Column, length: Column) -> Column:
     """Substring from the 0-based ``start``."""
     return c.substr((start + 1).cast("int"), length.cast("int"))
@@ -87,7 +100,7 @@ def slice_text(c: Column, start: Column, length: Column) -> Column:
 
 def window_text(c: Column, query: str, case_sensitive: bool, width: int = 60) -> Column:
     """About ``width`` characters around the first match, ``…`` on each side that was cut."""
-    hay, needle = (c, query) if case_sensitive else (F.lower(c), query.lower())
+    at = F.instr(c, query) if case_sensitive else first_place(c, literal_pattern(query, False))
     half = (width - len(query)) // 2
     q = len(query)
 
@@ -101,7 +114,7 @@ def window_text(c: Column, query: str, case_sensitive: bool, width: int = 60) ->
         )
 
     return let(
-        F.instr(hay, needle) - 1,
+        at - 1,
         lambda idx: F.when(idx < 0, F.substring(c, 1, width)).otherwise(cut(idx)),
     )
 
@@ -152,8 +165,8 @@ def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
 
 
-# Texts made of _SAFE characters only are in NFC already.
-_NFC_SAFE_ONLY = f"\\A[{char_class(_SAFE)}]*\\z"
+# Latin, kana, CJK ideographs and Hangul syllables: texts of these only are in NFC already.
+_NFC_SAFE_ONLY = r"\A[\x00-\u02FF\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FFF\uAC00-\uD7A3]*\z"
 
 
 def nfc(c: Column) -> Column:

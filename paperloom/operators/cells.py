@@ -159,7 +159,7 @@ def shown_value(kind: Column, text: Column, formula: Column, ts: Column) -> Colu
 
 
 def sheet_edit_results(sheet_cells: DataFrame, updates: DataFrame) -> DataFrame:
-    """Change table of sheet updates. A slave of a merged range edits its master.
+    """Change table of sheet updates, one row each. A slave of a merged range edits its master.
 
     ``sheet_cells``: doc_id, sheet, row, col, kind, value_text, value_ts, formula, master_row,
     master_col; ``updates``: doc_id, update_no, sheet, cell, value. Within a document the updates
@@ -219,14 +219,17 @@ def sheet_edit_results(sheet_cells: DataFrame, updates: DataFrame) -> DataFrame:
             shown_value(F.col("kind"), F.col("value_text"), F.col("formula"), F.col("value_ts")),
         ).alias("old_value"),
         F.col("value").alias("new_value"),
-        F.when(F.col("has_sheet").isNull(), "sheet_missing").otherwise("ok").alias("status"),
+        F.when(F.col("has_sheet").isNull(), "sheet_missing")
+        .when(F.col("row").isNull() | F.col("col").isNull(), "address_invalid")
+        .otherwise("ok")
+        .alias("status"),
         F.coalesce(F.col("is_slave"), F.lit(False)).alias("merged_warning"),
         F.coalesce(overwrites_formula, F.lit(False)).alias("formula_warning"),
     )
 
 
 def apply_sheet_edits(sheet_cells: DataFrame, updates: DataFrame) -> DataFrame:
-    """Sheet cells after the updates of every document that names only known sheets."""
+    """Sheet cells after the updates of every document whose updates are all ``ok``."""
     results = sheet_edit_results(sheet_cells, updates)
     clean = results.groupBy("doc_id").agg(F.every(F.col("status") == "ok").alias("clean"))
     key = ["doc_id", "sheet", "row", "col"]
@@ -326,11 +329,13 @@ def form_edit_results(form_objects: DataFrame, edits: DataFrame) -> DataFrame:
             "set_bool",
             F.when(F.col("n").isNull(), "not_found")
             .when(F.col("n") > 1, "ambiguous")
-            .when(F.col("set_key") != allowed[F.col("o.type")], "type_mismatch")
+            .when(F.col("set_key").isNull(), "nothing_set")
+            .when(F.col("set_text").isNotNull() & F.col("set_bool").isNotNull(), "too_much_set")
+            .when(~F.coalesce(F.col("set_key") == allowed[F.col("o.type")], F.lit(False)), "type_mismatch")
             .when(expected.isNotNull() & (expected != old), "value_differs")
             .when(
                 (F.col("o.type") == "comboBox")
-                & ~F.array_contains(F.col("o.combo_items"), F.col("set_text")),
+                & ~F.coalesce(F.array_contains(F.col("o.combo_items"), F.col("set_text")), F.lit(False)),
                 "not_an_item",
             )
             .otherwise("ok")

@@ -13,6 +13,7 @@ from paperloom.functions.text import (
     WS,
     change_snippet,
     contains_text,
+    first_place,
     count_literal,
     literal_pattern,
     literal_replacement,
@@ -30,9 +31,9 @@ def replaced(text: Column, find: str, replace: str, case_sensitive: bool, every:
         if case_sensitive:
             return F.replace(text, F.lit(find), F.lit(replace))
         return F.regexp_replace(text, literal_pattern(find, False), literal_replacement(replace))
-    hay, needle = (text, find) if case_sensitive else (F.lower(text), find.lower())
+    at = F.instr(text, find) if case_sensitive else first_place(text, literal_pattern(find, False))
     return let(
-        F.instr(hay, needle),
+        at,
         lambda at: F.when(at == 0, text).otherwise(
             F.overlay(text, F.lit(replace), at, F.lit(len(find)))
         ),

@@ -398,7 +398,7 @@ def verify_dims(before: DataFrame, after: DataFrame, ops: DataFrame) -> DataFram
     expected_rows, expected_cols = F.col("b_rows") + F.col("row_delta"), F.col("b_cols") + F.col("col_delta")
     return (
         expected_delta(ops)
-        .join(b, TABLE)
+        .join(b, TABLE, "left")
         .join(a, TABLE, "left")
         .select(
             *TABLE,
@@ -406,7 +406,8 @@ def verify_dims(before: DataFrame, after: DataFrame, ops: DataFrame) -> DataFram
             expected_cols.cast("int").alias("expected_cols"),
             "actual_rows",
             "actual_cols",
-            F.when(F.col("row_delta").isNull(), "not_checked")
+            F.when(F.col("b_rows").isNull(), "table_missing")
+            .when(F.col("row_delta").isNull(), "not_checked")
             .when(
                 (expected_rows == F.col("actual_rows")) & (expected_cols == F.col("actual_cols")), "ok"
             )

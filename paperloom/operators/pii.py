@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import pii as p
 from paperloom.functions.arrays import let, replace_matches
 from paperloom.functions.text import slice_text
-from paperloom.operators.ranking import top_n
+from paperloom.operators.ranking import match, top_n
 
 
 def _may_hold(line: Column) -> Column:
@@ -241,7 +241,7 @@ def merge_findings(findings: DataFrame, by: Sequence[str], order: str = "doc_id"
     )
     # Both sides keep the same columns of ``examples``, so its shuffle is made once and reused and
     # the texts are searched once: "shown" is never above "count", and "seen" is never null.
-    joined = counts.join(kept, [*by, "type"]).filter("shown <= count AND seen IS NOT NULL")
+    joined = match(counts, kept, [*by, "type"]).filter("shown <= count AND seen IS NOT NULL")
     return joined.select(
         *by,
         "type",

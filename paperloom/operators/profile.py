@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.entities import decode_entities
-from paperloom.functions.text import WS, contains_text, trim_ws
+from paperloom.functions.text import WS, contains_text, is_blank, trim_ws
 from paperloom.operators.compare import RUN_TEXT, type_label
 from paperloom.operators.edits import NEW_DATE, OLD_DATES
 
@@ -112,7 +112,7 @@ STRUCTURAL_TYPES = ("table", "heading", "image", "separator")
 
 
 def fingerprint_drift(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Losses of structure between two fingerprints of a document."""
+    """Losses of structure between two fingerprints of a document; a document on one side only is one."""
     b = before.select("doc_id", F.struct(*[c for c in before.columns if c != "doc_id"]).alias("b"))
     a = after.select("doc_id", F.struct(*[c for c in after.columns if c != "doc_id"]).alias("a"))
 
@@ -154,8 +154,12 @@ def fingerprint_drift(before: DataFrame, after: DataFrame) -> DataFrame:
         F.array(arrow(F.lit("각주"), F.col("b.footnote_count"), F.col("a.footnote_count"))),
     ).otherwise(F.array().cast("array<string>"))
     none = F.array().cast("array<string>")
-    details = F.concat(lost, F.when(same_count, grids).otherwise(none), notes)
-    return b.join(a, "doc_id").select(
+    gone = F.when(F.col("a").isNull(), F.array(F.lit("문서 없음"))).when(
+        F.col("b").isNull(), F.array(F.lit("이전 문서 없음"))
+    )
+    grids = F.when(same_count, grids).otherwise(none)
+    details = F.concat(F.coalesce(gone, none), lost, F.coalesce(grids, none), notes)
+    return b.join(a, "doc_id", "full").select(
         "doc_id", (F.size(details) > 0).alias("drift"), F.array_join(details, "; ").alias("details")
     )
 
@@ -320,11 +324,66 @@ def text_facts(docs: DataFrame, needle: str) -> DataFrame:
 
 
 # Tags, attributes and link schemes that an exported page may keep.
-ALLOWED_TAGS = """
-html head body meta title h1 h2 h3 h4 h5 h6 p br hr strong b em i u s del ins mark small sub sup
-blockquote pre code ul ol li dl dt dd table thead tbody tfoot tr th td colgroup col caption a img
-div span section article header footer main nav aside figure figcaption
-""".split()
+ALLOWED_TAGS = (
+    "html",
+    "head",
+    "body",
+    "meta",
+    "title",
+    "h1",
+    "h2",
+    "h3",
+    "h4",
+    "h5",
+    "h6",
+    "p",
+    "br",
+    "hr",
+    "strong",
+    "b",
+    "em",
+    "i",
+    "u",
+    "s",
+    "del",
+    "ins",
+    "mark",
+    "small",
+    "sub",
+    "sup",
+    "blockquote",
+    "pre",
+    "code",
+    "ul",
+    "ol",
+    "li",
+    "dl",
+    "dt",
+    "dd",
+    "table",
+    "thead",
+    "tbody",
+    "tfoot",
+    "tr",
+    "th",
+    "td",
+    "colgroup",
+    "col",
+    "caption",
+    "a",
+    "img",
+    "div",
+    "span",
+    "section",
+    "article",
+    "header",
+    "footer",
+    "main",
+    "nav",
+    "aside",
+    "figure",
+    "figcaption",
+)
 ALLOWED_ATTRIBUTES = {
     "meta": ["charset"],
     "html": ["lang"],
@@ -358,7 +417,7 @@ def page_tags(pages: DataFrame) -> DataFrame:
 def html_hygiene(pages: DataFrame) -> DataFrame:
     """What a page holds outside the allow-lists: (page_id, kind, name, n)."""
     tags = page_tags(pages)
-    allowed = F.col("tag").isin(ALLOWED_TAGS)
+    allowed = F.col("tag").isin(*ALLOWED_TAGS)
     bad_tags = tags.filter(~allowed).select("page_id", F.lit("tag").alias("kind"), F.col("tag").alias("name"))
     attrs = (
         tags.filter(allowed & (F.col("rest") != ""))
@@ -436,7 +495,11 @@ TOTAL = f"총액[은는]?{WS}*([0-9][0-9,]*)"
 
 
 def numeric_consistency(cells: DataFrame, docs: DataFrame, amount_header: str = "금액") -> DataFrame:
-    """Sum of a table's amount column beside the total that the text states."""
+    """Sum of a table's amount column beside the total that the text states.
+
+    ``status``: ``unreadable`` (a cell with text is no amount and not in the sum), ``no_total``,
+    ``consistent`` or ``differs``.
+    """
     headers = cells.filter((F.col("row") == 0) & (F.col("text") == amount_header)).select(
         "doc_id", "table_idx", "col"
     )
@@ -445,14 +508,25 @@ def numeric_consistency(cells: DataFrame, docs: DataFrame, amount_header: str =
         cells.filter("row > 0")
         .join(headers, ["doc_id", "table_idx", "col"])
         .groupBy("doc_id", "table_idx")
-        .agg(F.sum(amount).alias("column_sum"))
+        .agg(
+            F.sum(amount).alias("column_sum"),
+            F.count_if(amount.isNull() & ~is_blank(F.col("text"))).alias("unreadable"),
+        )
     )
     stated = F.replace(F.regexp_extract("text", TOTAL, 1), F.lit(","), F.lit("")).try_cast("decimal(38,0)")
     totals = docs.filter(F.col("text").rlike(TOTAL)).select("doc_id", stated.alias("stated_total"))
-    return sums.join(totals, "doc_id").select(
+    equal = F.coalesce(F.col("column_sum") == F.col("stated_total"), F.lit(False))
+    status = (
+        F.when(F.col("unreadable") > 0, "unreadable")
+        .when(F.col("stated_total").isNull(), "no_total")
+        .when(equal, "consistent")
+        .otherwise("differs")
+    )
+    return sums.join(totals, "doc_id", "left").select(
         "doc_id",
         "table_idx",
         F.col("column_sum").cast("bigint").alias("column_sum"),
         F.col("stated_total").cast("bigint").alias("stated_total"),
-        (F.col("column_sum") == F.col("stated_total")).alias("consistent"),
+        (status == "consistent").alias("consistent"),
+        status.alias("status"),
     )

@@ -26,12 +26,21 @@ def top_n(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int) ->
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
+def match(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys are equal, with one copy of the keys."""
+    other = right.withColumnsRenamed({k: f"_r_{k}" for k in on})
+    same = F.lit(True)
+    for k in on:
+        same = same & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(other, same, how).drop(*[f"_r_{k}" for k in on])
+
+
 def cap(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """``top_n`` plus the true ``total`` of the group and a ``truncated`` flag."""
     totals = df.groupBy(*by).agg(F.count("*").alias("total"))
     return (
         top_n(df, by, order, n)
-        .join(totals, list(by))
+        .transform(match, totals, list(by))
         .withColumn("truncated", F.col("total") > n)
     )
 
@@ -74,7 +83,7 @@ def running(
         {f"_c_{n}": F.col(f"_s_{n}") for n in maxes},
         inclusive=False,
     ).drop(*[f"_s_{n}" for n in (*sums, *maxes)])
-    out = staged.join(carried, keys)
+    out = match(staged, carried, keys)
     total = {n: local[n] + F.col(f"_c_{n}") for n in sums}
     total |= {n: F.greatest(local[n], F.col(f"_c_{n}")) for n in maxes}
     return out.withColumns(total).select(*df.columns, *sums, *maxes)
@@ -91,7 +100,7 @@ def attach(
     """
     salt = F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")
     spread = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("_salt", salt).join(spread, [*on, "_salt"], how).drop("_salt")
+    return match(rows.withColumn("_salt", salt), spread, [*on, "_salt"], how).drop("_salt")
 
 
 def first_occurrences(docs: DataFrame, term: str) -> DataFrame:

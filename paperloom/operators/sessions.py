@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.arrays import let
-from paperloom.functions.text import trim_ws
+from paperloom.functions.text import WS, trim_ws
 from paperloom.operators.ranking import attach, running
 
 TURN_BLOCK = 1024
@@ -137,11 +137,19 @@ def usage_totals(turns: DataFrame, budget: int) -> DataFrame:
 
 
 # Tools that change documents.
-EDITING_TOOLS = """
-propose_edit propose_find_replace propose_cell_edit propose_redact_pii propose_form_fill
-propose_table_structure propose_form_object propose_sheet_edit write_new_document
-write_new_spreadsheet restore_backup
-""".split()
+EDITING_TOOLS = (
+    "propose_edit",
+    "propose_find_replace",
+    "propose_cell_edit",
+    "propose_redact_pii",
+    "propose_form_fill",
+    "propose_table_structure",
+    "propose_form_object",
+    "propose_sheet_edit",
+    "write_new_document",
+    "write_new_spreadsheet",
+    "restore_backup",
+)
 THRASH_THRESHOLD = 5
 
 
@@ -243,7 +251,8 @@ def _verdict(json: Column) -> Column:
     return F.when(F.startswith(json, F.lit("{")), let(F.try_parse_json(json), typed))
 
 
-FENCED = r"(?s)```(?:json)?\s*(.+?)```"
+# Where a verdict may stand in an answer.
+FENCED = rf"(?s)```(?:json)?{WS}*(.+?)```"
 FIRST_OBJECT = r"(?s)\{.*?\"pass\"\s*:\s*(?:true|false).*?\}"
 
 
@@ -285,8 +294,8 @@ def score_runs(runs: DataFrame, specs: DataFrame) -> DataFrame:
 
 # Phrases that admit a limit, and phrases that claim completion.
 LIMITATION = (
-    r"(지원(하지|되지)?\s*(않|안)|지원하지\s*않|불가|할\s*수\s*없|현재(는)?\s*(도구|지원)|직접\s*편집할\s*수\s*없"
-    r"|한계|제공하지\s*않|어렵습니다)"
+    rf"(지원(하지|되지)?{WS}*(않|안)|지원하지{WS}*않|불가|할{WS}*수{WS}*없|현재(는)?{WS}*(도구|지원)|직접{WS}*편집할{WS}*수{WS}*없"
+    rf"|한계|제공하지{WS}*않|어렵습니다)"
 )
 COMPLETION = (
     r"(완료(했습니다|되었습니다|하였습니다)|수정(했습니다|되었습니다|하였습니다)|정비(했습니다|되었습니다)"

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from paperloom.operators.ranking import attach, cap, running, top_n
 
+# Form of a version file name, and of the time in it.
 VERSION_NAME = r"^(\d{4}-\d{2}-\d{2}T\d{2}-\d{2}-\d{2}-\d{3}Z)-(.+)$"
 TOKEN_PARTS = r"^(\d{4}-\d{2}-\d{2})T(\d{2})-(\d{2})-(\d{2})-(\d{3})Z$"
 MAX_LISTED = 50

@@ -290,7 +290,8 @@ su AS (
   UNION ALL SELECT DISTINCT doc_id, 2, 'S0', 'B1', 'v2', 0, CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1 END FROM sc
   UNION ALL SELECT DISTINCT doc_id, 3, 'S1', 'd' || (doc_id % 3 * 2 + 2), 'v3', (doc_id % 3 * 2 + 1)::int, 3 FROM sc
   UNION ALL SELECT DISTINCT doc_id, 4, 'S0', 'A1', 'v4', 0, 0 FROM sc
-  UNION ALL SELECT DISTINCT doc_id, 5, 'S0', 'AB12', 'v5', 11, 27 FROM sc),
+  UNION ALL SELECT DISTINCT doc_id, 5, 'S0', 'AB12', 'v5', 11, 27 FROM sc
+  UNION ALL SELECT DISTINCT doc_id, 6, 'S0', '1A', 'v6', NULL::int, NULL::int FROM sc WHERE doc_id % 11 = 3),
 sr AS (
   SELECT u.doc_id, u.update_no, u.sheet, u.row, u.col, u.cell, u.value, s.kind,
     lag(u.value) OVER (PARTITION BY u.doc_id, u.sheet, u.row, u.col ORDER BY u.update_no) AS written,
@@ -336,11 +337,11 @@ def _sheet_updates(cells):
     return cells.select("doc_id").distinct().select(
         "doc_id",
         F.expr(
-            """stack(5, 1, if(doc_id % 13 = 5, 'S9', 'S0'), 'C' || (doc_id % 5 * 2 + 1), 'v1',
+            """stack(6, 1, if(doc_id % 13 = 5, 'S9', 'S0'), 'C' || (doc_id % 5 * 2 + 1), 'v1',
               2, 'S0', 'B1', 'v2', 3, 'S1', 'd' || (doc_id % 3 * 2 + 2), 'v3',
-              4, 'S0', 'A1', 'v4', 5, 'S0', 'AB12', 'v5') as (update_no, sheet, cell, value)"""
+              4, 'S0', 'A1', 'v4', 5, 'S0', 'AB12', 'v5', 6, 'S0', '1A', 'v6') as (update_no, sheet, cell, value)"""
         ),
-    )
+    ).filter("update_no < 6 or doc_id % 11 = 3")
 
 
 @query(
@@ -349,7 +350,7 @@ def _sheet_updates(cells):
     SELECT doc_id, update_no, sheet, row, col, sheet || '!' || cell
         || CASE WHEN cell = 'B1' AND doc_id % 2 = 0 THEN ' → A1' ELSE '' END AS target,
       coalesce(written, old) AS old_value, value AS new_value,
-      CASE WHEN sheet = 'S9' THEN 'sheet_missing' ELSE 'ok' END AS status,
+      CASE WHEN sheet = 'S9' THEN 'sheet_missing' WHEN row IS NULL THEN 'address_invalid' ELSE 'ok' END AS status,
       cell = 'B1' AND doc_id % 2 = 0 AS merged_warning,
       written IS NULL AND coalesce(kind, '') = 'formula' AS formula_warning
     FROM sr""",
@@ -363,7 +364,7 @@ def sheet_edit_results(spark, sf_dir):
     "apply_sheet_edits",
     f"""WITH {_SHEET_SQL},
     last AS (SELECT doc_id, sheet, row, col, arg_max(value, update_no) AS v FROM sr
-      WHERE doc_id % 13 <> 5 GROUP BY ALL)
+      WHERE doc_id % 13 <> 5 AND doc_id % 11 <> 3 GROUP BY ALL)
     SELECT coalesce(s.doc_id, l.doc_id) AS doc_id, coalesce(s.sheet, l.sheet) AS sheet,
       coalesce(s.row, l.row) AS row, coalesce(s.col, l.col) AS col,
       CASE WHEN v IS NOT NULL THEN 'string' ELSE kind END AS kind, coalesce(v, value_text) AS value_text,

@@ -109,9 +109,9 @@ def corpus_templates(spark, sf_dir):
         count(*) FILTER (type = 'table' AND (doc_id + block_no) % 13 <> 0) AS ta,
         count(*) FILTER (type = 'heading' AND (doc_id + block_no) % 13 <> 0) AS ah,
         count(*) FILTER ((doc_id + block_no) % 13 <> 0) AS alive FROM blocks GROUP BY doc_id),
-    s AS (SELECT doc_id, CASE WHEN ta < bt THEN '표 ' || bt || '→' || ta END AS t,
-        CASE WHEN ah < bh THEN '제목 ' || bh || '→' || ah END AS h FROM n WHERE alive > 0)
-    SELECT doc_id, t IS NOT NULL OR h IS NOT NULL AS drift, concat_ws('; ', t, h) AS details FROM s""",
+    s AS (SELECT doc_id, CASE WHEN alive = 0 THEN '문서 없음' END AS g, CASE WHEN ta < bt THEN '표 ' || bt || '→' || ta END AS t,
+        CASE WHEN ah < bh THEN '제목 ' || bh || '→' || ah END AS h FROM n)
+    SELECT doc_id, coalesce(g, t, h) IS NOT NULL AS drift, concat_ws('; ', g, t, h) AS details FROM s""",
 )
 def fingerprint_drift(spark, sf_dir):
     return op.fingerprint_drift(
@@ -374,21 +374,26 @@ def lint_flags(spark, sf_dir):
 
 @query(
     "numeric_consistency",
-    """WITH o AS (SELECT o_orderkey // 4 AS doc_id, floor(o_totalprice)::bigint AS v FROM orders)
-    SELECT doc_id, 0 AS table_idx, sum(v)::bigint AS column_sum,
-      (sum(v) + CASE WHEN doc_id % 5 = 0 THEN 10 ELSE 0 END)::bigint AS stated_total, doc_id % 5 <> 0 AS consistent
-    FROM o GROUP BY doc_id""",
+    """WITH o AS (SELECT o_orderkey // 4 AS doc_id, floor(o_totalprice)::bigint AS v, o_orderkey % 29 = 7 AS bad FROM orders),
+    s AS (SELECT doc_id, sum(v) FILTER (NOT bad) AS read, sum(v) + CASE WHEN doc_id % 5 = 0 THEN 10 ELSE 0 END AS said,
+      count(*) FILTER (bad) AS bad FROM o GROUP BY doc_id),
+    t AS (SELECT doc_id, read, CASE WHEN doc_id % 11 <> 4 THEN said END AS said,
+      CASE WHEN bad > 0 THEN 'unreadable' WHEN doc_id % 11 = 4 THEN 'no_total'
+        WHEN doc_id % 5 = 0 THEN 'differs' ELSE 'consistent' END AS status FROM s)
+    SELECT doc_id, 0 AS table_idx, read::bigint AS column_sum, said::bigint AS stated_total,
+      status = 'consistent' AS consistent, status FROM t""",
 )
 def numeric_consistency(spark, sf_dir):
     orders = load(spark, sf_dir, "orders").select(
         F.expr("o_orderkey div 4").alias("doc_id"),
         F.expr("cast(o_orderkey % 4 + 1 as int)").alias("row"),
         F.expr("cast(floor(o_totalprice) as bigint)").alias("v"),
+        F.expr("o_orderkey % 29 = 7").alias("bad"),
     )
     totals = orders.groupBy("doc_id").agg(F.sum("v").alias("t"))
     body = orders.select(
         "doc_id", F.lit(0).alias("table_idx"), "row",
-        F.expr("stack(2, 0, '항목', 1, format_number(v, 0) || if(v % 2 = 0, '원', '')) as (col, text)"),
+        F.expr("stack(2, 0, '항목', 1, if(bad, '1억', format_number(v, 0) || if(v % 2 = 0, '원', ''))) as (col, text)"),
     )
     head = totals.select(
         "doc_id", F.lit(0).alias("table_idx"), F.lit(0).alias("row"),
@@ -396,6 +401,6 @@ def numeric_consistency(spark, sf_dir):
     )
     docs = totals.select(
         "doc_id",
-        F.expr("'합계: 총액은 ' || (t + if(doc_id % 5 = 0, 10, 0)) || '원입니다.'").alias("text"),
+        F.expr("if(doc_id % 11 = 4, '합계: 없음', '합계: 총액은 ' || (t + if(doc_id % 5 = 0, 10, 0)) || '원입니다.')").alias("text"),
     )
     return op.numeric_consistency(body.unionByName(head), docs)

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperloom.functions.arrays import let
-from paperloom.functions.text import char_class
 
-# Characters a Korean document usually holds, as ranges of code points.
-COMMON = "09 0a 0d 20-7e ac00-d7a3 1100-11ff 3130-318f 4e00-9fff 3000-303f ff00-ffef 20a9"
+# Characters a Korean document usually holds, as a class of a regular expression.
+COMMON = (
+    r"[\t\n\r\x20-\x7E\uAC00-\uD7A3\u1100-\u11FF\u3130-\u318F\u4E00-\u9FFF\u3000-\u303F\uFF00-\uFFEF\u20A9]"
+)
 
 
 @F.pandas_udf(T.StringType())
@@ -24,7 +25,7 @@ def _decode(content: pd.Series, codec: pd.Series) -> pd.Series:
 
 def garbage_score(text: Column) -> Column:
     """How unlikely a decoding is: NUL counts 3, U+FFFD 2, any other uncommon character 1."""
-    uncommon = F.length(F.regexp_replace(text, f"[{char_class(COMMON)}]+", ""))
+    uncommon = F.length(F.regexp_replace(text, f"{COMMON}+", ""))
     nul = F.length(text) - F.length(F.replace(text, F.lit("\x00"), F.lit("")))
     bad = F.length(text) - F.length(F.replace(text, F.lit("�"), F.lit("")))
     return uncommon + 2 * nul + bad

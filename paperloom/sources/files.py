@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Document extensions in display order, folders that are skipped, limits.
-DOC_EXTENSIONS = ".hwp .hwpx .hwpml .docx .doc .xlsx .xls .pdf .pptx .ppt .md .txt".split()
-SKIP_NAMES = "node_modules .git .DS_Store __pycache__ dist build .next".split()
-READ_EXTENSIONS = ".hwp .hwpx .hwpml .docx .xlsx .xls .pdf .md .txt".split()
-WRITE_EXTENSIONS = ".hwpx .docx .xlsx .md .txt".split()
+DOC_EXTENSIONS = (".hwp", ".hwpx", ".hwpml", ".docx", ".doc", ".xlsx", ".xls", ".pdf", ".pptx", ".ppt", ".md", ".txt")
+SKIP_NAMES = ("node_modules", ".git", ".DS_Store", "__pycache__", "dist", "build", ".next")
+READ_EXTENSIONS = (".hwp", ".hwpx", ".hwpml", ".docx", ".xlsx", ".xls", ".pdf", ".md", ".txt")
+WRITE_EXTENSIONS = (".hwpx", ".docx", ".xlsx", ".md", ".txt")
 ZIP_EXTENSIONS = [".hwpx", ".docx", ".xlsx"]
 MAX_DEPTH = 4
 MAX_FILES = 500
@@ -41,7 +41,7 @@ def inventory(files: DataFrame, max_depth: int = MAX_DEPTH, cap: int = MAX_FILES
     ``files``: path relative to the root. Hidden and build entries are skipped with all they hold.
     """
     parts = F.split("path", "/")
-    bad = F.exists("parts", lambda p: F.startswith(p, F.lit(".")) | p.isin(SKIP_NAMES))
+    bad = F.exists("parts", lambda p: F.startswith(p, F.lit(".")) | p.isin(*SKIP_NAMES))
     # A folder or file at depth d has d segments above it.
     visible = files.select("path", parts.alias("parts")).filter(~bad)
     items = F.transform(
@@ -58,7 +58,7 @@ def inventory(files: DataFrame, max_depth: int = MAX_DEPTH, cap: int = MAX_FILES
     entries = (
         visible.select(F.inline(items)).filter(F.col("depth") <= max_depth).distinct()
     )
-    is_doc = ~F.col("is_dir") & extension(F.col("path")).isin(DOC_EXTENSIONS)
+    is_doc = ~F.col("is_dir") & extension(F.col("path")).isin(*DOC_EXTENSIONS)
     rank = F.when(is_doc, 0).when(F.col("is_dir"), 1).otherwise(2)
     return (
         entries.select("path", "is_dir", is_doc.alias("is_doc"), rank.alias("rank"))
@@ -72,7 +72,7 @@ def classify_files(files: DataFrame) -> DataFrame:
     ext = extension(F.col("path"))
     return (
         files.withColumn("ext", ext)
-        .filter(F.col("ext").isin(READ_EXTENSIONS))
+        .filter(F.col("ext").isin(*READ_EXTENSIONS))
         .select(
             "path",
             "ext",
@@ -80,7 +80,7 @@ def classify_files(files: DataFrame) -> DataFrame:
             .when(F.col("ext").isin(".md", ".txt"), "other")
             .otherwise("doc")
             .alias("kind"),
-            (F.col("ext").isin(WRITE_EXTENSIONS) | (F.col("ext") == ".hwp")).alias("writable"),
+            (F.col("ext").isin(*WRITE_EXTENSIONS) | (F.col("ext") == ".hwp")).alias("writable"),
             F.when(F.col("ext") == ".hwp", F.regexp_replace("path", r"(?i)\.hwp$", ".hwpx"))
             .when(F.col("ext") == ".xls", F.regexp_replace("path", r"(?i)\.xls$", ".xlsx"))
             .otherwise(F.col("path"))
