@@ -5,9 +5,11 @@ a pair (A_i, B_j), so SIDE * SIDE tables of six minhashes cost only 2 * SIDE * 3
 Documents that meet in a table are candidates; candidates are confirmed on their full shingle sets.
 
 Documents with equal sets form a class and are compared as one. Candidates are first taken as a star
-and a chain in each bucket, which joins most of a group with few comparisons; then every pair of
-classes that still are in different components of a bucket is compared, so no link that the tables
-see is lost. A bucket is cut into blocks of bounded size, and pairs of blocks are tasks of their own.
+and a chain in each bucket, which joins most of a group with few comparisons; then all classes that
+still are in different components of a bucket, and that their minhashes do not tell apart, meet with
+their texts and are compared where they meet: no link between components that the tables see is
+lost, and no pairs are handed on but those links. A bucket is cut into blocks of bounded size, and
+pairs of blocks are groups of their own.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ PERCENT = 80
 # standard deviations under that, a pair is not compared on full sets.
 LEAST_AGREE = 57
 # Classes of a bucket that one task holds from each of two blocks.
-BLOCK = 4096
+BLOCK = 1024
 CACHE_WORDS = 300_000
 
 _rng = np.random.default_rng(20)
@@ -149,28 +151,10 @@ def _star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = pa.Table.from_batches([rows]).take(sorted({int(first[last]), last}))
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (bucket, two blocks): in each run, all pairs of different components."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by their first two columns, one batch for each run of equal values."""
     held: list[pa.RecordBatch] = []
     now = None
-
-    def run() -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(held).combine_chunks()
-        if rows.num_rows < 2:
-            return
-        rows = rows.to_batches()[0]
-        _, comp, sizes = np.unique(np.array(rows.column(5).to_pylist(), "S16"), return_inverse=True, return_counts=True)
-        if len(sizes) < 2:
-            return
-        n, short = rows.column(3).to_numpy(zero_copy_only=False), _short(rows.column(4))
-        largest = int(sizes.argmax())
-        for r in np.flatnonzero(comp != largest).tolist():
-            other = np.flatnonzero((comp != comp[r]) & ((comp == largest) | (np.arange(len(comp)) > r)))
-            if len(other):
-                good = other[_agree(short[other], short[r : r + 1], n[other], n[r : r + 1])]
-                if len(good):
-                    yield _pairs(rows.column(2), good, np.full(len(good), r))
-
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -180,12 +164,72 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in zip(edges, edges[1:]):
             name = (int(key[0][a]), int(key[1][a]))
             if held and name != now:
-                yield from run()
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                 held = []
             now = name
             held.append(batch.slice(a, b - a))
     if held:
-        yield from run()
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _crossing(rows: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """Row numbers of a bucket: each that is outside the largest component, with those of other
+    components that it may be a near-duplicate of. A pair counts in the first bucket it shares only."""
+    _, comp, sizes = np.unique(np.array(rows.column(5).to_pylist(), "S16"), return_inverse=True, return_counts=True)
+    if len(sizes) < 2:
+        return
+    n, short = rows.column(3).to_numpy(zero_copy_only=False), _short(rows.column(4))
+    keys = short[:, : HASHES // 2].reshape(len(short), SIDE, ROWS)
+    i = int(rows.column(6)[0].as_py())
+    largest = int(sizes.argmax())
+    for r in np.flatnonzero(comp != largest).tolist():
+        other = np.flatnonzero((comp != comp[r]) & ((comp == largest) | (np.arange(len(comp)) > r)))
+        good = other[_agree(short[other], short[r : r + 1], n[other], n[r : r + 1])]
+        if i and len(good):
+            good = good[~(keys[good, :i] == keys[r, :i]).all(2).any(1)]
+        if len(good):
+            yield r, good
+
+
+def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of each (bucket, two blocks) that may be near-duplicates across components."""
+    for rows in _groups(batches):
+        marked = np.zeros(rows.num_rows, bool)
+        for r, others in _crossing(rows):
+            marked[r] = True
+            marked[others] = True
+        if marked.any():
+            yield rows.select([0, 1, 2]).filter(pa.array(marked))
+
+
+def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows with their texts: a link for each two components that the full sets join."""
+    known = Words()
+    for rows in _groups(batches):
+        codes = [shingles(t, known) for t in texts(rows.column(7))]
+        sizes = np.array([len(c) for c in codes])
+        begin = np.cumsum(sizes) - sizes
+        vocabulary, flat = np.unique(np.concatenate(codes), return_inverse=True)
+        seen = np.zeros(len(vocabulary), bool)
+        name = np.unique(np.array(rows.column(5).to_pylist(), "S16"), return_inverse=True)[1]
+        left, right = [], []
+        for r, others in _crossing(rows):
+            others = others[name[others] != name[r]]
+            if not len(others):
+                continue
+            own = flat[begin[r] : begin[r] + sizes[r]]
+            seen[own] = True
+            common = np.add.reduceat(seen[flat], begin, dtype=np.int64)[others]
+            seen[own] = False
+            near = others[100 * common >= PERCENT * (sizes[r] + sizes[others] - common)]
+            for other in near.tolist():
+                # What is joined once need not be joined again.
+                if name[other] != name[r]:
+                    left.append(r)
+                    right.append(other)
+                    name[name == name[other]] = name[r]
+        if left:
+            yield _pairs(rows.column(2), np.array(left), np.array(right))
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -260,7 +304,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bucket = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)), lambda i: F.xxhash64(i, F.substring("a", i * size + 1, F.lit(size)))))
     keys = classes.select("cls", "n", "short", "text_hash", bucket.alias("i", "bucket"))
     busy = keys.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
-    rows = staged(keys.join(busy, "bucket").select("bucket", "cls", "n", "short", "members", "text_hash"), "minhash-rows")
+    rows = staged(keys.join(busy, "bucket").select("bucket", "i", "cls", "n", "short", "members", "text_hash"), "minhash-rows")
     blocks = F.ceil(F.col("members") / block).cast("int")
     own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
 
@@ -277,15 +321,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = staged(_confirm(first, pool), "minhash-links")
     roots = components(links)
 
-    placed = rows.join(roots, F.col("cls") == F.col("node"), "left").select("bucket", "cls", "n", "short", "members", F.coalesce("root", "cls").alias("comp"))
+    placed = rows.join(roots, F.col("cls") == F.col("node"), "left").select("bucket", "i", "cls", "n", "short", "members", F.coalesce("root", "cls").alias("comp"))
     placed = staged(placed, "minhash-placed")
     torn = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("bucket")
     left = placed.join(torn, "bucket")
     # A class goes to every pair of blocks that holds its own: one task per pair.
     pair = F.transform(F.sequence(F.lit(0), blocks - 1), lambda c: F.least(own, c).cast("long") * (1 << 31) + F.greatest(own, c))
-    across = left.select("bucket", F.explode(pair).alias("blocks"), "cls", "n", "short", "comp").repartition("bucket", "blocks").sortWithinPartitions("bucket", "blocks")
-    second = across.mapInArrow(_across, "x binary, y binary").distinct().join(first, ["x", "y"], "left_anti")
-    more = staged(_confirm(staged(second, "minhash-pairs"), pool), "minhash-links")
+    key = ["bucket", "blocks"]
+    across = left.select("bucket", F.explode(pair).alias("blocks"), "cls", "n", "short", "comp", "i")
+    suspects = across.repartition(*key).sortWithinPartitions(*key).mapInArrow(_suspects, "bucket long, blocks long, cls binary")
+    suspects = staged(suspects, "minhash-suspects")
+    # Texts only for the few that the signatures leave open; compared where they meet.
+    facts = placed.select("cls", "n", "short", "comp", "bucket", "i")
+    open_ = suspects.join(facts, ["bucket", "cls"]).join(pool, "cls").select(*key, "cls", "n", "short", "comp", "i", "text")
+    more = open_.repartition(*key).sortWithinPartitions(*key).mapInArrow(_link, "x binary, y binary").distinct()
     star = roots.filter("node != root").select(F.col("node").alias("x"), F.col("root").alias("y"))
     final = staged(components(star.unionByName(more)), "minhash-roots")
 
