@@ -154,8 +154,11 @@ def _windows(length: int):
 
 
 def _repeated(rows: DataFrame, key: str) -> DataFrame:
-    """Rows whose key occurs more than once; counted per task first, so a frequent key is cheap."""
-    twice = rows.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(key)
+    """Rows whose key occurs more than once; counted per task first, so a frequent key is cheap.
+
+    The keys are written: between two plain shuffles the rows of a frequent key can be split.
+    """
+    twice = staged(rows.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(key), "repeats-keys")
     return rows.join(twice, key, "left_semi")
 
 
@@ -168,7 +171,7 @@ def repeated_runs(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
     )
     whole = runs.join(classes.filter("n > 1").select("k1", "k2"), ["k1", "k2"], "left_semi").select("owner", "run")
 
-    several = classes.groupBy("k1").agg(F.count("*").alias("m")).filter("m > 1").select("k1")
+    several = staged(classes.groupBy("k1").agg(F.count("*").alias("m")).filter("m > 1").select("k1"), "repeats-keys")
     open_ = classes.join(several, "k1", "left_semi").groupBy("owner").agg(F.collect_list(F.struct("k1", "run")).alias("runs"))
     # One row per text, whatever the number of its copies.
     work = keyed.join(open_, "owner").dropDuplicates(["owner"]).select("owner", "check", "text", "runs")
