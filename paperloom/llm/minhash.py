@@ -303,7 +303,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size = 4 * ROWS
     bucket = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)), lambda i: F.xxhash64(i, F.substring("a", i * size + 1, F.lit(size)))))
     keys = classes.select("cls", "n", "short", "text_hash", bucket.alias("i", "bucket"))
-    busy = keys.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
+    # Written, as are the facts joined below: between two plain shuffles a busy key can be split.
+    busy = staged(keys.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1"), "minhash-busy")
     rows = staged(keys.join(busy, "bucket").select("bucket", "i", "cls", "n", "short", "members", "text_hash"), "minhash-rows")
     blocks = F.ceil(F.col("members") / block).cast("int")
     own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
@@ -324,7 +325,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = rows.join(roots, F.col("cls") == F.col("node"), "left").select("bucket", "i", "cls", "n", "short", "members", F.coalesce("root", "cls").alias("comp"))
     placed = staged(placed, "minhash-placed")
     torn = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("bucket")
-    left = placed.join(torn, "bucket")
+    left = placed.join(staged(torn, "minhash-torn"), "bucket")
     # A class goes to every pair of blocks that holds its own: one task per pair.
     pair = F.transform(F.sequence(F.lit(0), blocks - 1), lambda c: F.least(own, c).cast("long") * (1 << 31) + F.greatest(own, c))
     key = ["bucket", "blocks"]
@@ -341,7 +342,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = base.select("id", "n_shingles", "cls").join(final, F.col("cls") == F.col("node"), "left").select("id", "n_shingles", F.coalesce("root", "cls").alias("comp"))
     named = staged(named, "minhash-named")
     least = named.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("id").alias("least")).withColumnRenamed("comp", "_comp")
-    out = named.join(least, F.col("comp") == F.col("_comp"), "left")
+    out = named.join(staged(least, "minhash-least"), F.col("comp") == F.col("_comp"), "left")
     component = F.when(F.col("comp").isNull(), F.col("id")).otherwise(F.col("least"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), _kept(F.col("id"), component).alias("kept"))
 

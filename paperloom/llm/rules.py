@@ -112,7 +112,7 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty table; columns besides the three named are not read.
     """
     measured = staged(measure(docs, id_col, text_col, (host_col,)), "rules")
-    hosts = host_verdicts(measured, host_col, max_rate).withColumnRenamed(host_col, "_host")
+    hosts = staged(host_verdicts(measured, host_col, max_rate), "rules-hosts").withColumnRenamed(host_col, "_host")
     joined = measured.join(hosts, F.col(host_col).eqNullSafe(F.col("_host")), "left").drop("_host")
     return joined.withColumn("kept", ~F.col("base_failed") & F.col("host_kept"))
 

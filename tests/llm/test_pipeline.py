@@ -2,8 +2,8 @@ import hashlib
 
 import pytest
 from pyspark.sql import functions as F
-from test_minhash import brute as near_brute
-from test_repeats import brute as repeat_brute
+from llm.test_minhash import brute as near_brute
+from llm.test_repeats import brute as repeat_brute
 
 import corpus_pipeline
 from paperloom.llm import mixing
