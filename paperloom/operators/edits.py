@@ -19,7 +19,6 @@ from paperloom.functions.text import (
     literal_replacement,
 )
 
-MAX_SAMPLES = 20
 OVERWRITE_MIN_LENGTH = 2000
 OVERWRITE_RATIO = 0.5
 
@@ -71,22 +70,20 @@ def rename_terms(
     return out
 
 
-def change_snippets(pairs: DataFrame, max_samples: int = MAX_SAMPLES) -> DataFrame:
-    """Changed lines cut to the change and its surroundings; first ``max_samples`` per document.
+def change_snippets(pairs: DataFrame, max_samples: int | None = None) -> DataFrame:
+    """Changed lines cut to the change and its surroundings; all, or the first of each document.
 
-    ``pairs``: doc_id, before, after with equal line counts (lines beyond the shorter are left out).
+    ``pairs``: doc_id, before, after. Lines are compared by number; a line that only one side has
+    stands against an empty one.
     """
 
     def build(b: Column, a: Column) -> Column:
-        shared = F.least(F.size(b), F.size(a))
-        changed = F.filter(
-            positions(b), lambda i: (i < shared) & (F.get(b, i) != F.get(a, i))
-        )
+        line = lambda x, i: F.coalesce(F.get(x, i), F.lit(""))
+        longer = F.when(F.size(b) >= F.size(a), b).otherwise(a)
+        changed = F.filter(positions(longer), lambda i: ~F.get(b, i).eqNullSafe(F.get(a, i)))
         return F.transform(
-            F.slice(changed, 1, max_samples),
-            lambda i: F.struct(
-                (i + 1).alias("line_no"), change_snippet(F.get(b, i), F.get(a, i)).alias("s")
-            ),
+            changed if max_samples is None else F.slice(changed, 1, max_samples),
+            lambda i: F.struct((i + 1).alias("line_no"), change_snippet(line(b, i), line(a, i)).alias("s")),
         )
 
     rows = let(F.split("before", "\n"), lambda b: let(F.split("after", "\n"), lambda a: build(b, a)))

@@ -35,8 +35,20 @@ def match(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inne
     return left.join(other, same, how).drop(*[f"_r_{k}" for k in on])
 
 
-def cap(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
-    """``top_n`` plus the true ``total`` of the group and a ``truncated`` flag."""
+def cap(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int | None = None) -> DataFrame:
+    """Rows ranked in their group, plus its true ``total`` and a ``truncated`` flag.
+
+    With ``n`` only the first ``n`` rows of a group, found as in ``top_n``.
+    """
+    if n is None:
+        w = Window.partitionBy(*by)
+        return df.withColumns(
+            {
+                "rank": F.row_number().over(w.orderBy(*order)),
+                "total": F.count("*").over(w),
+                "truncated": F.lit(False),
+            }
+        )
     totals = df.groupBy(*by).agg(F.count("*").alias("total"))
     return (
         top_n(df, by, order, n)

@@ -8,16 +8,15 @@ from pyspark.sql import functions as F
 from paperloom.functions.arrays import let
 from paperloom.functions.text import contains_text, nfc, trim_ws, window_text, with_nfc
 from paperloom.operators.ranking import cap
-from paperloom.operators.structure import MAX_EXCERPTS, excerpt_blocks
+from paperloom.operators.structure import excerpt_blocks
 
-MAX_HITS = 50
 CELL_HIT, BODY_HIT = "표", "본문"  # fixed values
 
 
 def search_excerpts(
-    docs: DataFrame, query: str, context: int = 2, max_blocks: int = MAX_EXCERPTS
+    docs: DataFrame, query: str, context: int = 2, max_blocks: int | None = None
 ) -> DataFrame:
-    """Numbered lines around case-insensitive matches; the first ``max_blocks`` per document."""
+    """Numbered lines around case-insensitive matches; all, or the first ``max_blocks`` per document."""
     matched = docs.filter(contains_text(F.col("text"), query))
     found = matched.select(
         "doc_id", let(excerpt_blocks(F.col("text"), query, context), lambda b: b).alias("b")
@@ -25,8 +24,8 @@ def search_excerpts(
     return found.select(
         "doc_id",
         F.size("b").alias("total_blocks"),
-        (F.size("b") > max_blocks).alias("truncated"),
-        F.posexplode(F.slice("b", 1, max_blocks)).alias("i", "x"),
+        F.lit(False).alias("truncated") if max_blocks is None else (F.size("b") > max_blocks).alias("truncated"),
+        F.posexplode("b" if max_blocks is None else F.slice("b", 1, max_blocks)).alias("i", "x"),
     ).select(
         "doc_id",
         (F.col("i") + 1).alias("block_no"),
@@ -55,9 +54,7 @@ def find_hits(
         "col",
         none.alias("section"),
         none.alias("para_no"),
-        F.when(F.length(text) > 60, F.concat(F.substring(text, 1, 57), F.lit("…")))
-        .otherwise(text)
-        .alias("text"),
+        text,
     )
     in_body = paragraphs.filter(contains_text(text, query, case_sensitive)).select(
         "doc_id",
@@ -72,8 +69,8 @@ def find_hits(
     return in_cells.unionByName(in_body)
 
 
-def top_hits(hits: DataFrame, k: int = MAX_HITS) -> DataFrame:
-    """First ``k`` hits per document, cells before body, with the true total."""
+def top_hits(hits: DataFrame, k: int | None = None) -> DataFrame:
+    """Hits ranked per document, cells before body, with the true total; all, or the first ``k``."""
     order = [
         F.when(F.col("kind") == CELL_HIT, 0).otherwise(1),
         F.col("table_idx"),

@@ -14,8 +14,6 @@ from paperloom.operators.ranking import attach, cap, running, top_n
 # Form of a version file name, and of the time in it.
 VERSION_NAME = r"^(\d{4}-\d{2}-\d{2}T\d{2}-\d{2}-\d{2}-\d{3}Z)-(.+)$"
 TOKEN_PARTS = r"^(\d{4}-\d{2}-\d{2})T(\d{2})-(\d{2})-(\d{2})-(\d{3})Z$"
-MAX_LISTED = 50
-MAX_TIMELINE = 20
 
 
 def token_time(token: Column) -> Column:
@@ -44,10 +42,28 @@ def _newest() -> list[Column]:
     return [F.desc("mtime"), F.desc("token")]
 
 
-def list_versions(versions: DataFrame, path: str | None = None, k: int = MAX_LISTED) -> DataFrame:
-    """Newest versions of one file, or of all files together, with the true total."""
+def list_versions(versions: DataFrame, path: str | None = None, k: int | None = None) -> DataFrame:
+    """Versions of one file, or of all files together, newest first, with the true total.
+
+    With ``k`` only the first ``k``. Without, ranks are counted per day and minute and carried over,
+    so the versions never meet in one task.
+    """
     if path is not None:
         versions = versions.filter(F.col("base_name") == path.rsplit("/", 1)[-1])
+    if k is None:
+        # Time backwards; a version without a time comes last.
+        back = F.coalesce(-F.unix_micros(F.col("mtime").cast("timestamp")), F.lit((1 << 63) - 1))
+        minute = 60_000_000
+        ranked = running(
+            versions.withColumn("_back", back),
+            [],
+            ["_back", F.desc("token")],
+            {"_day": F.floor(F.col("_back") / (1440 * minute)), "_minute": F.floor(F.col("_back") / minute)},
+            {"rank": F.lit(1)},
+        )
+        return ranked.drop("_back").withColumns(
+            {"rank": F.col("rank").cast("int"), "total": F.lit(versions.count()), "truncated": F.lit(False)}
+        )
     top = top_n(versions, [], _newest(), k)
     # The total travels as one more row, so k + 1 rows meet in the last step.
     total = versions.agg(F.count("*").alias("total")).withColumn("rank", F.lit(0))
@@ -57,8 +73,8 @@ def list_versions(versions: DataFrame, path: str | None = None, k: int = MAX_LIS
     return both.filter("rank > 0").withColumn("truncated", F.col("total") > k)
 
 
-def versions_per_file(versions: DataFrame, k: int = MAX_LISTED) -> DataFrame:
-    """Newest versions of every file, with the true total of each."""
+def versions_per_file(versions: DataFrame, k: int | None = None) -> DataFrame:
+    """Versions of every file, newest first, with the true total of each."""
     return cap(versions, ["base_name"], _newest(), k)
 
 
@@ -148,20 +164,17 @@ def folder_of(path: Column) -> Column:
     return F.regexp_replace(path, "/[^/]+$", "")
 
 
-def timeline(versions: DataFrame, sidecars: DataFrame, folder: str, k: int = MAX_TIMELINE) -> DataFrame:
-    """Newest versions whose recorded source lies in ``folder``; unrecorded ones are left out.
+def timeline(versions: DataFrame, sidecars: DataFrame, folder: str, k: int | None = None) -> DataFrame:
+    """Versions, or the newest ``k``, whose recorded source lies in ``folder``; unrecorded ones are left out.
 
     ``sidecars``: filename, source_path, summary.
     """
     here = sidecars.filter(folder_of(F.col("source_path")) == folder).select("filename", "summary")
-    return (
-        versions.join(here, "filename")
-        .orderBy(F.desc("mtime"), F.desc("token"))
-        .limit(k)
-    )
+    found = versions.join(here, "filename")
+    return found if k is None else found.orderBy(*_newest()).limit(k)
 
 
-def timelines(versions: DataFrame, sidecars: DataFrame, k: int = MAX_TIMELINE) -> DataFrame:
+def timelines(versions: DataFrame, sidecars: DataFrame, k: int | None = None) -> DataFrame:
     """The timeline of every folder at once."""
     placed = sidecars.filter("source_path IS NOT NULL").select(
         "filename", "summary", folder_of(F.col("source_path")).alias("folder")

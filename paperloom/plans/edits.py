@@ -71,7 +71,7 @@ def _edited_pairs(spark, sf_dir):
       FROM p WHERE a <> b),
     x AS (SELECT *,
         len(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: a[:i] = b[:i])) AS pre
-      FROM c WHERE sample_no <= 20),
+      FROM c),
     y AS (SELECT *, len(list_filter(range(1, least(length(a), length(b)) - pre + 1),
         lambda i: right(a, i::int) = right(b, i::int))) AS suf FROM x)
     SELECT doc_id, sample_no, line_no,

@@ -28,9 +28,8 @@ _QUERY = "Estin"
       FROM h GROUP BY doc_id, b),
     t AS (SELECT doc_id, count(*)::int AS total_blocks FROM k GROUP BY doc_id)
     SELECT k.*, string_agg(line_no || ': ' || text, chr(10) ORDER BY line_no) AS excerpt,
-      total_blocks, total_blocks > 50 AS truncated
+      total_blocks, false AS truncated
     FROM k JOIN t USING (doc_id) JOIN l ON l.doc_id = k.doc_id AND line_no BETWEEN start_line AND end_line
-    WHERE block_no <= 50
     GROUP BY ALL""",
 )
 def search_excerpts(spark, sf_dir):
@@ -41,7 +40,7 @@ _WORD = "ation"
 _HITS_SQL = f"""{MD_CELLS_SQL},
     hits AS (
       SELECT doc_id, '표' AS kind, table_idx, row, col, NULL::int AS section, NULL::int AS para_no,
-        CASE WHEN length(text) > 60 THEN substr(text, 1, 57) || '…' ELSE text END AS text
+        text
       FROM md_cells WHERE contains(lower(text), '{_WORD}')
       UNION ALL
       SELECT doc_id, '본문', NULL, NULL, NULL, 0, block_no,
@@ -73,10 +72,10 @@ def find_hits(spark, sf_dir):
     r AS (SELECT *, (row_number() OVER (PARTITION BY doc_id
         ORDER BY kind = '본문', table_idx, row, col, section, para_no))::int AS rank,
         count(*) OVER (PARTITION BY doc_id) AS total FROM hits)
-    SELECT *, total > 3 AS truncated FROM r WHERE rank <= 3""",
+    SELECT *, false AS truncated FROM r""",
 )
 def top_hits(spark, sf_dir):
-    return op.top_hits(_hits(spark, sf_dir), 3)
+    return op.top_hits(_hits(spark, sf_dir))
 
 
 _TERMS_SQL = "terms AS (SELECT item_id AS term_id, lower(regexp_extract(text, '^\\S+ \\S+')) AS term FROM benchmark)"
@@ -206,13 +205,13 @@ def resolve_labels(spark, sf_dir):
 
 @query(
     "cap_per_source",
-    """SELECT source, doc_id, rank, total, total > 10 AS truncated FROM (
+    """SELECT source, doc_id, rank, total, false AS truncated FROM (
       SELECT source, doc_id, (row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id))::int
-        AS rank, count(*) OVER (PARTITION BY source) AS total FROM documents) WHERE rank <= 10""",
+        AS rank, count(*) OVER (PARTITION BY source) AS total FROM documents)""",
 )
 def cap_per_source(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
-    return ranking.cap(docs, ["source"], [F.desc("n_chars"), F.col("doc_id")], 10).drop("n_chars")
+    return ranking.cap(docs, ["source"], [F.desc("n_chars"), F.col("doc_id")]).drop("n_chars")
 
 
 @query(

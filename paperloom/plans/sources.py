@@ -49,8 +49,8 @@ def _listing(spark, sf_dir):
       UNION SELECT array_to_string(parts[:n], '/') || '/', n - 1, true
         FROM (SELECT parts, unnest(range(1, len(parts))) AS n FROM ok)),
     e AS (SELECT path, is_dir, NOT is_dir AND regexp_matches(lower(path),
-        '\\.(hwp|hwpx|hwpml|docx|doc|xlsx|xls|pdf|pptx|ppt|md|txt)$') AS is_doc FROM items WHERE depth <= 4)
-    SELECT *, CASE WHEN is_doc THEN 0 WHEN is_dir THEN 1 ELSE 2 END AS rank FROM e ORDER BY rank, path LIMIT 500""",
+        '\\.(hwp|hwpx|hwpml|docx|doc|xlsx|xls|pdf|pptx|ppt|md|txt)$') AS is_doc FROM items)
+    SELECT *, CASE WHEN is_doc THEN 0 WHEN is_dir THEN 1 ELSE 2 END AS rank FROM e""",
 )
 def inventory(spark, sf_dir):
     return files.inventory(_listing(spark, sf_dir).select("path"))

@@ -58,7 +58,7 @@ def parse_version_name(spark, sf_dir):
     f"""WITH {_FILES_SQL},
     r AS (SELECT filename, mtime, (row_number() OVER (ORDER BY mtime DESC, token DESC))::int AS rank,
       count(*) OVER () AS total FROM v)
-    SELECT *, total > 50 AS truncated FROM r WHERE rank <= 50""",
+    SELECT *, false AS truncated FROM r""",
 )
 def list_versions(spark, sf_dir):
     return op.list_versions(versions(spark, sf_dir).select("filename", "mtime", "token")).drop("token")
@@ -69,10 +69,10 @@ def list_versions(spark, sf_dir):
     f"""WITH {_FILES_SQL},
     r AS (SELECT base_name, filename, (row_number() OVER (PARTITION BY base_name ORDER BY mtime DESC, token DESC))::int
       AS rank, count(*) OVER (PARTITION BY base_name) AS total FROM v)
-    SELECT *, total > 20 AS truncated FROM r WHERE rank <= 20""",
+    SELECT *, false AS truncated FROM r""",
 )
 def versions_per_file(spark, sf_dir):
-    return op.versions_per_file(versions(spark, sf_dir), 20).select(
+    return op.versions_per_file(versions(spark, sf_dir)).select(
         "base_name", "filename", "rank", "total", "truncated"
     )
 
@@ -137,8 +137,7 @@ def pick_as_of(spark, sf_dir):
 @query(
     "timeline",
     f"""WITH {_FILES_SQL}
-    SELECT filename, mtime, summary FROM v WHERE source_path LIKE '/work/team3/%'
-    ORDER BY mtime DESC, token DESC LIMIT 20""",
+    SELECT filename, mtime, summary FROM v WHERE source_path LIKE '/work/team3/%'""",
 )
 def timeline(spark, sf_dir):
     sidecars = _files(spark, sf_dir).select("filename", "source_path", "summary")
@@ -153,7 +152,7 @@ def timeline(spark, sf_dir):
       WHERE source_path IS NOT NULL),
     k AS (SELECT *, (row_number() OVER (PARTITION BY folder ORDER BY mtime DESC, token DESC))::int AS rank,
       count(*) OVER (PARTITION BY folder) AS total FROM r)
-    SELECT folder, filename, summary, rank, total, total > 20 AS truncated FROM k WHERE rank <= 20""",
+    SELECT folder, filename, summary, rank, total, false AS truncated FROM k""",
 )
 def timelines(spark, sf_dir):
     sidecars = _files(spark, sf_dir).select("filename", "source_path", "summary")

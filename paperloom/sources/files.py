@@ -14,8 +14,6 @@ SKIP_NAMES = ("node_modules", ".git", ".DS_Store", "__pycache__", "dist", "build
 READ_EXTENSIONS = (".hwp", ".hwpx", ".hwpml", ".docx", ".xlsx", ".xls", ".pdf", ".md", ".txt")
 WRITE_EXTENSIONS = (".hwpx", ".docx", ".xlsx", ".md", ".txt")
 ZIP_EXTENSIONS = [".hwpx", ".docx", ".xlsx"]
-MAX_DEPTH = 4
-MAX_FILES = 500
 MAX_BYTES = 100 * 1024 * 1024
 OLE2_HEAD = "D0CF11E0A1B11AE1"
 
@@ -35,8 +33,10 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"^.+(\.[^.]*)$", 1))
 
 
-def inventory(files: DataFrame, max_depth: int = MAX_DEPTH, cap: int = MAX_FILES) -> DataFrame:
-    """Documents first, then folders, then other files; at most ``cap`` entries.
+def inventory(files: DataFrame, max_depth: int | None = None, cap: int | None = None) -> DataFrame:
+    """Documents first, then folders, then other files, as ``rank`` and ``path`` order them.
+
+    With ``cap`` only the first entries, sorted; with ``max_depth`` none that lie deeper.
 
     ``files``: path relative to the root. Hidden and build entries are skipped with all they hold.
     """
@@ -55,16 +55,14 @@ def inventory(files: DataFrame, max_depth: int = MAX_DEPTH, cap: int = MAX_FILES
             (n < F.size("parts")).alias("is_dir"),
         ),
     )
-    entries = (
-        visible.select(F.inline(items)).filter(F.col("depth") <= max_depth).distinct()
-    )
+    entries = visible.select(F.inline(items))
+    if max_depth is not None:
+        entries = entries.filter(F.col("depth") <= max_depth)
+    entries = entries.distinct()
     is_doc = ~F.col("is_dir") & extension(F.col("path")).isin(*DOC_EXTENSIONS)
     rank = F.when(is_doc, 0).when(F.col("is_dir"), 1).otherwise(2)
-    return (
-        entries.select("path", "is_dir", is_doc.alias("is_doc"), rank.alias("rank"))
-        .orderBy("rank", "path")
-        .limit(cap)
-    )
+    ranked = entries.select("path", "is_dir", is_doc.alias("is_doc"), rank.alias("rank"))
+    return ranked if cap is None else ranked.orderBy("rank", "path").limit(cap)
 
 
 def classify_files(files: DataFrame) -> DataFrame:

@@ -48,7 +48,17 @@ def test_snippets(spark):
     got = edits.change_snippets(df).orderBy("sample_no").collect()
     assert [(r.before, r.after) for r in got] == [snippet(*p) for p in pairs]
     many = spark.createDataFrame([(1, "\n".join("a" * 30), "\n".join("b" * 30))], "doc_id long, before string, after string")
-    assert edits.change_snippets(many).count() == 20
+    assert edits.change_snippets(many).count() == 30
+    assert edits.change_snippets(many, 20).count() == 20
+    longer = spark.createDataFrame([(1, "a", "a\nnew")], "doc_id long, before string, after string")
+    assert [(r.line_no, r.before, r.after) for r in edits.change_snippets(longer).collect()] == [(2, "", "new")]
+
+
+def test_one_matcher_for_hits_counts_and_replacements(docs_of):
+    got = edits.find_replace(docs_of("İİ THE end", "ſea sea SEA", "the"), "the", "[N]", every=False).orderBy("doc_id").collect()
+    assert [(r.text, r.replaced) for r in got] == [("İİ [N] end", 1), ("ſea sea SEA", 0), ("[N]", 1)]
+    got = edits.find_replace(docs_of("ſea sea SEA", "$ea"), "sea", "a$1\\b").orderBy("doc_id").collect()
+    assert [(r.text, r.replaced) for r in got] == [("ſea a$1\\b a$1\\b", 2), ("$ea", 0)]
 
 
 def test_residual_and_overwrite(spark, docs_of):

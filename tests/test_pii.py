@@ -119,3 +119,10 @@ def test_warning_is_appended(spark):
     got = {r.id: r.warnings for r in pii.proposal_pii_warnings(proposals).collect()}
     assert got[1][0] == "w" and "전화번호 1건" in got[1][1]
     assert got[2] == []
+
+
+def test_rows_without_a_source_are_reported(spark):
+    docs = spark.createDataFrame([(1, "a@b.co", "x"), (2, "c@d.co", None)], "doc_id long, text string, source string")
+    merged = pii.merge_findings(pii.detect_pii(docs, keep=["source"]), ["source"])
+    assert rows(merged, "source", "count") == [("x", 1), (None, 1)] or rows(merged, "source", "count") == [(None, 1), ("x", 1)]
+    assert pii.redaction_report(merged, ["source"]).count() == 2

@@ -129,3 +129,16 @@ def test_lint_and_totals(spark, docs_of):
     assert rows(profile.numeric_consistency(cells_, texts), "doc_id", "column_sum", "consistent") == [
         (1, 1730000, True), (2, 1730000, False)
     ]
+
+
+def test_lost_documents_and_unreadable_amounts_are_told(spark, docs_of):
+    one = profile.fingerprint(blocks(spark, ("table", None, "")), grid(spark, (2, 2)))
+    none = one.limit(0)
+    assert [(r.drift, r.details.split("; ")[0]) for r in profile.fingerprint_drift(one, none).collect()] == [(True, "문서 없음")]
+    assert [(r.drift, r.details) for r in profile.fingerprint_drift(none, one).collect()] == [(True, "이전 문서 없음")]
+    cells_ = spark.createDataFrame(
+        [(d, 0, r, 0, t) for d in (1, 2) for r, t in enumerate(["금액", "100", "1억" if d == 1 else "1"])],
+        "doc_id long, table_idx int, row int, col int, text string",
+    )
+    got = profile.numeric_consistency(cells_, docs_of("총액은 100원", "없음"))
+    assert rows(got, "doc_id", "consistent", "status") == [(1, False, "unreadable"), (2, False, "no_total")]

@@ -30,7 +30,9 @@ def test_excerpts_equal_a_sequential_merge(docs_of):
 
 def test_excerpt_cap(docs_of):
     text = "\n".join("hit" if i % 6 == 0 else "x" for i in range(600))
-    got = search.search_excerpts(docs_of(text), "HIT").collect()
+    whole = search.search_excerpts(docs_of(text), "HIT").collect()
+    assert len(whole) == 100 and not any(r.truncated for r in whole)
+    got = search.search_excerpts(docs_of(text), "HIT", max_blocks=50).collect()
     assert len(got) == 50 and all(r.truncated and r.total_blocks == 100 for r in got)
 
 
@@ -40,7 +42,7 @@ def test_hits(spark):
         [(1, 0, 1, "x" * 50 + "금액" + "y" * 50), (1, 1, 1, "금액")], "doc_id long, section int, para_no int, text string"
     )
     got = {(r.kind, r.section): r.text for r in search.find_hits(cells, paras, "금액").collect()}
-    assert got["표", None] == ("금액 " + "가" * 70)[:57] + "…"
+    assert got["표", None] == "금액 " + "가" * 70
     assert got["본문", 0] == "…" + "x" * 29 + "금액" + "y" * 29 + "…"
     assert got["본문", 1] == "금액"
 

@@ -25,7 +25,10 @@ def test_inventory(spark):
     paths = ["b/x.png", "a.HWPX", "b/c.md", ".git/x.md", "node_modules/y.md", "d/.h.md", "1/2/3/4/ok.txt", "1/2/3/4/5/no.txt", "noext", ".txt"]
     df = spark.createDataFrame([(p,) for p in paths], "path string")
     got = [r.path for r in files.inventory(df).orderBy("rank", "path").collect()]
-    assert got == ["1/2/3/4/ok.txt", "a.HWPX", "b/c.md", "1/", "1/2/", "1/2/3/", "1/2/3/4/", "1/2/3/4/5/", "b/", "b/x.png", "noext"]
+    folders = ["1/", "1/2/", "1/2/3/", "1/2/3/4/", "1/2/3/4/5/", "b/"]
+    assert got == ["1/2/3/4/5/no.txt", "1/2/3/4/ok.txt", "a.HWPX", "b/c.md", *folders, "b/x.png", "noext"]
+    near = [r.path for r in files.inventory(df, max_depth=4).orderBy("rank", "path").collect()]
+    assert near == got[1:]
     assert files.inventory(df, cap=2).count() == 2
 
 

@@ -105,3 +105,11 @@ def test_restore_and_as_of(spark):
         "request_id int, base_name string, as_of timestamp_ntz",
     )
     assert [f for _, f in rows(vs.pick_as_of(v, asked), "request_id", "filename")] == [None, A1, A1, A2, A2]
+
+
+def test_every_request_has_a_row(spark):
+    v = spark.createDataFrame([("f", "b", "t", 1)], "filename string, base_name string, token string, m int")
+    v = v.withColumn("mtime", F.timestamp_seconds("m"))
+    r = spark.createDataFrame([(1, "b", 5), (2, None, 5), (3, "b", None), (4, "zz", 5)], "request_id long, base_name string, m int")
+    got = vs.pick_as_of(v, r.select("request_id", "base_name", F.timestamp_seconds("m").alias("as_of")))
+    assert rows(got, "request_id", "filename") == [(1, "f"), (2, None), (3, None), (4, None)]
