@@ -1,6 +1,7 @@
 """Streams over whole tables, run to their end and read back.
 
-A window comes out once the watermark (latest event less 10 minutes) has passed its end.
+A window comes out once the watermark (latest event less 10 minutes) has passed its end; the windows
+still open at the end of the table are finished by a batch pass over the same rows.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from paperloom.plans import derived as d
 from paperloom.plans.compare import diff_sql
 from paperloom.plans.pii import hits_sql
-from paperloom.plans.registry import query
+from paperloom.plans.registry import SQL, query
 from paperloom.session import shared_folder
 from paperloom.sources.tables import load
 from paperloom.streaming import feeds
@@ -22,18 +23,17 @@ def _stream(spark, sf_dir, table):
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{table}.parque[t]")
 
 
-def _run(stream, folder):
-    """Rows of a finished stream, times without a zone."""
-    rows = feeds.run_to_table(stream, folder)
+def _run(spark, sf_dir, table, prepare, feed, keys, name):
+    """All windows of a feed over a whole table, times without a zone."""
+    folder = shared_folder(spark, name)
+    closed = feeds.run_to_table(feed(prepare(_stream(spark, sf_dir, table))), folder)
+    rows = feeds.with_open_windows(closed, feed(prepare(load(spark, sf_dir, table))), keys, f"{folder}/whole")
     times = [f.name for f in rows.schema if f.dataType.typeName() == "timestamp"]
     return rows.withColumns({t: F.col(t).cast("timestamp_ntz") for t in times}) if times else rows
 
 
-def _events(spark, sf_dir):
-    return _stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-
-
-_DONE = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTES FROM events)"
+def _ts():
+    return F.col("ts").cast("timestamp").alias("ts")
 
 
 @query(
@@ -41,30 +41,35 @@ _DONE = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTES FROM
     f"""SELECT user_id AS session_id, date_trunc('hour', ts) AS window_start,
       date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, sum(event_id % 100)::bigint AS input_tokens,
       sum(event_id % 7)::bigint AS output_tokens
-    FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= {_DONE} GROUP BY ALL""",
+    FROM events GROUP BY ALL""",
 )
 def stream_usage(spark, sf_dir):
-    turns = _events(spark, sf_dir).select(
-        F.col("user_id").alias("session_id"),
-        "ts",
-        F.expr("event_id % 100").alias("input_tokens"),
-        F.expr("event_id % 7").alias("output_tokens"),
-    )
-    return _run(feeds.usage_stream(turns), shared_folder(spark, "usage"))
+    def turns(events):
+        return events.select(
+            F.col("user_id").alias("session_id"),
+            _ts(),
+            F.expr("event_id % 100").alias("input_tokens"),
+            F.expr("event_id % 7").alias("output_tokens"),
+        )
+
+    return _run(spark, sf_dir, "events", turns, feeds.usage_stream, ["session_id", "window_start"], "usage")
 
 
 @query(
     "stream_thrash",
     f"""SELECT user_id AS session_id, date_trunc('day', ts) AS window_start,
       date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, event_type AS tool, count(*) AS calls, min(ts) AS first_seen
-    FROM events WHERE event_type IN ('click', 'purchase') AND date_trunc('day', ts) + INTERVAL 1 DAY <= {_DONE}
+    FROM events WHERE event_type IN ('click', 'purchase')
     GROUP BY ALL HAVING count(*) >= 2""",
 )
 def stream_thrash(spark, sf_dir):
-    calls = _events(spark, sf_dir).filter("event_type in ('click', 'purchase')").select(
-        F.col("user_id").alias("session_id"), "ts", F.col("event_type").alias("tool")
-    )
-    return _run(feeds.thrash_stream(calls, 2, "1 day"), shared_folder(spark, "thrash"))
+    def calls(events):
+        return events.filter("event_type in ('click', 'purchase')").select(
+            F.col("user_id").alias("session_id"), _ts(), F.col("event_type").alias("tool")
+        )
+
+    keys = ["session_id", "window_start", "tool"]
+    return _run(spark, sf_dir, "events", calls, lambda c: feeds.thrash_stream(c, 2, "1 day"), keys, "thrash")
 
 
 @query(
@@ -72,14 +77,21 @@ def stream_thrash(spark, sf_dir):
     f"""WITH {hits_sql(d.CONTACTS_SQL)},
     t AS (SELECT *, TIMESTAMP '2026-01-01' + to_minutes(doc_id::int) AS ts FROM findings),
     w AS (SELECT date_trunc('hour', ts) AS s, type, count(*) AS documents, sum(count)::bigint AS matches FROM t GROUP BY ALL)
-    SELECT s AS window_start, s + INTERVAL 1 HOUR AS window_end, type, documents, matches FROM w
-    WHERE s + INTERVAL 1 HOUR <= (SELECT TIMESTAMP '2026-01-01' + to_minutes(max(doc_id)::int - 10) FROM documents)""",
+    SELECT s AS window_start, s + INTERVAL 1 HOUR AS window_end, type, documents, matches FROM w""",
 )
 def stream_pii(spark, sf_dir):
-    docs = d.with_contacts(_stream(spark, sf_dir, "documents").select("doc_id", "text")).withColumn(
-        "ts", F.expr("timestamp'2026-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id as int))")
-    )
-    return _run(feeds.pii_stream(docs), shared_folder(spark, "pii"))
+    def docs(table):
+        return d.with_contacts(table.select("doc_id", "text")).withColumn(
+            "ts", F.expr("timestamp'2026-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id as int))")
+        )
+
+    return _run(spark, sf_dir, "documents", docs, feeds.pii_stream, ["window_start", "type"], "pii")
+
+
+@query("stream_redacted", "SELECT * FROM (" + SQL["redact_contacts"] + ")")
+def stream_redacted(spark, sf_dir):
+    docs = d.with_contacts(_stream(spark, sf_dir, "documents").select("doc_id", "text"))
+    return feeds.run_to_table(feeds.redact_stream(docs), shared_folder(spark, "redacted"))
 
 
 _SESSIONS_SQL = """
@@ -93,14 +105,14 @@ _SESSIONS_SQL = """
 
 @query(
     "stream_activity",
-    f"""WITH {_SESSIONS_SQL} SELECT session_id, window_start, window_end, events, last_type FROM a
-    WHERE window_end <= {_DONE}""",
+    f"""WITH {_SESSIONS_SQL} SELECT session_id, window_start, window_end, events, last_type FROM a""",
 )
 def stream_activity(spark, sf_dir):
-    events = _events(spark, sf_dir).select(
-        F.col("user_id").alias("session_id"), "ts", F.col("event_type").alias("type")
-    )
-    return _run(feeds.activity_stream(events, "12 hours"), shared_folder(spark, "activity"))
+    def events(table):
+        return table.select(F.col("user_id").alias("session_id"), _ts(), F.col("event_type").alias("type"))
+
+    feed = lambda e: feeds.activity_stream(e, "12 hours")
+    return _run(spark, sf_dir, "events", events, feed, ["session_id", "window_start"], "activity")
 
 
 # A proposal per event; two in three are answered, some of them too late.
@@ -108,12 +120,8 @@ def stream_activity(spark, sf_dir):
     "stream_approvals",
     """WITH p AS (SELECT event_id AS id, date_trunc('milliseconds', ts) AS ts, ts AS raw FROM events),
     o AS (SELECT id, raw AS asked_at, CASE WHEN id % 3 = 0 OR id % 50 > 30 THEN 'expired'
-        WHEN id % 2 = 0 THEN 'approved' ELSE 'rejected' END AS outcome,
-        raw + CASE WHEN id % 3 <> 0 AND id % 50 <= 30 THEN to_minutes((id % 50)::int) ELSE INTERVAL 0 MINUTES END
-          + INTERVAL 30 MINUTES AS closes FROM p),
-    m AS (SELECT max(CASE WHEN id % 3 <> 0 THEN raw + to_minutes((id % 50)::int) ELSE raw END) AS x FROM p)
-    SELECT id AS proposal_id, asked_at, outcome FROM o, m
-    WHERE closes <= date_trunc('milliseconds', x) - INTERVAL 10 MINUTES""",
+        WHEN id % 2 = 0 THEN 'approved' ELSE 'rejected' END AS outcome FROM p)
+    SELECT id AS proposal_id, asked_at, outcome FROM o""",
 )
 def stream_approvals(spark, sf_dir):
     asked = F.struct(F.col("ts"), F.lit("approval-required").alias("type"), F.lit(None).cast("boolean").alias("approved"))
@@ -122,11 +130,14 @@ def stream_approvals(spark, sf_dir):
         F.lit("approval").alias("type"),
         (F.col("event_id") % 2 == 0).alias("approved"),
     )
-    events = _events(spark, sf_dir).select(
-        F.col("event_id").alias("proposal_id"),
-        F.inline(F.when(F.col("event_id") % 3 == 0, F.array(asked)).otherwise(F.array(asked, answered))),
-    )
-    return _run(feeds.approval_stream(events), shared_folder(spark, "approvals"))
+
+    def events(table):
+        return table.withColumn("ts", _ts()).select(
+            F.col("event_id").alias("proposal_id"),
+            F.inline(F.when(F.col("event_id") % 3 == 0, F.array(asked)).otherwise(F.array(asked, answered))),
+        )
+
+    return _run(spark, sf_dir, "events", events, feeds.approval_stream, ["proposal_id", "asked_at"], "approvals")
 
 
 # Documents 2k and 2k + 1 are two versions of one file.

@@ -6,11 +6,14 @@ of this library. Every feed keeps state per session, tool or proposal only, neve
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.operators.compare import doc_diff
 from paperloom.operators.pii import detect_pii, redact
+from paperloom.operators.ranking import match
 from paperloom.operators.versions import previous_versions
 from paperloom.sources.journal import journal_records
 
@@ -190,3 +193,14 @@ def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
     )
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def with_open_windows(closed: DataFrame, whole: DataFrame, keys: Sequence[str], folder: str) -> DataFrame:
+    """Rows a finished stream has given out, and those of windows the watermark has not passed.
+
+    ``whole``: the feed over the same rows as a batch; ``keys``: what names a window in its rows. It
+    is written to ``folder`` first: an anti-join must not move below the merging of session windows.
+    """
+    whole.write.parquet(folder)
+    whole = whole.sparkSession.read.schema(whole.schema).parquet(folder)
+    return closed.unionByName(match(whole, closed.select(*keys), keys, "left_anti"))

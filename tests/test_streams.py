@@ -40,6 +40,9 @@ def test_windows_equal_a_batch(spark, tmp_path):
         got = feeds.run_to_table(stream, str(tmp_path / name))
         want = fn(everything).filter("session_id <> 'z'")
         assert rows(got, *got.columns) == rows(want, *want.columns) and want.count() > 0, name
+        keys = ["session_id", "window_start"] + ["tool"] * (name == "thrash")
+        all_ = feeds.with_open_windows(got, fn(everything), keys, str(tmp_path / f"whole_{name}"))
+        assert rows(all_, *all_.columns) == rows(fn(everything), *all_.columns), name
 
 
 def test_personal_data_stream(spark, tmp_path):
