@@ -124,27 +124,50 @@ def compare_copies(spark, sf_dir):
     return op.diff_stats(op.doc_diff(units("before"), units("after")))
 
 
-_CLIP = lambda c: f"CASE WHEN length({c}) > 200 THEN substr({c}, 1, 200) || '…' ELSE {c} END"
 
 
 @query(
     "diff_report",
     f"""WITH {diff_sql(_EDITED_UNITS)},
     s AS ({_STATS}),
-    t AS (SELECT pair_id, string_agg(CASE change WHEN 'added' THEN '**[추가]** ' || {_CLIP("after_text")}
-        WHEN 'removed' THEN '**[삭제]** ' || {_CLIP("before_text")}
-        ELSE '**[수정]**' || chr(10) || '- 이전: ' || {_CLIP("before_text")} || chr(10) || '- 이후: '
-          || {_CLIP("after_text")} END, chr(10) || chr(10)
+    t AS (SELECT pair_id, string_agg(CASE change WHEN 'added' THEN '**[추가]** ' || after_text
+        WHEN 'removed' THEN '**[삭제]** ' || before_text
+        ELSE '**[수정]**' || chr(10) || '- 이전: ' || before_text || chr(10) || '- 이후: '
+          || after_text END, chr(10) || chr(10)
         ORDER BY coalesce(before_no, after_no), after_no NULLS FIRST) AS body
       FROM diff WHERE change <> 'unchanged' GROUP BY pair_id),
     f AS (SELECT pair_id, '| 추가 | ' || added || ' |' || chr(10) || '| 삭제 | ' || removed || ' |' || chr(10)
         || '| 수정 | ' || modified || ' |' || chr(10) || '| 변경 없음 | ' || unchanged || ' |' || chr(10) || chr(10)
         || coalesce(body, '두 문서가 동일합니다. 변경된 블록이 없습니다.') AS r
       FROM s LEFT JOIN t USING (pair_id))
-    SELECT pair_id, substr(r, 1, 5000) AS report, length(r) > 5000 AS truncated FROM f""",
+    SELECT pair_id, r AS report, false AS truncated FROM f""",
 )
 def diff_report(spark, sf_dir):
-    return op.diff_report(_edited(spark, sf_dir), limit=5000)
+    return op.diff_report(_edited(spark, sf_dir))
+
+
+_MOVED = "CASE WHEN line_no = 1 THEN 1000000 ELSE line_no END"
+
+
+@query(
+    "ordered_diff",
+    f"""WITH {d.LINES_SQL},
+    n AS (SELECT doc_id AS pair_id, line_no, line_no || ': ' || text AS t, count(*) OVER (PARTITION BY doc_id) AS n FROM l)
+    SELECT pair_id, 'unchanged' AS change, line_no::bigint AS before_no,
+        (CASE WHEN n = 1 THEN 1000000 ELSE line_no END)::bigint AS after_no, t AS before_text, t AS after_text
+      FROM n WHERE line_no > 1 OR n = 1
+    UNION ALL SELECT pair_id, 'removed', 1, NULL, t, NULL FROM n WHERE line_no = 1 AND n > 1
+    UNION ALL SELECT pair_id, 'added', NULL, 1000000, NULL, t FROM n WHERE line_no = 1 AND n > 1""",
+)
+def ordered_diff(spark, sf_dir):
+    """The first line of every document moved to its end: removed there, added here."""
+    lines = structure.lines(d.documents(spark, sf_dir)).select(
+        F.col("doc_id").alias("pair_id"),
+        F.col("line_no").cast("bigint").alias("no"),
+        F.concat(F.col("line_no").cast("string"), F.lit(": "), F.col("text")).alias("text"),
+    )
+    moved = lines.withColumn("no", F.when(F.col("no") == 1, F.lit(1000000).cast("bigint")).otherwise(F.col("no")))
+    return op.doc_diff(lines, moved, ordered=True)
 
 
 @query(
