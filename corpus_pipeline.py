@@ -47,7 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and digests of the ids and of what they decode to."""
-    return bpe.decode(bpe.encode(docs, keep=("lang", "source"))).select(
+    return bpe.round_trip(docs, keep=("lang", "source")).select(
         "doc_id",
         "lang",
         "source",

@@ -24,7 +24,7 @@ from paperloom.llm.common import load, query, slices, steps, texts, with_fields
 
 RANKS = "byte_bpe_50k.tiktoken"
 # Pieces whose ids are remembered per worker; the cache starts anew when it is full.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 150_000
 LOCKSTEP = 48
 NO_PAIR = 1 << 40
 BLOCK = 256
@@ -319,10 +319,17 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     UTF-8 count as single characters that are neither letter, number nor space.
     """
     path = path or public_tokenizers.path(RANKS)
-    kept = [F.col(c) for c in dict.fromkeys((id_col, *keep))]
-    narrow = docs.select(*kept, F.col(text_col).alias("_bpe_text"))
+    narrow = _narrow(docs, id_col, text_col, keep)
     schema = with_fields(narrow.drop("_bpe_text").schema, "ids binary, offsets binary")
+    return narrow.mapInArrow(_encoder(path), schema)
+
+
+def _narrow(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...]) -> DataFrame:
+    kept = [F.col(c) for c in dict.fromkeys((id_col, *keep))]
+    return docs.select(*kept, F.col(text_col).alias("_bpe_text"))
+
 
+def _encoder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for batch in batches for part in slices(batch)):
             data = texts(batch.column(batch.num_columns - 1))
@@ -332,26 +339,37 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
                 columns += [pa.array([x[k] for x in done], pa.binary()) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "ids", "offsets"])
 
-    return narrow.mapInArrow(run, schema)
+    return run
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """Add `decoded` (binary) to rows of encode(); null or empty ids decode to no bytes."""
     path = path or public_tokenizers.path(RANKS)
-    schema = with_fields(encoded.schema, "decoded binary")
+    return encoded.mapInArrow(_decoder(path), with_fields(encoded.schema, "decoded binary"))
 
+
+def _decoder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for batch in batches for part in slices(batch)):
             ids, offsets = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("ids", "offsets"))
             done = pa.array([decode_ids(x or b"", y or b"", path) for x, y in zip(ids, offsets)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, done], names=[*batch.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, schema)
+    return run
+
+
+def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """decode(encode(docs)) in one pass: the ids go to the decoder without leaving the worker."""
+    path = path or public_tokenizers.path(RANKS)
+    narrow = _narrow(docs, id_col, text_col, keep)
+    schema = with_fields(narrow.drop("_bpe_text").schema, "ids binary, offsets binary, decoded binary")
+    encoder, decoder = _encoder(path), _decoder(path)
+    return narrow.mapInArrow(lambda batches: decoder(encoder(batches)), schema)
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Encode, decode, and sum up both as digests."""
-    return decode(encode(docs, path), path).select(
+    return round_trip(docs, path).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -36,7 +36,7 @@ PERCENT = 80
 LEAST_AGREE = 57
 # Classes of a bucket that one task holds from each of two blocks.
 BLOCK = 1024
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 _rng = np.random.default_rng(20)
 _MULTIPLY = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -256,8 +256,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 
 def _same(a: DataFrame, b: DataFrame) -> bool:
-    mark = [F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
-    return tuple(a.agg(*mark).first()) == tuple(b.agg(*mark).first())
+    both = a.withColumn("s", F.lit(1)).unionByName(b.withColumn("s", F.lit(-1)))
+    signed = F.col("s") * F.xxhash64("u", "v").cast("decimal(38,0)")
+    count, mark = both.agg(F.sum("s"), F.sum(signed)).first()
+    return not count and not mark
 
 
 def _confirm(pairs: DataFrame, pool: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ DECAY = 1e-4
 MIN_ROWS = 6
 MIN_Z = 4.0
 # Words whose terms are remembered per worker; the cache starts anew when it is full.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 # ASCII letters in lower case, all else of ASCII a space; bytes of other characters stay.
 _FOLD = bytes(

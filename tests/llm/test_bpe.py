@@ -68,3 +68,6 @@ def test_edge_rows(edge_docs, no_docs):
         assert row.ids_sha256 == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
         assert row.decoded_sha256 == hashlib.sha256((text.text or "").encode()).hexdigest()
     assert bpe.digests(no_docs).collect() == []
+    apart = bpe.decode(bpe.encode(edge_docs, keep=("id",)))
+    together = bpe.round_trip(edge_docs, keep=("id",))
+    assert sorted(map(str, apart.collect())) == sorted(map(str, together.collect()))
