@@ -4,15 +4,22 @@ import re
 
 import pytest
 
-from __spark_entry__ import queries
+from pyspark.sql import functions as F
+
+from paperloom.operators import ranking
+from paperloom.plans import QUERIES
 from paperloom.sources.tables import load
 
 SF_DIR = "/root/testdata/sf0.001"
-BATCH = sorted(n for n in queries() if not n.startswith("stream_"))
+BATCH = sorted(n for n in QUERIES if not n.startswith("stream_"))
 
 
 def plan(spark, name):
-    return queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    return plan_of(QUERIES[name](spark, SF_DIR))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize("name", BATCH)
@@ -21,9 +28,10 @@ def test_no_cross_join(spark, name):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
-@pytest.mark.parametrize("name", ["cap_per_source", "versions_per_file", "timelines", "top_hits", "pii_by_source"])
-def test_first_n_is_cut_before_the_shuffle(spark, name):
-    assert re.search(r"WindowGroupLimit .*Partial", plan(spark, name))
+def test_first_n_is_cut_before_the_shuffle(spark):
+    assert re.search(r"WindowGroupLimit .*Partial", plan(spark, "pii_by_source"))
+    docs = load(spark, SF_DIR, "documents").select("source", "doc_id")
+    assert re.search(r"WindowGroupLimit .*Partial", plan_of(ranking.cap(docs, ["source"], [F.col("doc_id")], 3)))
 
 
 @pytest.mark.parametrize(
@@ -40,7 +48,7 @@ def test_only_needed_columns_are_read(spark):
 
 
 def test_texts_are_searched_once(spark):
-    df = queries()["pii_by_source"](spark, SF_DIR)
+    df = QUERIES["pii_by_source"](spark, SF_DIR)
     df.collect()
     final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert final.count("FileScan") == 1 and "ReusedExchange" in final
