@@ -304,10 +304,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = staged(grouped, "minhash-classes")
     size = 4 * ROWS
     bucket = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)), lambda i: F.xxhash64(i, F.substring("a", i * size + 1, F.lit(size)))))
-    keys = classes.select("cls", "n", "short", "text_hash", bucket.alias("i", "bucket"))
+    keys = classes.select("cls", bucket.alias("i", "bucket"))
     # Written, as are the facts joined below: between two plain shuffles a busy key can be split.
     busy = staged(keys.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1"), "minhash-busy")
-    rows = staged(keys.join(busy, "bucket").select("bucket", "i", "cls", "n", "short", "members", "text_hash"), "minhash-rows")
+    # Most keys are alone; what is compared is joined to the few that are not.
+    facts = classes.select("cls", "n", "short", "text_hash")
+    rows = staged(keys.join(busy, "bucket").join(facts, "cls").select("bucket", "i", "cls", "n", "short", "members", "text_hash"), "minhash-rows")
     blocks = F.ceil(F.col("members") / block).cast("int")
     own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
 
