@@ -16,7 +16,8 @@ from paperloom.operators.edits import NEW_DATE, OLD_DATES
 REPORT_MARKER = f"^{WS}*[□■○●◦▪▫·ㆍ\\-–]{WS}"
 LEGAL_MARKER = f"^{WS}*(?:[0-9]+\\.|[가-힣]\\.|[0-9]+\\)|[①-⑮]|[ⅰ-ⅹ]\\.?){WS}"
 REPORT_STYLE, LEGAL_STYLE, NO_STYLE = "보고서(□ ○ -)", "법정(1. 가. 1) …)", "혼합/없음"
-HEADING_TEXT_MAX = 50
+# Characters of a heading that a readable template shows; fingerprints hold whole headings.
+HEADING_SHOWN = 50
 
 
 def _style(report: Column, legal: Column) -> Column:
@@ -51,7 +52,7 @@ def fingerprint(block_rows: DataFrame, cells: DataFrame) -> DataFrame:
     heading = F.struct(
         "block_no",
         F.coalesce("level", F.lit(1)).alias("level"),
-        F.substring(text, 1, HEADING_TEXT_MAX).alias("text"),
+        text.alias("text"),
     )
     per_type = block_rows.groupBy("doc_id", "type").agg(
         F.count("*").alias("n"),
@@ -178,7 +179,7 @@ def _template_text() -> Column:
                     F.lit("H"),
                     h["level"].cast("string"),
                     F.lit(" "),
-                    h["text"],
+                    F.substring(h["text"], 1, HEADING_SHOWN),
                 ),
             ),
             "\n",

@@ -35,7 +35,7 @@ _FP_SQL = f"""{MD_CELLS_SQL}, {_STYLE_SQL},
     types AS (SELECT doc_id, type, count(*) AS n, min(block_no) AS f FROM blocks GROUP BY ALL),
     hist AS (SELECT doc_id, string_agg(type || ' ' || n, ', ' ORDER BY f) AS histogram,
         (coalesce(sum(n) FILTER (type = 'list'), 0))::bigint AS list_count FROM types GROUP BY doc_id),
-    heads AS (SELECT doc_id, string_agg('H' || level || ' ' || substr(text, 1, 50), chr(10) ORDER BY block_no) AS headings,
+    heads AS (SELECT doc_id, string_agg('H' || level || ' ' || text, chr(10) ORDER BY block_no) AS headings,
         string_agg('  ' || repeat('  ', level - 1) || 'H' || level || ' ' || substr(text, 1, 50), chr(10)
           ORDER BY block_no) AS shown, count(*) AS hn
       FROM blocks WHERE type = 'heading' GROUP BY doc_id),

@@ -34,9 +34,10 @@ def test_fingerprint_and_template(spark):
     )
     r = fp.collect()[0]
     assert [(h.type, h.n) for h in r.histogram] == [("heading", 2), ("paragraph", 1), ("table", 1), ("image", 1)]
-    assert len(r.headings[0].text) == 50 and r.headings[1].level == 2
+    assert len(r.headings[0].text) == 80 and r.headings[1].level == 2
     assert (r.image_count, r.footnote_count, r.list_count) == (1, 1, 0)
     text = profile.format_template(fp).collect()[0].template
+    assert "제목" * 25 in text and "제목" * 26 not in text
     assert "- 표(1): #1 2×3(머리행)" in text and "    H2 둘" in text and "- 각주: 1" in text
 
 
