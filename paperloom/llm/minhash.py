@@ -179,7 +179,8 @@ def _crossing(rows: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
     if len(sizes) < 2:
         return
     n, short = rows.column(3).to_numpy(zero_copy_only=False), _short(rows.column(4))
-    keys = short[:, : HASHES // 2].reshape(len(short), SIDE, ROWS)
+    # Whole minhashes, as in the names of the buckets: bytes that agree do not mean that a pair has met.
+    keys = np.frombuffer(b"".join(rows.column(7).to_pylist()), np.uint32).reshape(len(short), SIDE, ROWS)
     i = int(rows.column(6)[0].as_py())
     largest = int(sizes.argmax())
     for r in np.flatnonzero(comp != largest).tolist():
@@ -206,7 +207,7 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same rows with their texts: a link for each two components that the full sets join."""
     known = Words()
     for rows in _groups(batches):
-        codes = [shingles(t, known) for t in texts(rows.column(7))]
+        codes = [shingles(t, known) for t in texts(rows.column(8))]
         sizes = np.array([len(c) for c in codes])
         begin = np.cumsum(sizes) - sizes
         vocabulary, flat = np.unique(np.concatenate(codes), return_inverse=True)
@@ -329,16 +330,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = rows.join(roots, F.col("cls") == F.col("node"), "left").select("bucket", "i", "cls", "n", "short", "members", F.coalesce("root", "cls").alias("comp"))
     placed = staged(placed, "minhash-placed")
     torn = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("bucket")
-    left = placed.join(staged(torn, "minhash-torn"), "bucket")
+    minhashes = classes.select("cls", "a")
+    left = placed.join(staged(torn, "minhash-torn"), "bucket").join(minhashes, "cls")
     # A class goes to every pair of blocks that holds its own: one task per pair.
     pair = F.transform(F.sequence(F.lit(0), blocks - 1), lambda c: F.least(own, c).cast("long") * (1 << 31) + F.greatest(own, c))
     key = ["bucket", "blocks"]
-    across = left.select("bucket", F.explode(pair).alias("blocks"), "cls", "n", "short", "comp", "i")
+    across = left.select("bucket", F.explode(pair).alias("blocks"), "cls", "n", "short", "comp", "i", "a")
     suspects = across.repartition(*key).sortWithinPartitions(*key).mapInArrow(_suspects, "bucket long, blocks long, cls binary")
     suspects = staged(suspects, "minhash-suspects")
     # Texts only for the few that the signatures leave open; compared where they meet.
     facts = placed.select("cls", "n", "short", "comp", "bucket", "i")
-    open_ = suspects.join(facts, ["bucket", "cls"]).join(pool, "cls").select(*key, "cls", "n", "short", "comp", "i", "text")
+    open_ = suspects.join(facts, ["bucket", "cls"]).join(minhashes, "cls").join(pool, "cls").select(*key, "cls", "n", "short", "comp", "i", "a", "text")
     more = open_.repartition(*key).sortWithinPartitions(*key).mapInArrow(_link, "x binary, y binary").distinct()
     star = roots.filter("node != root").select(F.col("node").alias("x"), F.col("root").alias("y"))
     final = staged(components(star.unionByName(more)), "minhash-roots")

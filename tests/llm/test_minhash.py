@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from paperloom.llm import minhash
 
 
@@ -79,3 +82,34 @@ def test_components_of_long_chains(spark):
     edges = [(name(k), name(k + 1)) for k in range(n - 1)] + [(b"zz", b"zy")]
     got = {bytes(r.node): bytes(r.root) for r in minhash.components(spark.createDataFrame(edges, "x binary, y binary")).collect()}
     assert got == {name(k): b"00000000" for k in range(n)} | {b"zz": b"zy", b"zy": b"zy"}
+
+
+def test_keys_that_agree_in_low_bytes_only_have_not_met():
+    # Two near texts that share bucket 1; the minhashes of key 0 differ, but their low bytes do not.
+    base = [f"w{i}" for i in range(100)]
+    near = [" ".join(base).encode(), " ".join([*base[:-1], "other"]).encode()]
+    known = minhash.Words()
+    sig = minhash.signatures([minhash.shingles(t, known) for t in near])
+    sig[1] = sig[0]
+    sig[1, : minhash.ROWS] += np.uint32(256)
+    short, a = sig.astype(np.uint8), np.ascontiguousarray(sig[:, : minhash.HASHES // 2])
+
+    def rows(i, a):
+        n = len(minhash.shingles(near[0], known))
+        columns = [
+            pa.array([5, 5], pa.int64()),
+            pa.array([0, 0], pa.int64()),
+            pa.array([b"x" * 16, b"y" * 16], pa.binary()),
+            pa.array([n, n], pa.int64()),
+            pa.array([r.tobytes() for r in short], pa.binary()),
+            pa.array([b"x" * 16, b"y" * 16], pa.binary()),
+            pa.array([i, i], pa.int32()),
+            pa.array([r.tobytes() for r in a], pa.binary()),
+            pa.array(near, pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["bucket", "blocks", "cls", "n", "short", "comp", "i", "a", "text"])
+
+    assert [b.num_rows for b in minhash._suspects([rows(1, a)])] == [2]
+    assert [b.to_pylist() for b in minhash._link([rows(1, a)])] == [[{"x": b"x" * 16, "y": b"y" * 16}]]
+    # In bucket 2 they have met before, in bucket 1.
+    assert list(minhash._suspects([rows(2, a)])) == []
