@@ -1,9 +1,9 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
 A document is the set of its hashed terms: words in lower case, and the beginnings of longer words,
-which catch inflected and compounded forms. Each term has a weight; each term that carries weight
-also has a short vector, and the products of vectors are the pairwise interactions that additive
-weights miss, such as an insult next to the mention of a group.
+which catch inflected and compounded forms. Each term of some support has a short vector, and the
+products of vectors are the pairwise interactions that additive weights miss, such as an insult next
+to the mention of a group; terms whose shares differ between the labels have a weight too.
 """
 
 from __future__ import annotations
@@ -27,9 +27,14 @@ FIT_ROWS = 12_000
 EPOCHS = 8
 BATCH = 128
 DECAY = 1e-4
-# A term counts if it is in MIN_ROWS of the documents fitted on, and its share differs by MIN_Z.
+# A term has a vector if it is in MIN_ROWS of the documents fitted on, and a weight besides if its
+# share differs by MIN_Z. Terms that are as common in either label may matter in a pair.
 MIN_ROWS = 6
 MIN_Z = 4.0
+# Documents hold hundreds of terms: vectors begin small, so that the sum over all pairs does too, and
+# their squared slopes count from FLOOR, so that terms of faint slopes take small steps.
+SPREAD = 0.01
+FLOOR = 10.0
 # Words whose terms are remembered per worker; the cache starts anew when it is full.
 CACHE_WORDS = 150_000
 
@@ -80,26 +85,28 @@ class Places(dict):
 
 @dataclass
 class Model:
-    """Bias, and of the terms with weight: number, weight, vector. Other terms count nothing."""
+    """Bias, and of the terms with support: number, weight, vector. Other terms count nothing."""
 
     bias: float
     term: np.ndarray
     weight: np.ndarray
     vector: np.ndarray
 
-    def scores(self, rows: list[list[int]]) -> np.ndarray:
+    def scores(self, rows: list[list[int]] | list[np.ndarray]) -> np.ndarray:
         """Probability of label 1; a row lists places in `term`."""
         out = np.empty(len(rows))
+        # What a term gives alone; the vectors give the rest.
+        alone = self.weight - 0.5 * (self.vector**2).sum(1)
         for i, row in enumerate(rows):
             at = np.array(row, np.int64)
-            vector = self.vector[at]
-            pairs = 0.5 * (vector.sum(0) ** 2 - (vector**2).sum(0)).sum()
-            out[i] = self.bias + self.weight[at].sum() + pairs
+            sums = self.vector.take(at, 0).sum(0)
+            out[i] = self.bias + alone.take(at).sum() + 0.5 * (sums @ sums)
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def screen(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Terms whose share differs between the labels by MIN_Z standard errors or more."""
+def screen(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Terms in MIN_ROWS rows or more, and whether the share of each differs between the labels by
+    MIN_Z standard errors or more."""
     size = 1 << BITS
     one, all_ = np.zeros(size, np.int64), np.zeros(size, np.int64)
     for row, label in zip(rows, labels):
@@ -111,11 +118,14 @@ def screen(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     pooled = all_ / len(labels)
     error = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n1 + 1 / n0))
     gap = one / n1 - (all_ - one) / n0
-    return np.flatnonzero((all_ >= MIN_ROWS) & (np.abs(gap) >= MIN_Z * error))
+    term = np.flatnonzero(all_ >= MIN_ROWS)
+    return term, (np.abs(gap) >= MIN_Z * error)[term]
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
-    """Adaptive gradient steps on the logistic loss, over terms that pass the screen.
+    """Adaptive gradient steps on the logistic loss, over all terms with support; weights only of
+    those that pass the screen. Weights go first, EPOCHS rounds alone, so that vectors take up what
+    is left.
 
     Without rows nothing counts as toxic; with one label only, the model is its smoothed share.
     """
@@ -124,38 +134,37 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
     bias = float(np.log(share / (1 - share)))
     if not len(labels) or labels.min() == labels.max():
         return Model(bias, *nothing)
-    term = screen(rows, labels)
+    term, weighs = screen(rows, labels)
     place = np.full(1 << BITS, -1, np.int64)
     place[term] = np.arange(len(term))
     kept = [at[at >= 0] for at in (place[row] for row in rows)]
     lengths = np.array([len(r) for r in kept])
     rng = np.random.default_rng(seed)
-    weight, vector = np.zeros(len(term)), rng.normal(0, 0.05, (len(term), RANK))
-    weight_n, vector_n, bias_n = np.full(len(term), 1e-6), np.full((len(term), RANK), 1e-6), 1e-6
-    for _ in range(EPOCHS):
+    weight, vector = np.zeros(len(term)), rng.normal(0, SPREAD, (RANK, len(term)))
+    weight_n, vector_n, bias_n = np.full(len(term), 1e-6), np.full((RANK, len(term)), FLOOR), 1e-6
+    for paired in [False] * EPOCHS + [True] * EPOCHS:
         order = rng.permutation(len(kept))
         for a in range(0, len(order), BATCH):
             some = order[a : a + BATCH]
             at = np.concatenate([kept[i] for i in some])
             doc = np.repeat(np.arange(len(some)), lengths[some])
-            v = vector[at]
-            sums = np.zeros((len(some), RANK))
-            np.add.at(sums, doc, v)
-            squares = np.zeros((len(some), RANK))
-            np.add.at(squares, doc, v * v)
-            raw = bias + np.bincount(doc, weight[at], len(some)) + 0.5 * (sums**2 - squares).sum(1)
+            raw = bias + np.bincount(doc, weight[at], len(some))
+            if paired:
+                v = vector[:, at]
+                sums = np.stack([np.bincount(doc, x, len(some)) for x in v])
+                raw += 0.5 * ((sums**2).sum(0) - np.bincount(doc, (v * v).sum(0), len(some)))
             slope = 1 / (1 + np.exp(-np.clip(raw, -30, 30))) - labels[some]
-            g = np.bincount(at, slope[doc], len(term)) + DECAY * weight
+            each = slope[doc]
+            g = (np.bincount(at, each, len(term)) + DECAY * weight) * weighs
             weight_n += g * g
             weight -= 0.2 * g / np.sqrt(weight_n)
-            g = np.zeros_like(vector)
-            np.add.at(g, at, slope[doc, None] * (sums[doc] - v))
-            g += DECAY * vector
-            vector_n += g * g
-            vector -= 0.02 * g / np.sqrt(vector_n)
+            if paired:
+                g = np.stack([np.bincount(at, each * (x[doc] - y), len(term)) for x, y in zip(sums, v)]) + DECAY * vector
+                vector_n += g * g
+                vector -= 0.02 * g / np.sqrt(vector_n)
             bias_n += slope.sum() ** 2
             bias -= 0.1 * slope.sum() / np.sqrt(bias_n)
-    return Model(float(bias), term, weight, vector)
+    return Model(float(bias), term, weight, vector.T.copy())
 
 
 def held_out(id_col: str = "doc_id"):
@@ -214,7 +223,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 found: set[int] = set()
                 for word in words(text):
                     found.update(known[word])
-                rows.append(sorted(found))
+                rows.append(np.sort(np.fromiter(found, np.int64, len(found))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.scores(rows), pa.float64())], names=[*batch.schema.names[:-1], "score"])
 
     return narrow.mapInArrow(run, schema)

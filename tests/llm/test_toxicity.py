@@ -21,6 +21,24 @@ def test_pairs_that_weights_cannot_tell():
     assert both > 0.5 > one and other < 0.5
 
 
+def test_terms_of_equal_share_in_both_labels():
+    # 1200 toxic and 10800 clean rows; group and insult are each in 100 toxic and 900 clean ones, and
+    # in the toxic ones always together. Neither differs between the labels.
+    rnd = np.random.default_rng(3)
+    known, rows, labels = toxicity.Terms(), [], []
+    for k in range(12_000):
+        toxic = k < 1200
+        group, insult = k < 100 or 1200 <= k < 2100, k < 100 or 2100 <= k < 3000
+        words = [w for w, on in (("zebrafolk", group), ("abomin", insult), ("slurry", toxic and not group)) if on]
+        rows.append(toxicity.features(" ".join([*words, *(f"n{n}" for n in rnd.integers(0, 300, 20))]).encode(), known))
+        labels.append(int(toxic))
+    model = toxicity.fit(rows, np.array(labels))
+    place = {int(t): i for i, t in enumerate(model.term)}
+    of = lambda s: [place[t] for t in toxicity.features(s.encode(), known).tolist() if t in place]
+    both, insult, group, neither = model.scores([of(s + " n1 n7 n20 n41") for s in ("abomin zebrafolk", "abomin", "zebrafolk", "")])
+    assert both > 0.5 > max(insult, group, neither)
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
