@@ -14,6 +14,7 @@ HEADING_WHOLE = f"{HEADING}\\z"
 BULLET = f"^[-*+]{WS}+"
 TABLE_RULE = f"^\\|[{SPACE_CHARS}:|-]+\\|"
 NO_HEADINGS = "(헤딩이 없습니다)"  # fixed value
+# The limits of a reader that shows part of a text; nothing is cut unless they are asked for.
 READ_CAP = 80_000
 MAX_EXCERPTS = 50
 
@@ -206,30 +207,40 @@ def excerpt_blocks(text: Column, query: str, context: int = 2) -> Column:
     )
 
 
-def _search_body(text: Column, query: str) -> Column:
-    shown = lambda b: F.array_join(
-        F.transform(F.slice(b, 1, MAX_EXCERPTS), lambda x: x["excerpt"]), "\n…\n"
-    )
-    notice = f"\n\n(매치 블록이 너무 많아 앞 {MAX_EXCERPTS}개까지만 표시했습니다)"
-    return let(
-        excerpt_blocks(text, query),
-        lambda b: F.when(F.size(b) == 0, F.lit(f"'{query}' 를 찾지 못했습니다."))
-        .when(F.size(b) > MAX_EXCERPTS, F.concat(shown(b), F.lit(notice)))
-        .otherwise(shown(b)),
-    )
+def _search_body(text: Column, query: str, most: int | None) -> Column:
+    shown = lambda b: F.array_join(F.transform(b, lambda x: x["excerpt"]), "\n…\n")
+
+    def body(b: Column) -> Column:
+        found = F.when(F.size(b) == 0, F.lit(f"'{query}' 를 찾지 못했습니다."))
+        if most is not None:
+            notice = f"\n\n(매치 블록이 너무 많아 앞 {most}개까지만 표시했습니다)"
+            found = found.when(F.size(b) > most, F.concat(shown(F.slice(b, 1, most)), F.lit(notice)))
+        return found.otherwise(shown(b))
+
+    return let(excerpt_blocks(text, query), body)
 
 
 def read_view(
-    docs: DataFrame, outline: bool = False, search: str | None = None, cap: int = READ_CAP
+    docs: DataFrame,
+    outline: bool = False,
+    search: str | None = None,
+    cap: int | None = None,
+    max_excerpts: int | None = None,
 ) -> DataFrame:
-    """What a reader is shown: outline before search before the whole text, cut at ``cap``."""
+    """What a reader is shown: outline before search before the whole text.
+
+    Only ``cap`` (characters) and ``max_excerpts`` (of a search) cut it; ``READ_CAP`` and
+    ``MAX_EXCERPTS`` are those of a reader.
+    """
     text = F.coalesce("text", F.lit(""))
     if outline:
         body = outline_text(text)
     elif search and search.strip():
-        body = _search_body(text, search)
+        body = _search_body(text, search, max_excerpts)
     else:
         body = text
+    if cap is None:
+        return docs.select("doc_id", body.alias("body"), F.lit(False).alias("truncated"))
     return docs.select("doc_id", body.alias("full")).select(
         "doc_id",
         F.substring("full", 1, cap).alias("body"),

@@ -139,6 +139,53 @@ def read_view(spark, sf_dir):
     return op.read_view(d.documents(spark, sf_dir), cap=2000)
 
 
+@query(
+    "read_view_whole",
+    "SELECT doc_id, coalesce(text, '') AS body, false AS truncated FROM documents",
+)
+def read_view_whole(spark, sf_dir):
+    return op.read_view(d.documents(spark, sf_dir))
+
+
+@query(
+    "read_view_outline",
+    f"""WITH {d.MD_LINES_SQL},
+    h AS (
+      SELECT doc_id, string_agg(repeat('  ', length(regexp_extract(text, '^(#+)', 1)) - 1)
+        || regexp_replace(text, '{WS}+$', ''), chr(10) ORDER BY line_no) AS o
+      FROM ml WHERE regexp_matches(text, '^#{{1,6}}{WS}+.+') GROUP BY doc_id)
+    SELECT doc_id, coalesce(o, '{op.NO_HEADINGS}') AS body, false AS truncated
+    FROM documents LEFT JOIN h USING (doc_id)""",
+)
+def read_view_outline(spark, sf_dir):
+    return op.read_view(d.markdown(spark, sf_dir), outline=True)
+
+
+_SOUGHT = "ation"
+
+
+@query(
+    "read_view_search",
+    f"""WITH {d.LINES_SQL},
+    hits AS (SELECT doc_id, line_no AS hit FROM l WHERE contains(lower(text), '{_SOUGHT}')),
+    near AS (
+      SELECT doc_id, line_no, text FROM l WHERE EXISTS (
+        SELECT 1 FROM hits WHERE hits.doc_id = l.doc_id AND hit BETWEEN line_no - 2 AND line_no + 2)),
+    runs AS (
+      SELECT *, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM near),
+    excerpts AS (
+      SELECT doc_id, run, string_agg(line_no || ': ' || text, chr(10) ORDER BY line_no) AS excerpt
+      FROM runs GROUP BY doc_id, run),
+    found AS (
+      SELECT doc_id, string_agg(excerpt, chr(10) || '…' || chr(10) ORDER BY run) AS body
+      FROM excerpts GROUP BY doc_id)
+    SELECT doc_id, coalesce(body, '''{_SOUGHT}'' 를 찾지 못했습니다.') AS body, false AS truncated
+    FROM documents LEFT JOIN found USING (doc_id)""",
+)
+def read_view_search(spark, sf_dir):
+    return op.read_view(d.documents(spark, sf_dir), search=_SOUGHT)
+
+
 _MARK = (
     "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,"
     "'<script\\b.*?</script\\s*>', '', 'gis'), '<style\\b.*?</style\\s*>', '', 'gis'),"

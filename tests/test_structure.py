@@ -62,6 +62,16 @@ def test_read_view_prefers_outline_and_cuts(docs_of):
     assert body.startswith("7: | 항목") and body.endswith("11: | 다른 | 표 |")
 
 
+def test_read_view_is_whole_unless_a_limit_is_given(docs_of):
+    docs = docs_of("x" * (st.READ_CAP + 1), "\n".join(["hit", *["-"] * 9] * 60))
+    assert rows(st.read_view(docs.filter("doc_id = 1")), "body", "truncated") == [("x" * (st.READ_CAP + 1), False)]
+    assert rows(st.read_view(docs.filter("doc_id = 1"), cap=st.READ_CAP), "truncated") == [(True,)]
+    whole = rows(st.read_view(docs.filter("doc_id = 2"), search="hit"), "body")[0][0]
+    assert whole.count(": hit") == 60
+    some = rows(st.read_view(docs.filter("doc_id = 2"), search="hit", max_excerpts=50), "body")[0][0]
+    assert some.count(": hit") == 50 and some.endswith("앞 50개까지만 표시했습니다)")
+
+
 def test_lines_keep_empty_ones(docs_of):
     assert rows(st.lines(docs_of("a\n\nb\n")), "line_no", "text") == [(1, "a"), (2, ""), (3, "b"), (4, "")]
 
