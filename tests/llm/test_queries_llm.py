@@ -15,7 +15,7 @@ def test_query(spark, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(n.split("_")[0] for n in QUERIES) == sorted(f"op{k}" for k in range(1, 11))
+    assert sorted(n.split("_")[0] for n in QUERIES) == sorted(f"op{k}" for k in range(1, 14))
 
 
 def test_chat_format_stays_native(spark):
