@@ -184,7 +184,8 @@ def drop_shared_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
     gone = gone.distinct().groupBy(F.col("id").alias("_line_id")).agg(F.collect_list(F.struct("hi", "lo")).alias("_line_gone"))
     gone = staged(gone, "lines-gone")
     plain = docs.select(*kept, F.col(text_col).alias("_line_text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_line_own"))
-    joined = plain.join(gone, F.col("_line_own") == F.col("_line_id"), "left")
+    # The same plan at every size; ids that hold many rows can be split.
+    joined = plain.join(gone.hint("merge"), F.col("_line_own") == F.col("_line_id"), "left")
     names_kept = [c for c in plain.columns if c not in ("_line_text", "_line_own")]
     joined = joined.select(*names_kept, "_line_text", "_line_gone")
     schema = with_fields(joined.drop("_line_text", "_line_gone").schema, "n_lines long, n_dropped long, _line_kept binary")
