@@ -1,7 +1,8 @@
 """Chat formatting: turns checked by a finite-state machine, written by a declarative template.
 
 A template says how a turn begins and ends, which roles there are, which of them are trained on, and
-which role may follow which. Conversations become one text each, made of segments with a loss flag.
+which role may follow which. One fold over the turns runs the machine and writes the segments with
+their loss flags; joined they are the text of the conversation.
 Only DataFrame functions are used.
 """
 
@@ -56,17 +57,44 @@ def unescape_role(role: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.replace(p, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
-def _order(template: Template, turns: Column) -> Column:
-    """Number of the first turn (from 1) that the machine does not accept, or null."""
+# Turns of one fold; a longer conversation is folded in parts, so that work stays in proportion.
+PART = 64
+_SEGMENTS = "array<struct<text:string,loss:boolean>>"
+
+
+def _machine(template: Template, turns: Column) -> Column:
+    """Struct (segments, bad): what the machine writes for the turns, and the number (from 1) of the
+    first turn that it does not accept, or null.
+
+    The state is the role of the last turn, its number, the first bad one and what was written. A
+    part of a conversation starts in the state that the turn before it leaves.
+    """
     edges = F.create_map(*[x for role, after in (("", template.first), *template.follows) for x in (F.lit(role), F.array(*[F.lit(r) for r in after]))])
 
     def step(state: Column, turn: Column) -> Column:
         allowed = F.coalesce(F.array_contains(F.element_at(edges, state["role"]), turn["role"]), F.lit(False))
-        bad = F.when(state["bad"].isNull() & ~allowed, state["n"] + 1).otherwise(state["bad"])
-        return F.struct((state["n"] + 1).alias("n"), turn["role"].alias("role"), bad.alias("bad"))
+        number = state["n"] + 1
+        # The state before the first turn is its own: a turn may have an empty role too.
+        allowed = F.when(state["n"] == 0, turn["role"].isin(*template.first)).when(state["role"] == "", F.lit(False)).otherwise(allowed)
+        written = F.array(
+            F.struct(F.concat(F.lit(template.begin), escape_role(turn["role"]), F.lit(template.after_role)).alias("text"), F.lit(False).alias("loss")),
+            F.struct(escape(turn["text"]).alias("text"), turn["role"].isin(*template.trained).alias("loss")),
+            F.struct(F.lit(template.end + template.after_turn).alias("text"), F.lit(False).alias("loss")),
+        )
+        return F.struct(
+            number.alias("n"),
+            turn["role"].alias("role"),
+            F.when(state["bad"].isNull() & ~allowed, number).otherwise(state["bad"]).alias("bad"),
+            F.concat(state["segments"], written).alias("segments"),
+        )
+
+    def part(begin: Column) -> Column:
+        before = F.when(begin > 1, F.get(turns, begin - 2)["role"]).otherwise(F.lit(""))
+        start = F.struct((begin - 1).alias("n"), before.alias("role"), F.lit(None).cast("int").alias("bad"), F.array().cast(_SEGMENTS).alias("segments"))
+        return F.aggregate(F.slice(turns, begin, PART), start, step, lambda s: F.struct(s["segments"].alias("segments"), s["bad"].alias("bad")))
 
-    start = F.struct(F.lit(0).alias("n"), F.lit("").alias("role"), F.lit(None).cast("int").alias("bad"))
-    return F.aggregate(turns, start, step)["bad"]
+    parts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(turns), F.lit(1)), F.lit(PART)), part)
+    return F.struct(F.flatten(F.transform(parts, lambda p: p["segments"])).alias("segments"), F.array_min(F.transform(parts, lambda p: p["bad"])).alias("bad"))
 
 
 def format_chats(rows: DataFrame, template: Template = CHAT, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -87,14 +115,8 @@ def format_chats(rows: DataFrame, template: Template = CHAT, conv_col: str = "co
     )
     grouped = rows.groupBy(F.col(conv_col)).agg(F.sort_array(F.collect_list(turn)).alias("_turns"))
 
-    def segments(t: Column) -> Column:
-        return F.array(
-            F.struct(F.concat(F.lit(template.begin), escape_role(t["role"]), F.lit(template.after_role)).alias("text"), F.lit(False).alias("loss")),
-            F.struct(escape(t["text"]).alias("text"), t["role"].isin(*template.trained).alias("loss")),
-            F.struct(F.lit(template.end + template.after_turn).alias("text"), F.lit(False).alias("loss")),
-        )
-
-    made = grouped.select(conv_col, F.flatten(F.transform("_turns", segments)).alias("segments"), _order(template, F.col("_turns")).alias("first_bad_turn"))
+    made = grouped.select(conv_col, _machine(template, F.col("_turns")).alias("_made"))
+    made = made.select(conv_col, F.col("_made.segments").alias("segments"), F.col("_made.bad").alias("first_bad_turn"))
     return made.select(conv_col, F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments", "first_bad_turn")
 
 
@@ -126,13 +148,21 @@ _SQL = rf"""
 WITH turns AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
     UNION ALL SELECT -1, 0, 'user', '{_PLANTED}' UNION ALL SELECT -1, 1, 'assistant', '{_PLANTED}'
+), numbered AS (
+    SELECT conv_id, role, row_number() OVER w AS n, lag(role) OVER w AS before FROM turns
+    WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), wrong AS (
+    SELECT conv_id, min(n)::INTEGER AS first_bad_turn FROM numbered
+    WHERE NOT (CASE WHEN n = 1 THEN role IN ('system', 'user') ELSE (before, role) IN (
+        ('system', 'user'), ('user', 'assistant'), ('assistant', 'user'), ('assistant', 'tool'), ('tool', 'assistant'), ('tool', 'tool')) END)
+    GROUP BY conv_id
 )
 SELECT conv_id, count(*) AS n_turns,
     sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
     coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
     sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-    sum(12 + length(role) + 1 + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + 10 + 1)::BIGINT AS formatted_chars
-FROM turns GROUP BY conv_id
+    sum(12 + length(role) + 1 + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + 10 + 1)::BIGINT AS formatted_chars, any_value(first_bad_turn) AS first_bad_turn
+FROM turns LEFT JOIN wrong USING (conv_id) GROUP BY conv_id
 """
 
 
@@ -144,7 +174,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(_PLANTED).alias("text")
     )
     made = format_chats(rows.unionByName(planted))
-    read = made.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"), trained_text(F.col("segments")).alias("trained"))
+    read = made.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"), trained_text(F.col("segments")).alias("trained"), "first_bad_turn")
     return read.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
@@ -152,4 +182,5 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.char_length("trained").cast("long").alias("loss_chars"),
         F.sha2(F.col("trained").cast("binary"), 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
+        "first_bad_turn",
     )

@@ -43,3 +43,21 @@ def test_other_template(spark):
     row = chat.format_chats(rows, template).select("formatted", chat.read_turns(F.col("formatted"), template).alias("t")).first()
     assert row.formatted == "<|turn|>bot\nhi <\\|done|><|done|>"
     assert [tuple(t) for t in row.t] == [("bot", "hi <|done|>")]
+
+
+def test_long_conversations_are_folded_in_parts(spark):
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"t{i}", "", "") for i in range(3 * chat.PART + 1)]
+    rows += [(2, i, "user" if i % 2 == 0 or i == 130 else "assistant", f"t{i}", "", "") for i in range(200) if i != 131]
+    rows += [(3, i, "" if i == chat.PART else ("user", "assistant")[i % 2], "x", "", "") for i in range(chat.PART + 2)]
+    got = read(spark, rows)
+    assert got[1].first_bad_turn is None and got[1].trained == "".join(r[3] for r in rows[: 3 * chat.PART + 1] if r[2] == "assistant")
+    assert got[2].first_bad_turn == 132 and got[3].first_bad_turn == chat.PART + 1
+    assert all("".join(s.text for s in r.segments) == r.formatted for r in got.values())
+
+
+def test_the_query_runs_the_machine(spark):
+    made = chat.op5_chat_format(spark, "/root/testdata/sf0.001")
+    plan = made.select("loss_sha256", "first_bad_turn")._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(slice(_turns" in plan
+    # Flags and texts come out of the same fold, whichever column is read.
+    assert "aggregate(slice(_turns" in made.select("loss_chars")._jdf.queryExecution().optimizedPlan().toString()
