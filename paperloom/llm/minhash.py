@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.common import load, mix64, query, slices, staged, steps, texts
 
-SHINGLE = 4
+SHINGLE = 5
 # At similarity 0.8 a key of three minhashes agrees with probability 0.512; one side of SIDE keys has
 # none in common in 1e-5 of all cases, either side in 2e-5.
 SIDE = 16
@@ -80,7 +80,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """Rows of (id, text_hash, n_shingles, cls, a, short): cls names the set (null if empty), a holds
     the minhashes of collection A, short one byte of each minhash."""
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
@@ -90,7 +90,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         for batch in (part for batch in batches for part in slices(batch)):
             data = texts(batch.column(2))
             for x, y in steps(data):
-                sets = [shingles(t, known) for t in data[x:y]]
+                sets = [shingles(t, known, size) for t in data[x:y]]
                 sig = signatures(sets)
                 a, short = sig[:, : HASHES // 2], sig.astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
@@ -203,11 +203,11 @@ def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield rows.select([0, 1, 2]).filter(pa.array(marked))
 
 
-def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _link(batches: Iterator[pa.RecordBatch], size: int = SHINGLE) -> Iterator[pa.RecordBatch]:
     """The same rows with their texts: a link for each two components that the full sets join."""
     known = Words()
     for rows in _groups(batches):
-        codes = [shingles(t, known) for t in texts(rows.column(8))]
+        codes = [shingles(t, known, size) for t in texts(rows.column(8))]
         sizes = np.array([len(c) for c in codes])
         begin = np.cumsum(sizes) - sizes
         vocabulary, flat = np.unique(np.concatenate(codes), return_inverse=True)
@@ -263,7 +263,7 @@ def _same(a: DataFrame, b: DataFrame) -> bool:
     return not count and not mark
 
 
-def _confirm(pairs: DataFrame, pool: DataFrame) -> DataFrame:
+def _confirm(pairs: DataFrame, pool: DataFrame, size: int) -> DataFrame:
     """The pairs (x, y) whose full shingle sets are similar enough."""
     one, other = pool.select(F.col("cls").alias("x"), F.col("text").alias("tx")), pool.select(F.col("cls").alias("y"), F.col("text").alias("ty"))
     joined = pairs.join(one, "x").join(other, "y").select("x", "y", "tx", "ty")
@@ -279,9 +279,9 @@ def _confirm(pairs: DataFrame, pool: DataFrame) -> DataFrame:
                     if name not in last:
                         if len(last) >= 64:
                             last.clear()
-                        last[name] = shingles(text, known)
+                        last[name] = shingles(text, known, size)
                 # Both may be gone only if the cache was emptied between the two.
-                a = last[x] if x in last else shingles(tx, known)
+                a = last[x] if x in last else shingles(tx, known, size)
                 b = last[y]
                 common = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(100 * common >= PERCENT * (len(a) + len(b) - common))
@@ -290,17 +290,17 @@ def _confirm(pairs: DataFrame, pool: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "x binary, y binary")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, shingle: int = SHINGLE) -> DataFrame:
     """Rows of (id, n_shingles, component_id, kept), one per document.
 
-    Documents are linked where 100 times the common shingles are at least PERCENT times all shingles
+    Shingles are runs of `shingle` words. Documents are linked where 100 times the common shingles are at least PERCENT times all shingles
     of both. component_id is the smallest id reachable over links, kept whether it is the row's own.
     Texts without words (null, empty, white space) are linked with nothing and kept. Rows that
     repeat an id have the component of their own texts. A null id is reached like any other but
     never names a component while another id is in it; alone, its component is null and it is kept.
     An empty table gives an empty table; other columns are not read.
     """
-    base = staged(sketch(docs, id_col, text_col), "minhash-base")
+    base = staged(sketch(docs, id_col, text_col, shingle), "minhash-base")
     grouped = base.filter("cls IS NOT NULL").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.first("a").alias("a"), F.first("short").alias("short"), F.min("text_hash").alias("text_hash"))
     classes = staged(grouped, "minhash-classes")
     size = 4 * ROWS
@@ -324,7 +324,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = whole.withColumn("text_hash", F.xxhash64("text")).join(needed, F.col("text_hash") == F.col("_text_hash"))
     pool = staged(found.groupBy("cls").agg(F.first("text").alias("text")), "minhash-texts")
 
-    links = staged(_confirm(first, pool), "minhash-links")
+    links = staged(_confirm(first, pool, shingle), "minhash-links")
     roots = components(links)
 
     placed = rows.join(roots, F.col("cls") == F.col("node"), "left").select("bucket", "i", "cls", "n", "short", "members", F.coalesce("root", "cls").alias("comp"))
@@ -341,7 +341,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Texts only for the few that the signatures leave open; compared where they meet.
     facts = placed.select("cls", "n", "short", "comp", "bucket", "i")
     open_ = suspects.join(facts, ["bucket", "cls"]).join(minhashes, "cls").join(pool, "cls").select(*key, "cls", "n", "short", "comp", "i", "a", "text")
-    more = open_.repartition(*key).sortWithinPartitions(*key).mapInArrow(_link, "x binary, y binary").distinct()
+    more = open_.repartition(*key).sortWithinPartitions(*key).mapInArrow(lambda rows: _link(rows, shingle), "x binary, y binary").distinct()
     star = roots.filter("node != root").select(F.col("node").alias("x"), F.col("root").alias("y"))
     final = staged(components(star.unionByName(more)), "minhash-roots")
 
@@ -383,4 +383,4 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles, c AS component_id, doc_id = c AS ke
 
 @query("op8_minhash", _SQL)
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(load(spark, sf_dir, "documents", "doc_id", "text"))
+    return near_duplicates(load(spark, sf_dir, "documents", "doc_id", "text"), shingle=4)

@@ -2,19 +2,20 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from paperloom.llm import minhash
 
 
-def shingle_set(text):
+def shingle_set(text, size):
     words = (text or "").encode().lower().split()
     if not words:
         return frozenset()
-    return frozenset([tuple(words)] if len(words) < 4 else [tuple(words[i : i + 4]) for i in range(len(words) - 3)])
+    return frozenset([tuple(words)] if len(words) < size else [tuple(words[i : i + size]) for i in range(len(words) - size + 1)])
 
 
-def brute(rows):
-    sets = [(i, shingle_set(t)) for i, t in rows]
+def brute(rows, size=5):
+    sets = [(i, shingle_set(t, size)) for i, t in rows]
     root = list(range(len(sets)))
 
     def find(a):
@@ -49,7 +50,8 @@ def edited(rnd, words, k):
     return " ".join(words)
 
 
-def test_matches_all_pairs(spark):
+@pytest.mark.parametrize("size", [4, 5])
+def test_matches_all_pairs(spark, size):
     rnd = random.Random(5)
     rows = []
     for group in range(12):
@@ -62,15 +64,15 @@ def test_matches_all_pairs(spark):
         rows.append((len(rows), " ".join(words)))
         words[3 * step % 100] = f"n{step}"
     rnd.shuffle(rows)
-    assert run(spark, rows) == brute(rows)
-    assert run(spark, rows, block=3) == brute(rows)
+    assert run(spark, rows, shingle=size) == brute(rows, size)
+    assert run(spark, rows, shingle=size, block=3) == brute(rows, size)
 
 
 def test_edge_rows(spark):
     long = " ".join(f"w{i}" for i in range(60_000))
     rows = [(1, None), (2, ""), (3, " \t"), (None, "one two three four five"), (4, "ONE two three\nfour five"), (9, long), (8, long + " more"), (8, long + " more"), (5, "a b"), (6, "A B"), (7, "a b c"), (10, "É b"), (11, "é b")]
     assert run(spark, rows) == brute(rows)
-    assert run(spark, [(None, "lonely words of no one")]) == [(None, 2, None)]
+    assert run(spark, [(None, "lonely words of no one")], shingle=4) == [(None, 2, None)]
     assert run(spark, []) == []
 
 
