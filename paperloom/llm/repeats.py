@@ -15,6 +15,7 @@ windows. Suffixes travel together where they can:
    what these share, and who is alone leaves.
 4. The last digit is the window itself, one suffix each.
 
+Windows are counted in bytes or in words; for words, a text is the sequence of their codes.
 Digits are 64-bit hashes within the group of the digits before them.
 """
 
@@ -31,6 +32,12 @@ from pyspark.sql import functions as F
 from paperloom.llm.common import load, query, slices, staged, texts, with_fields
 
 LENGTH = 400
+# Bytes of the code of a word.
+CODE = 4
+CACHE_WORDS = 150_000
+SPACES = b" \t\n\x0b\x0c\r"
+# Groups that the copies of one text are dealt to.
+SALTS = 8
 WIDTH = 200
 GRAM = 8
 PART = 16
@@ -173,9 +180,14 @@ def repeated_runs(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
 
     several = staged(classes.groupBy("k1").agg(F.count("*").alias("m")).filter("m > 1").select("k1"), "repeats-keys")
     open_ = classes.join(several, "k1", "left_semi").groupBy("owner").agg(F.collect_list(F.struct("k1", "run")).alias("runs"))
-    # One row per text, whatever the number of its copies.
-    work = keyed.join(open_, "owner").dropDuplicates(["owner"]).select("owner", "check", "text", "runs")
-    work = staged(work, "repeats-texts")
+    open_ = staged(open_, "repeats-open")
+    # One row per text, whatever the number of its copies: they are dealt by where they are read, and
+    # one of each group goes on.
+    salted = keyed.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    wanted = open_.select("owner", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    few = salted.join(wanted, ["owner", "_salt"], "left_semi").dropDuplicates(["owner", "_salt"])
+    one = few.drop("_salt").dropDuplicates(["owner"])
+    work = staged(one.join(open_, "owner").select("owner", "check", "text", "runs"), "repeats-texts")
     parts = staged(work.mapInArrow(_parts(length), "k3 long, owner long, part long"), "repeats-parts")
     going = _repeated(parts, "k3").groupBy("owner").agg(F.collect_list(F.struct("k3", "part")).alias("parts"))
     single = work.select("owner", "check", "text").join(going, "owner").mapInArrow(_windows(length), "k4 long, owner long, run long")
@@ -196,6 +208,49 @@ def spans_of(check: int, runs: list[int], length: int = LENGTH) -> np.ndarray:
     return np.stack([start[begins], end[np.r_[np.flatnonzero(begins)[1:] - 1, len(end) - 1]]], 1)
 
 
+class Codes(dict):
+    """Word -> code of 32 bits."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        code = self[word] = xxhash.xxh3_64_intdigest(word) >> 32
+        return code
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(owner, check, text) with the codes of the words in place of the text."""
+    known = Codes()
+    for batch in (part for batch in batches for part in slices(batch)):
+        words = [x.split() for x in texts(batch.column(2))]
+        codes = [np.fromiter(map(known.__getitem__, w), np.uint32, len(w)).tobytes() for w in words]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(codes, pa.binary())], names=["owner", "check", "text"])
+
+
+def word_places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of every word."""
+    space = np.isin(np.frombuffer(text, np.uint8), np.frombuffer(SPACES, np.uint8))
+    edge = np.diff(np.r_[True, space, True].astype(np.int8))
+    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+
+
+def word_spans(text: bytes, check: int, runs: list[int], words: int) -> np.ndarray:
+    """Maximal covered byte ranges (start, end), from the runs of a text's codes."""
+    checks, place, near, far = unpack(np.array(runs, np.int64))
+    mine = checks == check
+    # Windows that begin with a word, not inside a code.
+    first, last = -(-(place - far)[mine] // CODE), (place - near)[mine] // CODE
+    whole = first <= last
+    if not whole.any():
+        return np.zeros((0, 2), np.int64)
+    first, last = first[whole], last[whole] + words
+    order = np.argsort(first, kind="stable")
+    start, end = first[order], np.maximum.accumulate(last[order])
+    begins = np.r_[True, start[1:] > end[:-1]]
+    begin, stop = word_places(text)
+    return np.stack([begin[start[begins]], stop[end[np.r_[np.flatnonzero(begins)[1:] - 1, len(end) - 1]] - 1]], 1)
+
+
 def whole_characters(text: bytes, spans: np.ndarray) -> list[tuple[int, int]]:
     """Spans drawn in to characters that they cover whole, for texts that must stay UTF-8."""
     out = []
@@ -209,35 +264,58 @@ def whole_characters(text: bytes, spans: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), characters: bool = False) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame,
+    length: int = LENGTH,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    keep: tuple[str, ...] = (),
+    characters: bool = False,
+    words: int | None = None,
+) -> DataFrame:
     """Rows of (id, *keep, n_bytes, n_removed, spans, kept_bytes), one per document.
 
     Every byte in a window of `length` bytes that starts at another place too, in this or another
     document, is removed; windows lie within one document and may overlap; repeats are judged on the
     texts as given. spans lists starts and ends of the maximal removed runs in turn, kept_bytes is
-    what is left. With characters, a character goes only if all its bytes go. Null and empty texts
-    have nothing to remove; texts shorter than length are kept; rows that repeat a text lose it, as
-    does every copy; null ids are rows like others; an empty table gives an empty table; columns of
-    docs that are not in keep are not read.
+    what is left. With characters, a character goes only if all its bytes go.
+
+    With words, a window is that many words instead, whatever white space is between them, and a run
+    is removed from its first word to the end of its last. Words are compared by 32-bit codes: two
+    windows count as equal if they differ in words whose codes agree, one in 2^32 a word.
+
+    Null and empty texts have nothing to remove; texts shorter than a window are kept; rows that
+    repeat a text lose it, as does every copy; null ids are rows like others; an empty table gives an
+    empty table; columns of docs that are not in keep are not read.
     """
     kept = [F.col(c) for c in dict.fromkeys((id_col, *keep))]
     check = F.hash("_rep_text").bitwiseAND((1 << CHECK_BITS) - 1).cast("int")
     plain = docs.select(*kept, F.col(text_col).alias("_rep_text"))
     owner = F.xxhash64("_rep_text")
-    keyed = plain.filter(F.octet_length("_rep_text") >= length).select(owner.alias("owner"), check.alias("check"), F.col("_rep_text").alias("text"))
+    keyed = plain.select(owner.alias("owner"), check.alias("check"), F.col("_rep_text").alias("text"))
+    if words is not None:
+        length = CODE * words
+        # A window has a byte for each word at least.
+        keyed = staged(keyed.filter(F.octet_length("text") >= words).mapInArrow(_coded, "owner long, check int, text binary"), "repeats-codes")
+    keyed = keyed.filter(F.octet_length("text") >= length)
     runs = staged(repeated_runs(keyed, length), "repeats-found").select(F.col("owner").alias("_rep_owner"), F.col("runs").alias("_rep_runs"))
     joined = plain.withColumn("_rep_check", check).join(runs, owner == F.col("_rep_owner"), "left").drop("_rep_owner")
     names = [c for c in plain.columns if c != "_rep_text"]
     joined = joined.select(*names, "_rep_text", "_rep_check", "_rep_runs")
     schema = with_fields(plain.drop("_rep_text").schema, "n_bytes long, n_removed long, spans array<long>, kept_bytes binary")
 
+    def spans_in(text: bytes, check_: int, found: list[int]) -> list:
+        if words is not None:
+            return word_spans(text, check_, found, words).tolist()
+        cut = spans_of(check_, found, length)
+        return whole_characters(text, cut) if characters else cut.tolist()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for batch in batches for part in slices(batch)):
             k = len(names)
             sizes, removed, spans, left = [], [], [], []
             for text, check_, found in zip(texts(batch.column(k)), batch.column(k + 1).to_pylist(), batch.column(k + 2).to_pylist()):
-                cut = spans_of(check_, found, length) if found else np.zeros((0, 2), np.int64)
-                cut = whole_characters(text, cut) if characters else cut.tolist()
+                cut = spans_in(text, check_, found) if found else []
                 sizes.append(len(text))
                 removed.append(sum(b - a for a, b in cut))
                 spans.append([x for pair in cut for x in pair])

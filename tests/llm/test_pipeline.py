@@ -1,9 +1,10 @@
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
 from llm.test_minhash import brute as near_brute
-from llm.test_repeats import brute as repeat_brute
+from llm.test_repeats import words_brute
 
 import corpus_pipeline
 from paperloom.llm import mixing
@@ -42,22 +43,36 @@ def test_toxic_documents_go(spark, stages):
 def test_one_of_each_near_duplicate_group_stays(stages):
     _, docs, made = stages[1]
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
-    want = {i for i, _, component in near_brute(rows) if i == component}
+    want = {i for i, _, component in near_brute(rows, 5) if i == component}
     assert {r.doc_id for r in made.select("doc_id").collect()} == want
     assert made.count() == len(want) < len(rows)
 
 
-def test_repeats_are_cut_to_whole_characters(stages):
+def test_repeated_passages_are_cut(stages):
     _, docs, made = stages[2]
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
-    got = {r.doc_id: r for r in made.collect()}
-    assert len(got) == len(rows)
-    for i, n, gone, _, kept in repeat_brute(rows, 400):
-        text = got[i].text
-        assert len(text) == got[i].n_chars
-        # At most three bytes of a character stay at either end of a cut.
-        assert 0 <= len(text.encode()) - len(kept) <= 0 if not gone else len(text.encode()) - len(kept) < 6 * n
-        assert text.isascii() is False or text.encode() == kept
+    got = made.collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == words_brute(rows, 50)
+    assert all(r.n_chars == len(r.text) for r in got)
+
+
+def test_planted_passages_go_and_clean_documents_stay(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 6)))
+    own = lambda n: " ".join(word() for _ in range(n))
+    planted = [own(n) for n in range(51, 81)]
+    assert min(len(p) for p in planted) < 300
+    rows = []
+    for k, passage in enumerate(planted):
+        for copy in range(2 + k % 3):
+            rows.append((len(rows), f"{own(30)} {passage}\n{own(40)}", passage))
+    clean = [(1000 + k, own(120), None) for k in range(60)]
+    docs = spark.createDataFrame([(i, t, "en", None if i % 3 else "s", len(t)) for i, t, _ in rows + clean], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.cut_repeats(spark, docs, SF).collect()}
+    assert len(got) == len(rows) + len(clean)
+    assert all(passage not in got[i].text and len(got[i].text) == len(t) - len(passage) for i, t, passage in rows)
+    assert all(got[i].text == t for i, t, _ in clean)
+    assert all(got[i].source == (None if i % 3 else "s") and got[i].lang == "en" for i in got)
 
 
 def test_mix_meets_targets(stages):

@@ -1,5 +1,6 @@
 import collections
 import random
+import re
 
 import numpy as np
 import pytest
@@ -75,3 +76,37 @@ def test_texts_beyond_one_step(monkeypatch):
     parts = repeats.anchors(text, 64)
     at = lambda c: np.repeat(c[0], c[2] - c[1] + 1).tolist()
     assert at(whole) == at(parts)
+
+
+def words_brute(rows, size):
+    """Bytes left when every word in a repeated run of size words goes."""
+    split = [(i, t or "", [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")]) for i, t in rows]
+    seen = collections.Counter(tuple(t[a:b] for a, b in w[k : k + size]) for _, t, w in split for k in range(len(w) - size + 1))
+    out = []
+    for i, t, w in split:
+        gone = [False] * len(w)
+        for k in range(len(w) - size + 1):
+            if seen[tuple(t[a:b] for a, b in w[k : k + size])] > 1:
+                gone[k : k + size] = [True] * size
+        edges = []
+        for k, ((a, b), g) in enumerate(zip(w, gone)):
+            if g and k and gone[k - 1]:
+                edges[-1] = b
+            elif g:
+                edges += [a, b]
+        cuts = [0, *edges, len(t)]
+        out.append((i, "".join(t[a:b] for a, b in zip(cuts[::2], cuts[1::2]))))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("size", [4, 7, 50])
+def test_windows_of_words(spark, size):
+    rnd = random.Random(size)
+    make = lambda n: [rnd.choice(["a", "bé", "日本", "longer", "x1", "."]) for _ in range(n)]
+    passages = [make(rnd.choice([size - 1, size, size + 1, 3 * size])) for _ in range(8)]
+    text = lambda: "".join(w + rnd.choice([" ", "\n", "  ", "\t "]) for _ in range(rnd.randint(0, 5)) for w in rnd.choice([make(rnd.randint(0, 2 * size)), rnd.choice(passages)]))
+    rows = [(i, text()) for i in range(80)] + [(100, None), (101, ""), (102, "a " * 3 * size), (103, " \n"), (5, "x"), (6, "  " + " ".join(passages[3]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, bytes(r.kept_bytes).decode()) for r in repeats.remove_repeats(docs, words=size).collect()), key=repr)
+    assert got == words_brute(rows, size)
+    assert sum(len(t) for _, t in got) < sum(len(t or "") for _, t in rows)
