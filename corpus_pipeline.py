@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from paperloom.llm import bpe, minhash, mixing, repeats, toxicity
 from paperloom.llm.common import load, staged
 
+# Words of a passage that counts as repeated.
+PASSAGE = 50
+# Words of a shingle of the near-duplicate stage.
+SHINGLE = 5
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -28,14 +32,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows that share an id stay or go together: they stay if any of them does.
     """
-    found = minhash.near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    found = minhash.near_duplicates(docs, shingle=SHINGLE).groupBy("doc_id").agg(F.max("kept").alias("kept"))
     gone = staged(found.filter("NOT kept").select(F.col("doc_id").alias("_gone")), "near-duplicates")
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that start at another place too; whole characters only, rows stay."""
-    cut = repeats.remove_repeats(docs, keep=("lang", "source"), characters=True)
+    """Texts without passages of PASSAGE words or more that start at another place too; rows stay."""
+    cut = repeats.remove_repeats(docs, keep=("lang", "source"), words=PASSAGE)
     text = F.col("kept_bytes").cast("string")
     return cut.select("doc_id", text.alias("text"), "lang", "source", F.char_length(text).cast("long").alias("n_chars"))
 
