@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.arrays import let
 from paperloom.functions.text import contains_text, nfc, trim_ws, window_text, with_nfc
-from paperloom.operators.ranking import cap
+from paperloom.operators.ranking import attach, cap, match
 from paperloom.operators.structure import excerpt_blocks
 
 CELL_HIT, BODY_HIT = "표", "본문"  # fixed values
@@ -82,46 +82,67 @@ def top_hits(hits: DataFrame, k: int | None = None) -> DataFrame:
     return cap(hits, ["doc_id"], order, k)
 
 
-# Largest term table that is matched inside each row; beyond it the indexed join is used.
-MAX_INLINE_TERMS = 500
-MAX_INLINE_CHARS = 1 << 20
 _GRAM = 4
+_SPACES = "[ \t\r\n]+"
 
 
-def find_terms(docs: DataFrame, terms: DataFrame, max_inline: int = MAX_INLINE_TERMS) -> DataFrame:
-    """(doc_id, term_id) where the document contains the term, ignoring case.
+def find_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, term_id) where the document contains the whole term, ignoring case.
 
-    ``terms``: term_id, term. A small table is matched inside each document row without
-    a shuffle; a larger one goes through equi-joins on words.
+    ``terms``: term_id, term, of any length and number; outer spaces do not count, blank terms are
+    nowhere. The words inside a term, all but its first and last, are whole words of a document that
+    holds it: its two rarest ones are looked up in an index of (word, document, position) and must
+    stand at their distance. Terms of one or two words are looked up by a piece of their longest
+    word. Whatever is found is verified on the text. All steps are equi-joins, salted where a word is
+    frequent, and are the same for any number of terms.
     """
     clean = terms.select("term_id", F.lower(F.trim("term")).alias("term")).filter("term != ''")
-    # Never more than max_inline + 1 rows reach the driver, whatever the size of the table.
-    sample = clean.limit(max_inline + 1).collect()
-    if len(sample) <= max_inline and sum(len(r.term) for r in sample) <= MAX_INLINE_CHARS:
-        if not sample:
-            return docs.select("doc_id").join(clean.select("term_id"), F.lit(False))
-        table = F.array(
-            *[F.struct(F.lit(r.term_id).alias("id"), F.lit(r.term).alias("t")) for r in sample]
-        )
-        hit = let(
-            F.lower("text"), lambda text: F.filter(table, lambda t: F.contains(text, t["t"]))
-        )
-        return docs.select("doc_id", F.explode(hit).alias("h")).select(
-            "doc_id", F.col("h.id").alias("term_id")
-        )
-    return _find_terms_indexed(docs, clean)
-
-
-def _find_terms_indexed(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Equi-joins only: term -> vocabulary words that can hold its longest word -> documents.
+    low = docs.select("doc_id", F.lower("text").alias("_text"))
+    words = clean.withColumn("_words", F.split("term", _SPACES))
+    within = F.slice("_words", 2, F.greatest(F.size("_words") - 2, F.lit(0)))
+    long = words.filter(F.size("_words") > 2).select("term_id", F.posexplode(within).alias("at", "word"))
+    short = words.filter(F.size("_words") <= 2).select("term_id", "term")
+    found = _by_rare_words(low, long).unionByName(_by_pieces(low, short)).distinct()
+    # All that a document may hold is tested in one go over its text.
+    asked = match(found, clean, ["term_id"]).groupBy("doc_id").agg(F.collect_list(F.struct("term_id", "term")).alias("_asked"))
+    held = let(F.col("_text"), lambda text: F.filter("_asked", lambda t: F.contains(text, t["term"])))
+    return match(low, asked, ["doc_id"]).select("doc_id", F.explode(held).alias("t")).select("doc_id", "t.term_id")
+
+
+def _by_rare_words(low: DataFrame, inner: DataFrame) -> DataFrame:
+    """Candidates (doc_id, term_id) from inner words (term_id, at, word) of terms."""
+    vocabulary = inner.select("word").distinct()
+    index = low.select("doc_id", F.posexplode(F.split("_text", _SPACES)).alias("place", "word"))
+    index = index.join(vocabulary, "word", "left_semi")
+    # Postings of a word are what it costs as an anchor; words without any rule their terms out.
+    counts = index.groupBy("word").agg(F.count("*").alias("n"))
+    ranked = inner.join(counts, "word", "left").groupBy("term_id").agg(
+        F.min(F.coalesce("n", F.lit(0))).alias("_least"),
+        F.slice(F.array_sort(F.collect_list(F.struct("n", "at", "word"))), 1, 2).alias("_rare"),
+    ).filter("_least > 0")
+
+    def starts(rank: int) -> DataFrame:
+        anchors = ranked.filter(F.size("_rare") > rank).select("term_id", F.size("_rare").alias("anchors"), F.col("_rare")[rank].alias("r"))
+        by_word = anchors.groupBy(F.col("r.word").alias("word")).agg(F.collect_list(F.struct("term_id", "anchors", F.col("r.at").alias("at"))).alias("_terms"))
+        hits = attach(index, by_word, ["word"]).select("doc_id", "place", F.explode("_terms").alias("t"))
+        return hits.select("doc_id", "t.term_id", (F.col("place") - F.col("t.at")).alias("start"), "t.anchors")
+
+    first = starts(0)
+    second = starts(1).select("doc_id", "term_id", "start").distinct()
+    both = match(first.filter("anchors = 2"), second, ["doc_id", "term_id", "start"], "left_semi")
+    return both.unionByName(first.filter("anchors = 1")).select("doc_id", "term_id")
+
+
+def _by_pieces(low: DataFrame, terms: DataFrame) -> DataFrame:
+    """Candidates (doc_id, term_id): term -> vocabulary words that can hold its longest word -> documents.
 
     The longest word of a term lies inside one word of any document that contains the term.
-    Vocabulary words are found by a short piece of it; both steps are verified on the full text.
+    Vocabulary words are found by a short piece of it.
     """
-    words = F.array_distinct(F.split(F.lower("text"), "[ \t\r\n]+"))
-    doc_words = docs.select("doc_id", F.explode(words).alias("word")).filter("word != ''")
+    words = F.array_distinct(F.split("_text", _SPACES))
+    doc_words = low.select("doc_id", F.explode(words).alias("word")).filter("word != ''")
     longest = F.array_max(
-        F.transform(F.split("term", "[ \t\r\n]+"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
+        F.transform(F.split("term", _SPACES), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
     )["w"]
     anchored = terms.withColumn("anchor", longest).withColumn(
         "gram", F.substring("anchor", 1, _GRAM)
@@ -142,16 +163,10 @@ def _find_terms_indexed(docs: DataFrame, terms: DataFrame) -> DataFrame:
         vocabulary.select("word", F.explode(pieces).alias("gram"))
         .join(anchored.select("term_id", "anchor", "gram"), "gram")
         .filter(F.contains("word", "anchor"))
-        .select("term_id", "word")
-        .distinct()
-    )
-    candidates = doc_words.join(term_words, "word").select("doc_id", "term_id").distinct()
-    return (
-        candidates.join(terms, "term_id")
-        .join(docs.select("doc_id", F.lower("text").alias("_text")), "doc_id")
-        .filter(F.contains("_text", "term"))
-        .select("doc_id", "term_id")
+        .groupBy("word")
+        .agg(F.collect_set("term_id").alias("_terms"))
     )
+    return attach(doc_words, term_words, ["word"]).select("doc_id", F.explode("_terms").alias("term_id"))
 
 
 def table_texts(cells: DataFrame) -> DataFrame:

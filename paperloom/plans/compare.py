@@ -90,18 +90,22 @@ def diff_stats(spark, sf_dir):
     return op.diff_stats(_edited(spark, sf_dir))
 
 
+# Where most lines of a document come from, counted over all its lines.
 _COPY_PAIRS = """
-    keyed AS (SELECT doc_id, text, string_split(text, chr(10))[1] AS k FROM documents),
-    firsts AS (SELECT k, min(doc_id) AS before_id FROM keyed GROUP BY k HAVING count(*) > 1),
-    pairs AS (SELECT doc_id AS pair_id, before_id, doc_id AS after_id FROM keyed JOIN firsts USING (k)
-      WHERE doc_id <> before_id)
+    held AS (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+      WHERE trim(line) <> ''),
+    origins AS (SELECT line, min(doc_id) AS origin FROM held GROUP BY line),
+    counted AS (SELECT doc_id, origin, count(*) AS shared FROM held JOIN origins USING (line) WHERE origin <> doc_id GROUP BY ALL),
+    sizes AS (SELECT doc_id, count(*) AS lines FROM held GROUP BY doc_id),
+    pairs AS (SELECT doc_id AS pair_id, origin AS before_id, doc_id AS after_id, shared, lines
+      FROM counted JOIN sizes USING (doc_id) WHERE 2 * shared >= lines
+      QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY shared DESC, origin) = 1)
 """
 
 
 @query("copy_pairs", f"WITH {_COPY_PAIRS} SELECT * FROM pairs")
 def copy_pairs(spark, sf_dir):
-    docs = d.documents(spark, sf_dir)
-    return op.copy_pairs(docs, F.substring_index("text", "\n", 1)).drop("slice", "slices")
+    return op.line_pairs(d.documents(spark, sf_dir)).drop("slice", "slices")
 
 
 _COPY_UNITS = f"""{_COPY_PAIRS},
@@ -116,7 +120,7 @@ _COPY_UNITS = f"""{_COPY_PAIRS},
 @query("compare_copies", f"WITH {diff_sql(_COPY_UNITS)} {_STATS}")
 def compare_copies(spark, sf_dir):
     docs = d.documents(spark, sf_dir)
-    pairs = op.copy_pairs(docs, F.substring_index("text", "\n", 1), hot=10)
+    pairs = op.line_pairs(docs, hot=10)
     texts = op.pair_texts(pairs, docs)
     units = lambda side: texts.select(
         "pair_id", F.posexplode(F.split(side, "\n")).alias("no", "text")
@@ -124,8 +128,6 @@ def compare_copies(spark, sf_dir):
     return op.diff_stats(op.doc_diff(units("before"), units("after")))
 
 
-
-
 @query(
     "diff_report",
     f"""WITH {diff_sql(_EDITED_UNITS)},

@@ -78,28 +78,32 @@ def top_hits(spark, sf_dir):
     return op.top_hits(_hits(spark, sf_dir))
 
 
-_TERMS_SQL = "terms AS (SELECT item_id AS term_id, lower(regexp_extract(text, '^\\S+ \\S+')) AS term FROM benchmark)"
-
-
-def _terms(spark, sf_dir):
-    return load(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("term_id"), F.regexp_extract("text", r"^\S+ \S+", 0).alias("term")
-    )
-
-
-_FIND_TERMS_SQL = f"""WITH {_TERMS_SQL}
-    SELECT doc_id, term_id FROM documents JOIN terms ON contains(lower(text), term)
-    WHERE term <> ''"""
+@query(
+    "find_terms",
+    """SELECT doc_id, item_id AS term_id FROM documents JOIN benchmark ON contains(lower(documents.text), lower(trim(benchmark.text)))
+    WHERE trim(benchmark.text) <> ''""",
+)
+def find_terms(spark, sf_dir):
+    """Whole benchmark texts in whole documents."""
+    terms = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("term_id"), F.col("text").alias("term"))
+    return op.find_terms(d.documents(spark, sf_dir), terms)
 
 
-@query("find_terms", _FIND_TERMS_SQL)
-def find_terms(spark, sf_dir):
-    return op.find_terms(d.documents(spark, sf_dir), _terms(spark, sf_dir))
+# Phrases of the benchmark between stops and line ends, from single words to long ones.
+_PHRASES_SQL = """phrases AS (SELECT DISTINCT lower(trim(p)) AS term FROM (
+      SELECT unnest(string_split_regex(text, '[.,\n]')) AS p FROM benchmark) WHERE length(trim(p)) >= 8)"""
 
 
-@query("find_terms_indexed", _FIND_TERMS_SQL)
+@query(
+    "find_terms_indexed",
+    f"""WITH {_PHRASES_SQL}
+    SELECT doc_id, term AS term_id FROM documents JOIN phrases ON contains(lower(text), term)""",
+)
 def find_terms_indexed(spark, sf_dir):
-    return op.find_terms(d.documents(spark, sf_dir), _terms(spark, sf_dir), max_inline=0)
+    """All phrases of the benchmark; a phrase is its own id."""
+    phrases = load(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "[.,\n]")).alias("term"))
+    phrases = phrases.select(F.lower(F.trim("term")).alias("term_id")).filter(F.length("term_id") >= 8).distinct()
+    return op.find_terms(d.documents(spark, sf_dir), phrases.withColumn("term", F.col("term_id")))
 
 
 _SECTIONS = "SELECT doc_id, table_idx AS section, table_idx, row, col, text FROM cells"

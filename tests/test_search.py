@@ -62,7 +62,22 @@ def test_term_ways_agree(spark, docs_of):
         if t.term.strip() and t.term.strip().lower() in d.text.lower()
     }
     assert set(rows(search.find_terms(docs, terms), "doc_id", "term_id")) == want
-    assert set(rows(search.find_terms(docs, terms, max_inline=2), "doc_id", "term_id")) == want
+
+
+def test_whole_terms(spark):
+    rng = random.Random(4)
+    words = ["alpha", "beta", "gamma", "한글", "x", "rare%d"]
+    text = lambda n: "".join((w % rng.randrange(40) if "%" in w else w) + rng.choice([" ", "\n", "  "]) for w in rng.choices(words, k=n))
+    texts = [(i, text(60).upper() if i % 5 == 0 else text(60)) for i in range(50)] + [(None, text(60)), (50, None), (50, ""), (3, text(60))]
+    # Pieces of documents, cut anywhere, some changed in one place; frequent words alone.
+    terms = [(k, texts[k % 50][1][k : k + 4 * k]) for k in range(1, 70)]
+    terms += [(100 + k, "z".join([t[:9], t[10:]])) for k, t in terms[10:30]] + [(200, "alpha beta x"), (201, "x x x x"), (202, "\nalpha beta gamma\n"), (203, None), (204, " ")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = search.find_terms(docs, spark.createDataFrame(terms, "term_id int, term string")).collect()
+    want = [(i, k) for i, t in texts for k, term in terms if term and term.strip(" ") and term.strip(" ").lower() in (t or "").lower()]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert len(want) > 60 and any(i is None for i, _ in want)
+    assert search.find_terms(docs, spark.createDataFrame([], "term_id int, term string")).collect() == []
 
 
 CELLS = "doc_id long, section int, table_idx int, row int, col int, row_span int, col_span int, text string"
