@@ -38,15 +38,59 @@ def message_chars(text: Column, parts: Column) -> Column:
     return F.coalesce(F.length(text), F.aggregate(per_part, F.lit(0), lambda a, n: a + n), F.lit(0))
 
 
+def message_parts(content: Column) -> Column:
+    """Parts of a message from its JSON array, as ``message_chars`` takes them.
+
+    The array is read as VARIANT values by path. A part has its text if that is a string, else its
+    output: a text is itself, of a list of items their texts or JSON, of anything else the JSON; a
+    part with neither has its own JSON. What is no JSON array has no parts.
+    """
+    kind = lambda v, path: F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+    get = lambda v, path: F.try_variant_get(v, path, "string")
+    is_text = lambda v, path: F.coalesce(kind(v, path) == "STRING", F.lit(False))
+
+    def output(p: Column) -> Column:
+        items = F.transform(
+            F.try_variant_get(p, "$.output.value", "array<variant>"),
+            lambda x: F.when(is_text(x, "$.text"), get(x, "$.text")).otherwise(F.to_json(x)),
+        )
+        shape = get(p, "$.output.type")
+        return (
+            F.when(shape.isin("text", "error-text"), get(p, "$.output.value"))
+            .when(shape.isin("json", "error-json"), F.to_json(F.try_variant_get(p, "$.output.value", "variant")))
+            .when(shape == "content", F.array_join(items, ""))
+            .otherwise(F.to_json(F.try_variant_get(p, "$.output", "variant")))
+        )
+
+    values = F.try_variant_get(F.try_parse_json(content), "$", "array<variant>")
+    return F.transform(
+        values,
+        lambda p: F.struct(
+            F.when(is_text(p, "$.text"), get(p, "$.text")).alias("text"),
+            F.when(~is_text(p, "$.text"), output(p)).alias("output"),
+            F.to_json(p).alias("json"),
+        ),
+    )
+
+
+def _chars(messages: DataFrame) -> Column:
+    if "parts" not in messages.columns:
+        return F.coalesce(F.length("text"), F.lit(0))
+    return message_chars(F.col("text"), F.col("parts"))
+
+
 def tokens(chars: Column) -> Column:
     return F.ceil(chars / 3).cast("bigint")
 
 
 def estimate_tokens(messages: DataFrame) -> DataFrame:
-    """One estimate per conversation: all characters over three, rounded up once."""
+    """One estimate per conversation: all characters over three, rounded up once.
+
+    A message without text counts what its ``parts`` hold, if there is such a column.
+    """
     return messages.groupBy("conv_id").agg(
         F.count("*").alias("messages"),
-        tokens(F.sum(F.coalesce(F.length("text"), F.lit(0)))).alias("tokens"),
+        tokens(F.sum(_chars(messages))).alias("tokens"),
     )
 
 
@@ -56,17 +100,28 @@ def compact(messages: DataFrame, budget: int) -> DataFrame:
     System messages and the last 6 stay. Tool results always shrink to a note, user and assistant
     texts of 300 characters or more do, oldest first, until the estimate fits. ``messages``:
     conv_id, turn, role, text, one row per message (a tool message: one row per result, ``part``).
+    A message may have ``parts`` instead of a text: of a tool message each output becomes a note,
+    those of others stay, as a call must not lose its result.
     """
-    length = F.coalesce(F.length("text"), F.lit(0))
+    has_parts = "parts" in messages.columns
+    length = _chars(messages)
     is_tool = F.col("role") == "tool"
-    shrinkable = is_tool | (F.col("role").isin("user", "assistant") & (length >= MIN_TEXT))
+    plain = F.col("text").isNotNull()
+    shrinkable = is_tool | (F.col("role").isin("user", "assistant") & plain & (length >= MIN_TEXT))
     note = F.concat(
         F.when(is_tool, TOOL_NOTE).otherwise(TEXT_NOTE), length.cast("string"), F.lit("자]")
     )
     already = is_tool & F.startswith(F.col("text"), F.lit("[이전 도구 결과 생략"))
     after = F.when(shrinkable & ~already, note).otherwise(F.col("text"))
     staged = messages.withColumns({"_after": after, "_len": length, "_can": shrinkable})
-    saving = F.when(F.col("_can"), F.col("_len") - F.length("_after")).otherwise(0)
+    left = F.length("_after")
+    if has_parts:
+        by_parts = is_tool & ~plain & F.col("parts").isNotNull()
+        staged = staged.withColumns(
+            {"_after": F.when(~by_parts, F.col("_after")), "_parts_after": F.when(by_parts, _noted_parts(F.col("parts"))).otherwise(F.col("parts"))}
+        )
+        left = F.when(by_parts, message_chars(F.lit(None).cast("string"), F.col("_parts_after"))).otherwise(F.length("_after"))
+    saving = F.when(F.col("_can"), F.col("_len") - F.coalesce(left, F.lit(0))).otherwise(0)
     per_turn = staged.groupBy("conv_id", "turn").agg(
         F.sum(saving).alias("_saving"), F.some("_can").alias("_can")
     )
@@ -94,13 +149,27 @@ def compact(messages: DataFrame, budget: int) -> DataFrame:
         .select("conv_id", "turn", F.lit(True).alias("_shrink"))
     )
     shrink = F.coalesce("_shrink", F.lit(False)) & F.col("_can")
+    same = [c for c in messages.columns if c not in ("text", "parts")]
+    noted = [F.when(shrink, F.col("_parts_after")).otherwise(F.col("parts")).alias("parts")] if has_parts else []
     return staged.join(chosen, ["conv_id", "turn"], "left").select(
-        *[c for c in messages.columns if c != "text"],
+        *same,
         F.when(shrink, F.col("_after")).otherwise(F.col("text")).alias("text"),
+        *noted,
         shrink.alias("compacted"),
     )
 
 
+def _noted_parts(parts: Column) -> Column:
+    """Outputs of tool results replaced by a note, those that are one already left."""
+
+    def noted(p: Column) -> Column:
+        note = F.concat(F.lit(TOOL_NOTE), F.length(p["output"]).cast("string"), F.lit("자]"))
+        done = p["output"].isNull() | F.startswith(p["output"], F.lit(TOOL_NOTE.split(" —")[0]))
+        return p.withField("output", F.when(done, p["output"]).otherwise(note))
+
+    return F.transform(parts, noted)
+
+
 def _short(n: Column) -> Column:
     return F.when(n >= 1000, F.concat(F.format_string("%.1f", n / 1000.0), F.lit("k"))).otherwise(
         n.cast("string")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from paperloom.functions.entities import escape_xml
 from paperloom.functions.text import WS
 from paperloom.operators import compare as op
+from paperloom.operators import unified
 from paperloom.operators import edits, structure
 from paperloom.plans import derived as d
 from paperloom.plans.registry import query
@@ -194,6 +195,36 @@ def line_diff(spark, sf_dir):
     return op.line_diff(_edited(spark, sf_dir))
 
 
+@query(
+    "unified_diff",
+    """WITH l AS (SELECT doc_id AS pair_id, string_split(text, chr(10)) AS a, (len(string_split(text, chr(10))) + 1) // 2 AS k FROM documents),
+    w AS (SELECT *, greatest(k - 3, 1) AS f, least(k + 3, len(a)) AS t FROM l)
+    SELECT pair_id, 1 AS hunk_no, f::int AS before_start, (t - f + 1)::int AS before_lines, f::int AS after_start, (t - f + 1)::int AS after_lines,
+      array_to_string(list_transform(a[f:k-1], lambda x: ' ' || x) || ['-' || a[k], '+edited ' || pair_id || ': ' || a[k]]
+        || list_transform(a[k+1:t], lambda x: ' ' || x), chr(10)) AS body FROM w""",
+)
+def unified_diff(spark, sf_dir):
+    """The middle line of every document edited."""
+    lines = F.split("text", "\n")
+    middle = F.floor((F.size(lines) + 1) / 2).cast("int")
+    edited = F.transform(
+        lines, lambda x, i: F.when(i + 1 == middle, F.concat(F.lit("edited "), F.col("doc_id").cast("string"), F.lit(": "), x)).otherwise(x)
+    )
+    pairs = d.documents(spark, sf_dir).select(F.col("doc_id").alias("pair_id"), F.col("text").alias("before"), F.array_join(edited, "\n").alias("after"))
+    return unified.unified_diff(pairs)
+
+
+@query(
+    "patch_texts",
+    """SELECT doc_id AS pair_id, array_to_string(list_reverse(string_split(text, chr(10))), chr(10)) AS text, true AS applied FROM documents""",
+)
+def patch_texts(spark, sf_dir):
+    """Every document patched to its lines in reverse order, by the diff of the two."""
+    docs = d.documents(spark, sf_dir).select(F.col("doc_id").alias("pair_id"), "text")
+    pairs = docs.select("pair_id", F.col("text").alias("before"), F.array_join(F.reverse(F.split("text", "\n")), "\n").alias("after"))
+    return unified.patch_texts(docs, unified.unified_diff(pairs))
+
+
 @query(
     "cell_diffs",
     f"""WITH {d.CELLS_SQL},

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom.operators import cells as co
+from paperloom.operators import dictionary
 from paperloom.operators import edits as op
 from paperloom.plans import derived as d
 from paperloom.plans.registry import query
@@ -57,6 +58,26 @@ def rename_terms(spark, sf_dir):
     )
 
 
+# Words of five characters or more and pairs of words of the benchmark, put into brackets. The SQL runs
+# its one long pattern once, over all texts in a row.
+@query(
+    "rename_dictionary",
+    """WITH w AS (SELECT string_split(text, ' ') AS w FROM benchmark),
+    terms AS (SELECT find FROM (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS find FROM w
+      UNION SELECT unnest(w) FROM w) WHERE length(find) >= 5),
+    p AS (SELECT string_agg(regexp_escape(find), '|' ORDER BY length(find) DESC, find) AS pattern FROM terms),
+    whole AS (SELECT list(doc_id ORDER BY doc_id) AS ids, string_agg(text, chr(1) ORDER BY doc_id) AS text FROM documents),
+    done AS (SELECT unnest(ids) AS doc_id, unnest(string_split(regexp_replace(text, pattern, '⟨\\0⟩', 'g'), chr(1))) AS text FROM whole, p)
+    SELECT doc_id, text, (length(text) - length(replace(text, '⟨', '')))::int AS replaced FROM done""",
+)
+def rename_dictionary(spark, sf_dir):
+    words = load(spark, sf_dir, "benchmark").select(F.split("text", " ").alias("w"))
+    pairs = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w")), lambda a, b: F.concat(a, F.lit(" "), b))
+    find = words.select(F.explode(F.concat("w", pairs)).alias("find")).filter("length(find) >= 5").distinct()
+    terms = find.withColumn("replace", F.concat(F.lit("⟨"), "find", F.lit("⟩")))
+    return dictionary.rename_dictionary(d.documents(spark, sf_dir).select("doc_id", "text"), terms)
+
+
 def _edited_pairs(spark, sf_dir):
     docs = d.documents(spark, sf_dir)
     after = op.replaced(F.col("text"), _FIND, "XYZ", False, True)

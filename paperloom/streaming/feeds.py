@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.operators.compare import doc_diff
+from paperloom.operators.unified import line_changes
 from paperloom.operators.pii import detect_pii, redact
 from paperloom.operators.ranking import match
 from paperloom.operators.versions import previous_versions
@@ -162,10 +162,7 @@ def write_change_feed(batch: DataFrame, batch_id: int, store: str, feed: str) ->
         ),
         ["previous", "previous_batch"],
     )
-    units = lambda side: pairs.select(
-        F.col("filename").alias("pair_id"), F.posexplode(F.split(side, "\n")).alias("no", "text")
-    )
-    changes = doc_diff(units("before"), units("after")).filter("change <> 'unchanged'")
+    changes = line_changes(pairs.withColumnRenamed("filename", "pair_id")).filter("change <> 'unchanged'")
     changes.write.mode("overwrite").parquet(f"{feed}/batch_id={batch_id}")
 
 

@@ -3,6 +3,8 @@ import random
 
 from conftest import rows
 
+from pyspark.sql import functions as F
+
 from paperloom.operators import sessions as ss
 
 MESSAGES = "conv_id long, turn int, role string, text string"
@@ -131,3 +133,47 @@ def test_message_chars(spark):
         "text string, parts array<struct<text:string,output:string,json:string>>",
     )
     assert [r[0] for r in df.select(ss.message_chars(df.text, df.parts)).collect()] == [12, 3]
+
+
+PARTS = "conv_id long, turn long, role string, text string, parts array<struct<text:string,output:string,json:string>>"
+
+
+def test_parts_count_like_texts(spark):
+    tool = lambda n: [(None, "r" * n, "{}")]
+    df = spark.createDataFrame(
+        [(1, 0, "tool", None, tool(300)), (2, 0, "assistant", None, [("안녕하세요", None, "{}")]), (3, 0, "user", "abc", None), (4, 0, "user", None, None), (5, 0, "tool", None, tool(900))],
+        PARTS,
+    )
+    assert rows(ss.estimate_tokens(df), "conv_id", "tokens") == [(1, 100), (2, 2), (3, 1), (4, 0), (5, 300)]
+
+
+def test_parts_are_compacted_part_by_part(spark):
+    tool = [(None, "r" * 900, "{}"), (None, ss.TOOL_NOTE + "7자]", "{}"), ("text part", None, "{}")]
+    call = [("t" * 900, None, "{}")]
+    data = [(1, 0, "system", "s" * 900, None), (1, 1, "assistant", None, call), (1, 2, "tool", None, tool), (1, 3, "user", "u" * 900, None)]
+    data += [(1, k, "user", "short", None) for k in range(4, 10)]
+    got = {r.turn: r for r in ss.compact(spark.createDataFrame(data, PARTS), 950).collect()}
+    assert [k for k in got if got[k].compacted] == [2]
+    assert [p.output for p in got[2].parts] == [ss.TOOL_NOTE + "900자]", ss.TOOL_NOTE + "7자]", None]
+    assert got[1].parts[0].text == "t" * 900 and got[3].text == "u" * 900
+    got = {r.turn: r for r in ss.compact(spark.createDataFrame(data, PARTS), 100).collect()}
+    assert [k for k in sorted(got) if got[k].compacted] == [2, 3] and got[1].parts[0].text == "t" * 900
+
+
+def test_parts_of_json(spark):
+    import json
+
+    content = [
+        {"type": "text", "text": "ab"},
+        {"type": "tool-result", "output": {"type": "text", "value": "a" * 300}},
+        {"type": "tool-result", "output": {"type": "json", "value": {"k": [1, 2]}}},
+        {"type": "tool-result", "output": {"type": "content", "value": [{"type": "text", "text": "xyz"}, {"n": 1}]}},
+        {"type": "tool-call", "input": {"q": 1}},
+        {"text": 5},
+        {"type": "tool-result", "output": {"type": "execution-denied"}},
+    ]
+    compact = lambda x: len(json.dumps(x, separators=(",", ":")))
+    want = 2 + 300 + compact({"k": [1, 2]}) + 3 + compact({"n": 1}) + compact(content[4]) + compact(content[5]) + compact({"type": "execution-denied"})
+    df = spark.createDataFrame([(json.dumps(content),), ("no json",), ('{"a": 1}',), (None,), ("[]",)], "content string")
+    got = [r[0] for r in df.select(ss.message_chars(F.lit(None).cast("string"), ss.message_parts(F.col("content")))).collect()]
+    assert got == [want, 0, 0, 0, 0]
