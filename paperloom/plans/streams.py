@@ -14,7 +14,7 @@ from paperloom.plans.pii import hits_sql
 from paperloom.plans.registry import SQL, query
 from paperloom.session import shared_folder
 from paperloom.sources.tables import load
-from paperloom.streaming import feeds
+from paperloom.streaming import approvals, feeds
 
 
 def _stream(spark, sf_dir, table):
@@ -140,6 +140,33 @@ def stream_approvals(spark, sf_dir):
     return _run(spark, sf_dir, "events", events, feeds.approval_stream, ["proposal_id", "asked_at"], "approvals")
 
 
+# Of three events in a row the first asks, the others answer, each at its own time.
+@query(
+    "stream_pending_approvals",
+    """WITH a AS (SELECT event_id // 3 AS id, ts FROM events WHERE event_id % 3 = 0),
+    r AS (SELECT event_id // 3 AS id, ts, event_id % 2 = 0 AS ok FROM events WHERE event_id % 3 <> 0)
+    SELECT a.id AS proposal_id, a.ts AS asked_at, CASE arg_min(r.ok, struct_pack(t := r.ts, k := r.ok)) WHEN true THEN 'approved'
+        WHEN false THEN 'rejected' ELSE 'expired' END AS outcome
+    FROM a LEFT JOIN r ON a.id = r.id AND r.ts >= a.ts AND r.ts <= a.ts + INTERVAL 12 HOURS GROUP BY a.id, a.ts""",
+)
+def stream_pending_approvals(spark, sf_dir):
+    def events(table):
+        asks = F.col("event_id") % 3 == 0
+        return table.select(
+            F.expr("event_id div 3").alias("proposal_id"),
+            _ts(),
+            F.when(asks, "approval-required").otherwise("approval").alias("type"),
+            F.when(~asks, F.col("event_id") % 2 == 0).alias("approved"),
+        )
+
+    folder = shared_folder(spark, "pending")
+    with approvals.timed_state(spark):
+        closed = feeds.run_to_table(approvals.pending_approvals(events(_stream(spark, sf_dir, "events")), "12 hours"), folder)
+    whole = approvals.approval_outcomes(events(load(spark, sf_dir, "events")), "12 hours")
+    rows = feeds.with_open_windows(closed, whole, ["proposal_id", "asked_at"], f"{folder}/whole")
+    return rows.withColumn("asked_at", F.col("asked_at").cast("timestamp_ntz"))
+
+
 # Documents 2k and 2k + 1 are two versions of one file.
 _FEED_UNITS = """
 u AS (
@@ -163,4 +190,27 @@ def stream_change_feed(spark, sf_dir):
         F.col("text").alias("content"),
     )
     folder = shared_folder(spark, "changes")
+    return feeds.run_change_feed(versions, f"{folder}/versions", f"{folder}/feed", f"{folder}/checkpoint", ordered=False)
+
+
+@query(
+    "stream_ordered_feed",
+    """WITH l AS (SELECT doc_id * 2 + 1 AS pair_id, string_split(text, chr(10)) AS a FROM documents),
+    m AS (SELECT pair_id, '1: ' || a[1] AS line, len(a) - 1 AS last FROM l WHERE len(a) > 1)
+    SELECT pair_id, 'removed' AS change, 0 AS before_no, NULL::int AS after_no, line AS before_text, NULL AS after_text FROM m
+    UNION ALL SELECT pair_id, 'added', NULL, last::int, NULL, line FROM m""",
+)
+def stream_ordered_feed(spark, sf_dir):
+    """Two versions of every document: its numbered lines, and the same with the first one last."""
+    numbered = F.transform(F.split("text", "\n"), lambda x, i: F.concat((i + 1).cast("string"), F.lit(": "), x))
+    moved = F.concat(F.slice(numbered, 2, F.size(numbered)), F.slice(numbered, 1, 1))
+    both = F.array(F.array_join(numbered, "\n"), F.array_join(moved, "\n"))
+    versions = _stream(spark, sf_dir, "documents").select("doc_id", F.posexplode(both).alias("v", "content")).select(
+        (F.col("doc_id") * 2 + F.col("v")).alias("filename"),
+        F.col("doc_id").alias("base_name"),
+        F.expr("timestamp'2026-01-01 00:00:00' + make_dt_interval(0, 0, v)").alias("mtime"),
+        F.col("v").cast("string").alias("token"),
+        "content",
+    )
+    folder = shared_folder(spark, "ordered")
     return feeds.run_change_feed(versions, f"{folder}/versions", f"{folder}/feed", f"{folder}/checkpoint")

@@ -11,9 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.operators.unified import line_changes
+from paperloom.operators.compare import doc_diff
 from paperloom.operators.pii import detect_pii, redact
 from paperloom.operators.ranking import match
+from paperloom.operators.unified import line_changes
 from paperloom.operators.versions import previous_versions
 from paperloom.sources.journal import journal_records
 
@@ -119,12 +120,13 @@ def approval_stream(events: DataFrame, timeout: str = "30 minutes", lateness: st
     )
 
 
-def write_change_feed(batch: DataFrame, batch_id: int, store: str, feed: str) -> None:
+def write_change_feed(batch: DataFrame, batch_id: int, store: str, feed: str, ordered: bool = True) -> None:
     """``foreachBatch`` body: new versions against the ones before them.
 
     ``batch``: filename, base_name, token, mtime, content. Each batch writes folders of its own and
     reads only earlier ones, so a repeated batch overwrites what it wrote before. Only the latest
-    stored version of the files in the batch is read back.
+    stored version of the files in the batch is read back. Without ``ordered`` moved lines count as
+    unchanged, as in ``doc_diff``.
     """
     spark = batch.sparkSession
     columns = ["filename", "base_name", "token", "mtime", "content"]
@@ -162,14 +164,18 @@ def write_change_feed(batch: DataFrame, batch_id: int, store: str, feed: str) ->
         ),
         ["previous", "previous_batch"],
     )
-    changes = line_changes(pairs.withColumnRenamed("filename", "pair_id")).filter("change <> 'unchanged'")
+    units = lambda side: pairs.select(
+        F.col("filename").alias("pair_id"), F.posexplode(F.split(side, "\n")).alias("no", "text")
+    )
+    found = line_changes(pairs.withColumnRenamed("filename", "pair_id")) if ordered else doc_diff(units("before"), units("after"))
+    changes = found.filter("change <> 'unchanged'")
     changes.write.mode("overwrite").parquet(f"{feed}/batch_id={batch_id}")
 
 
-def run_change_feed(versions: DataFrame, store: str, feed: str, checkpoint: str) -> DataFrame:
+def run_change_feed(versions: DataFrame, store: str, feed: str, checkpoint: str, ordered: bool = True) -> DataFrame:
     """Process the versions that have arrived and return the feed written so far."""
     query = (
-        versions.writeStream.foreachBatch(lambda b, i: write_change_feed(b, i, store, feed))
+        versions.writeStream.foreachBatch(lambda b, i: write_change_feed(b, i, store, feed, ordered))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -7,7 +7,7 @@ from test_sources import journal_folder
 
 from paperloom.operators.versions import parse_version_name
 from paperloom.sources import journal
-from paperloom.streaming import feeds
+from paperloom.streaming import approvals, feeds
 
 T0 = dt.datetime(2026, 1, 1)
 
@@ -97,3 +97,31 @@ def test_change_feed_over_batches(spark, tmp_path):
     feeds.write_change_feed(parse_version_name(batch), 2, str(tmp_path / "store"), str(tmp_path / "feed"))
     again = spark.read.parquet(str(tmp_path / "feed"))
     assert rows(again, "pair_id", "change", "before_text", "after_text") == want
+
+
+def test_pending_approvals_do_not_depend_on_batches(spark, tmp_path):
+    schema = "proposal_id int, ts timestamp, type string, approved boolean"
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    ask, yes, no = ("approval-required", None), ("approval", True), ("approval", False)
+    rows_ = [
+        (1, at(0), *ask), (1, at(10), *yes), (1, at(20), *no),
+        (2, at(5), *no), (2, at(1), *ask),
+        (3, at(2), *ask), (3, at(33), *yes),
+        (4, at(3), *ask), (4, at(33), *yes),
+        (5, at(4), *ask), (5, at(9), *yes), (5, at(9), *no),
+        (6, at(8), *yes), (6, at(9), *ask), (6, at(2), *ask),
+        (7, at(9), *yes), (8, at(6), *ask), (8, at(7), "approval", None), (None, at(6), *ask), (None, at(7), *yes),
+        (9, at(500), *ask), (9, at(501), *yes),
+    ]
+    want = [(1, "approved"), (2, "rejected"), (3, "expired"), (4, "approved"), (5, "rejected"), (6, "approved"), (8, "expired"), (None, "approved")]
+    ended = approvals.approval_outcomes(spark.createDataFrame(rows_, schema))
+    assert rows(ended.filter("proposal_id IS NULL OR proposal_id < 9"), "proposal_id", "outcome") == want
+    timed = sorted(rows_, key=lambda r: r[1])
+    # In one batch; in two; in many, each pair of neighbours swapped.
+    swapped = [timed[i ^ 1] if i ^ 1 < len(timed) else timed[i] for i in range(len(timed))]
+    for k, parts in enumerate([[rows_], [timed[:9], timed[9:]], [swapped[i : i + 4] for i in range(0, len(swapped), 4)]]):
+        with approvals.timed_state(spark):
+            stream = approvals.pending_approvals(arriving(spark, str(tmp_path / f"in{k}"), parts, schema))
+            got = feeds.run_to_table(stream, str(tmp_path / f"o{k}"))
+        assert rows(got, "proposal_id", "outcome") == want, k
+        assert got.filter("proposal_id = 6").first().asked_at == at(2)
