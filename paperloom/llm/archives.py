@@ -85,11 +85,20 @@ def _opened(content: bytes) -> io.BufferedIOBase:
     return gzip.GzipFile(fileobj=raw) if content[:2] == b"\x1f\x8b" else raw
 
 
+# What a damaged gzip file raises.
+BROKEN = (EOFError, zlib.error, gzip.BadGzipFile)
+
+
+def _size(field: bytes | str) -> int | None:
+    """A declared length or version: digits, at most as many as a file can need."""
+    return int(field) if len(field) <= 18 and field.isdigit() and field.isascii() else None
+
+
 def arc_records(archive: str, content: bytes) -> Iterator[tuple]:
     """Records of one ARC file, as its version's header lines and declared lengths give them.
 
-    A file that ends within a record, or a header line of the wrong form, ends the file there: what
-    was whole before it is returned.
+    A file that ends within a record, a header line of the wrong form or a damaged gzip part ends the
+    file there: what was whole before it is returned.
     """
     stream = _opened(content)
     version, at = 0, 0
@@ -100,13 +109,17 @@ def arc_records(archive: str, content: bytes) -> Iterator[tuple]:
                 at += len(line)
                 continue
             if line.startswith(b"filedesc://"):
-                block = stream.read(int(fields[-1]))
-                version = int(block.split(b" ", 1)[0])
+                size = _size(fields[-1])
+                block = b"" if size is None else stream.read(size)
+                number = _size(block.split(b" ", 1)[0])
+                if size is None or len(block) < size or number is None:
+                    return
+                version = number
                 at += len(line) + len(block)
                 continue
-            if version not in ARC_FIELDS or len(fields) != len(ARC_FIELDS[version]) or not fields[-1].isdigit():
+            if version not in ARC_FIELDS or len(fields) != len(ARC_FIELDS[version]) or _size(fields[-1]) is None:
                 return
-            size = int(fields[-1])
+            size = _size(fields[-1])
             record = stream.read(size)
             if len(record) < size:
                 return
@@ -122,7 +135,7 @@ def arc_records(archive: str, content: bytes) -> Iterator[tuple]:
                 key[1].decode("utf-8", "replace") if key else "", head, payload, hashlib.sha1(payload).hexdigest(),
             )
             at += len(line) + size
-    except (EOFError, zlib.error):
+    except BROKEN:
         return
 
 
@@ -221,7 +234,8 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = REV
 
 def warc_records(archive: str, content: bytes) -> Iterator[tuple]:
     """Records of one WARC file, by their declared lengths; payload figures from the payload itself,
-    for a revisit from its header. A file that ends within a record gives the whole ones before it."""
+    for a revisit from its header. A file that ends within a record, or has one without a type, an id
+    or a length, gives the whole ones before it; other headers may be missing and are null."""
     stream = _opened(content)
     try:
         while line := stream.readline():
@@ -232,21 +246,24 @@ def warc_records(archive: str, content: bytes) -> Iterator[tuple]:
             named: dict[str, str] = {}
             while (line := stream.readline()) not in (b"\r\n", b""):
                 name, _, value = line.decode("utf-8", "replace").rstrip("\r\n").partition(": ")
-                named[name.lower()] = value
-            size = int(named["content-length"])
+                named[name.lower()] = value.strip()
+            size = _size(named.get("content-length", ""))
+            if size is None or "warc-type" not in named or "warc-record-id" not in named:
+                return
             block = stream.read(size)
             if len(block) < size:
                 return
             kind = named["warc-type"]
-            payload = block.partition(b"\r\n\r\n")[2] if named["content-type"].startswith("application/http") else block
+            payload = block.partition(b"\r\n\r\n")[2] if named.get("content-type", "").startswith("application/http") else block
             gone = kind == "revisit"
+            digest = named["warc-payload-digest"].removeprefix("sha1:") if "warc-payload-digest" in named else None
             yield (
-                archive, named["warc-record-id"], kind, named["warc-date"], named["warc-target-uri"], named.get(KEY.lower(), ""),
-                named["warc-payload-digest"].removeprefix("sha1:"), named.get("x-refers-to-page-id"),
-                int(named["x-payload-length"]) if gone else len(payload),
-                named["warc-payload-digest"].removeprefix("sha1:") if gone else hashlib.sha1(payload).hexdigest(),
+                archive, named["warc-record-id"], kind, named.get("warc-date"), named.get("warc-target-uri"), named.get(KEY.lower(), ""),
+                digest, named.get("x-refers-to-page-id"),
+                _size(named.get("x-payload-length", "")) if gone else len(payload),
+                digest if gone else hashlib.sha1(payload).hexdigest(),
             )
-    except (EOFError, zlib.error):
+    except BROKEN:
         return
 
 

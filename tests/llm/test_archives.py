@@ -23,6 +23,28 @@ def test_reads_both_versions_by_declared_length():
     assert list(archives.arc_records("f", b"")) == []
 
 
+def test_damaged_archives_give_what_is_whole_before():
+    good = b"filedesc://a 0.0.0.0 19970101000000 text/plain 7\n1 0 Org" + b"http://x/ 1.2.3.4 19970203040506 text/html 5\nhello\n"
+    bad = [
+        b"filedesc://a 0.0.0.0 19970101000000 text/plain many\n", b"filedesc://a x 9\nno number", b"filedesc://a x 900\n1 0", b"http://x/ 1 2 3 -5\nhello",
+        b"http://x/ 1 2 3 " + b"9" * 30 + b"\n", "http://x/ 1 2 3 ٣\nabc".encode(), b"\xff\xfe\n", b"filedesc://a x \n",
+    ]
+    for tail in bad:
+        assert [r[10] for r in archives.arc_records("f", good + tail)] == [b"hello"], tail
+        assert list(archives.arc_records("f", tail)) == []
+    packed = gzip.compress(good)
+    assert len(list(archives.arc_records("f", packed + b"\x1f\x8bnot gzip at all"))) <= 1
+    assert list(archives.arc_records("f", b"\x1f\x8b\xff\xff broken head")) == []
+    warc = b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Length: 2\r\n\r\nok\r\n\r\n"
+    lacking = [warc.replace(b"Content-Length: 2", b"Content-Length: two"), warc.replace(b"Content-Length: 2\r\n", b""), warc.replace(b"WARC-Type: resource\r\n", b""), warc.replace(b"WARC-Record-ID", b"X"), warc[:-6], b"junk"]
+    for tail in lacking:
+        got = list(archives.warc_records("f", warc + tail))
+        assert [(r[1], r[2], r[3], r[4], r[6], r[8]) for r in got] == [("<urn:uuid:1>", "resource", None, None, None, 2)], tail
+    assert list(archives.warc_records("f", b"\x1f\x8b\xff\xff")) == []
+    revisit = warc.replace(b"resource", b"revisit").replace(b"Content-Length: 2", b"X-Payload-Length: x\r\nContent-Length: 2")
+    assert [r[8:] for r in archives.warc_records("f", revisit)] == [(None, None)]
+
+
 def pages_of(spark, rows):
     return spark.createDataFrame([(*r, "k", "h") for r in rows], "page_id long, url string, html string, key string, head string")
 
