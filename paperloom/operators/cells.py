@@ -96,10 +96,12 @@ def apply_cell_edits(cells: DataFrame, edits: DataFrame) -> DataFrame:
     results = cell_edit_results(cells, edits)
     clean = results.groupBy("doc_id").agg(F.every(F.col("status") == "ok").alias("clean"))
     accepted = attach(results, clean.filter("clean"), ["doc_id"])
-    last = accepted.groupBy(*CELL).agg(F.max_by("new_text", "edit_no").alias("new_text"))
+    # A struct, so that a null new text is an edit too: it empties the cell.
+    last = accepted.groupBy(*CELL).agg(F.max_by(F.struct("new_text"), "edit_no").alias("_edit"))
+    emptied = F.coalesce("_edit.new_text", F.lit(""))
     return cells.join(last, CELL, "left").select(
         *[c for c in cells.columns if c != "text"],
-        F.coalesce("new_text", "text").alias("text"),
+        F.when(F.col("_edit").isNotNull(), emptied).otherwise(F.col("text")).alias("text"),
     )
 
 
@@ -236,13 +238,14 @@ def apply_sheet_edits(sheet_cells: DataFrame, updates: DataFrame) -> DataFrame:
     last = (
         attach(results, clean.filter("clean"), ["doc_id"])
         .groupBy(*key)
-        .agg(F.max_by("new_value", "update_no").alias("new_value"))
+        .agg(F.max_by(F.struct("new_value"), "update_no").alias("_edit"))
     )
-    changed = F.col("new_value").isNotNull()
+    # A null new value empties the cell.
+    changed, new = F.col("_edit").isNotNull(), F.col("_edit.new_value")
     return sheet_cells.join(last, key, "full").select(
         *key,
-        F.when(changed, "string").otherwise(F.col("kind")).alias("kind"),
-        F.coalesce("new_value", "value_text").alias("value_text"),
+        F.when(changed & new.isNull(), "null").when(changed, "string").otherwise(F.col("kind")).alias("kind"),
+        F.when(changed, new).otherwise(F.col("value_text")).alias("value_text"),
         F.when(~changed, F.col("value_ts")).alias("value_ts"),
         F.when(~changed, F.col("formula")).alias("formula"),
         "master_row",
@@ -316,6 +319,9 @@ def form_edit_results(form_objects: DataFrame, edits: DataFrame) -> DataFrame:
     is_flag = F.col("o.type").isin("checkBox", "radioButton")
     old = F.when(is_flag, F.col("o.value_bool").cast("string")).otherwise(F.col("o.value_text"))
     expected = F.coalesce(F.col("expected_text"), F.col("expected_bool").cast("string"))
+    # The value stands in the slot of its key: a flag for a check, a text for all others.
+    has_text, has_flag = F.col("set_text").isNotNull(), F.col("set_bool").isNotNull()
+    wrong_slot = F.when(F.col("set_key") == "checked", has_text).otherwise(has_flag)
     return (
         edits.join(found, ["doc_id", "edit_no"], "left")
         .select(
@@ -330,8 +336,10 @@ def form_edit_results(form_objects: DataFrame, edits: DataFrame) -> DataFrame:
             F.when(F.col("n").isNull(), "not_found")
             .when(F.col("n") > 1, "ambiguous")
             .when(F.col("set_key").isNull(), "nothing_set")
-            .when(F.col("set_text").isNotNull() & F.col("set_bool").isNotNull(), "too_much_set")
+            .when(has_text & has_flag, "too_much_set")
+            .when(~has_text & ~has_flag, "nothing_set")
             .when(~F.coalesce(F.col("set_key") == allowed[F.col("o.type")], F.lit(False)), "type_mismatch")
+            .when(wrong_slot, "type_mismatch")
             .when(expected.isNotNull() & (expected != old), "value_differs")
             .when(
                 (F.col("o.type") == "comboBox")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.operators.ranking import attach, cap, running, top_n
+from paperloom.operators.ranking import attach, cap, match, running, top_n
 
 # Form of a version file name, and of the time in it.
 VERSION_NAME = r"^(\d{4}-\d{2}-\d{2}T\d{2}-\d{2}-\d{2}-\d{3}Z)-(.+)$"
@@ -189,9 +189,9 @@ def retention(versions: DataFrame, now: Column, max_age_days: int = 30) -> DataF
 
 
 def retention_counts(marked: DataFrame) -> DataFrame:
-    return marked.agg(
-        F.count_if(F.col("expired")).alias("deleted"), F.count_if(~F.col("expired")).alias("kept")
-    )
+    """A version without a time is kept."""
+    gone = F.coalesce("expired", F.lit(False))
+    return marked.agg(F.count_if(gone).alias("deleted"), F.count_if(~gone).alias("kept"))
 
 
 def sidecar_deletions(marked: DataFrame, sidecars: DataFrame) -> DataFrame:
@@ -283,18 +283,43 @@ def lost_updates(proposals: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
+def restore_results(current: DataFrame, picks: DataFrame, versions: DataFrame) -> DataFrame:
+    """Rows of (path, filename, status), one per different pick.
+
+    status: ok, unknown_path, unknown_version, or chosen_twice where a path is asked to become several
+    versions; none of these is restored then.
+    """
+    asked = picks.select("path", "filename").distinct()
+    many = asked.groupBy("path").agg((F.count("*") > 1).alias("_many"))
+    paths = current.select("path", F.lit(True).alias("_path")).distinct()
+    names = versions.select("filename", F.lit(True).alias("_version")).distinct()
+    found = match(match(match(asked, many, ["path"]), paths, ["path"], "left"), names, ["filename"], "left")
+    return found.select(
+        "path",
+        "filename",
+        F.when(F.col("_many"), "chosen_twice")
+        .when(F.col("_path").isNull(), "unknown_path")
+        .when(F.col("_version").isNull(), "unknown_version")
+        .otherwise("ok")
+        .alias("status"),
+    )
+
+
 def restore(current: DataFrame, picks: DataFrame, versions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chosen versions become current; what they replace is added to the versions.
 
     ``current``: path, content; ``picks``: path, filename; ``versions``: filename, content.
-    Returns (current after, new versions: path, content).
+    Returns (current after, new versions: path, content). A path with several different picks stays
+    as it is; ``restore_results`` says what became of each pick.
     """
-    chosen = picks.join(
-        versions.select("filename", F.col("content").alias("_restored")), "filename"
+    asked = picks.groupBy("path").agg(F.min("filename").alias("filename"), F.max("filename").alias("_last")).filter("filename = _last")
+    chosen = asked.join(
+        versions.select("filename", F.struct("content").alias("_restored")), "filename"
     ).select("path", "_restored")
     joined = current.join(chosen, "path", "left")
-    after = joined.select("path", F.coalesce("_restored", "content").alias("content"))
-    saved = joined.filter("_restored IS NOT NULL").select("path", "content")
+    found = F.col("_restored").isNotNull()
+    after = joined.select("path", F.when(found, F.col("_restored.content")).otherwise(F.col("content")).alias("content"))
+    saved = joined.filter(found).select("path", "content")
     return after, saved
 
 

@@ -292,6 +292,20 @@ def restore_saved(spark, sf_dir):
     return _restored(spark, sf_dir)[1]
 
 
+@query(
+    "restore_results",
+    """WITH p AS (SELECT DISTINCT 'd' || (o_custkey + o_orderkey % 2 * 60) AS path, o_orderkey - o_orderkey % 5 AS filename FROM orders WHERE o_orderkey % 7 = 0),
+    m AS (SELECT path, count(*) AS n FROM p GROUP BY path)
+    SELECT path, filename, CASE WHEN n > 1 THEN 'chosen_twice' WHEN path NOT IN (SELECT 'd' || c_custkey FROM customer) THEN 'unknown_path'
+      WHEN filename NOT IN (SELECT o_orderkey FROM orders) THEN 'unknown_version' ELSE 'ok' END AS status FROM p JOIN m USING (path)""",
+)
+def restore_results(spark, sf_dir):
+    orders = load(spark, sf_dir, "orders")
+    picks = orders.filter("o_orderkey % 7 = 0").selectExpr("'d' || (o_custkey + o_orderkey % 2 * 60) AS path", "o_orderkey - o_orderkey % 5 AS filename")
+    current = load(spark, sf_dir, "customer").selectExpr("'d' || c_custkey AS path", "c_name AS content")
+    return op.restore_results(current, picks, orders.selectExpr("o_orderkey AS filename", "o_orderpriority AS content"))
+
+
 @query(
     "previous_versions",
     f"""WITH {_FILES_SQL}

@@ -161,3 +161,16 @@ def test_fields(spark):
     assert rows(cells.fill_fields(fields, values), "doc_id", "label", "old_value", "status") == [
         (1, "성명", "", "filled"), (1, "주소", "(없음)", "unmatched"), (2, "주소", "(없음)", "rejected")
     ]
+
+
+def test_values_stand_in_the_slot_of_their_key(spark):
+    objects = spark.createDataFrame(
+        [(1, 0, "box", "checkBox", None, False, None), (1, 1, "name", "edit", "", None, None)],
+        "doc_id long, idx int, name string, type string, value_text string, value_bool boolean, combo_items array<string>",
+    )
+    edits_ = spark.createDataFrame(
+        [(1, 1, "box", "checked", "abc", None), (1, 2, "box", "checked", None, True), (1, 3, "name", "text", None, True), (1, 4, "name", "text", "x", None), (1, 5, "name", "text", None, None)],
+        "doc_id long, edit_no int, name string, set_key string, set_text string, set_bool boolean",
+    ).selectExpr("*", "cast(null AS int) AS idx", "cast(null AS string) AS expected_text", "cast(null AS boolean) AS expected_bool")
+    got = rows(cells.form_edit_results(objects, edits_), "edit_no", "status")
+    assert got == [(1, "type_mismatch"), (2, "ok"), (3, "type_mismatch"), (4, "ok"), (5, "nothing_set")]

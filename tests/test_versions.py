@@ -113,3 +113,19 @@ def test_every_request_has_a_row(spark):
     r = spark.createDataFrame([(1, "b", 5), (2, None, 5), (3, "b", None), (4, "zz", 5)], "request_id long, base_name string, m int")
     got = vs.pick_as_of(v, r.select("request_id", "base_name", F.timestamp_seconds("m").alias("as_of")))
     assert rows(got, "request_id", "filename") == [(1, "f"), (2, None), (3, None), (4, None)]
+
+
+def test_every_pick_has_a_status(spark):
+    current = spark.createDataFrame([("p", "now"), ("q", "stay"), ("t", "both")], "path string, content string")
+    picks = spark.createDataFrame([("p", "f1"), ("p", "f1"), ("q", "gone"), ("no", "f1"), ("t", "f1"), ("t", "f2"), (None, "f1")], "path string, filename string")
+    old = spark.createDataFrame([("f1", None), ("f2", "old")], "filename string, content string")
+    want = [("no", "f1", "unknown_path"), ("p", "f1", "ok"), ("q", "gone", "unknown_version"), ("t", "f1", "chosen_twice"), ("t", "f2", "chosen_twice"), (None, "f1", "unknown_path")]
+    assert rows(vs.restore_results(current, picks, old), "path", "filename", "status") == want
+    after, saved = vs.restore(current, picks, old)
+    assert rows(after, "path", "content") == [("p", None), ("q", "stay"), ("t", "both")]
+    assert rows(saved, "path", "content") == [("p", "now")]
+
+
+def test_a_version_without_a_time_is_kept(spark):
+    marked = spark.createDataFrame([(True,), (False,), (None,)], "expired boolean")
+    assert tuple(vs.retention_counts(marked).first()) == (1, 2)
