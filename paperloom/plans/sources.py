@@ -141,7 +141,7 @@ j AS (
 """
 
 
-def _journals(spark, sf_dir):
+def journals(spark, sf_dir):
     base = load_wide(spark, sf_dir, "conversations").filter(F.col("role").isin("user", "assistant"))
     line = lambda kind, data: F.to_json(
         F.struct(F.lit(1).alias("v"), F.lit("2026-01-01T00:00:00.000Z").alias("ts"), kind.alias("type"), data.alias("data"))
@@ -183,7 +183,7 @@ def _journals(spark, sf_dir):
     UNION ALL SELECT session_id, 5, 1, 'approval', NULL FROM ok""",
 )
 def journal_records(spark, sf_dir):
-    records = journal.journal_records(_journals(spark, sf_dir))
+    records = journal.journal_records(journals(spark, sf_dir))
     return records.select(
         "session_id", "line_no", "v", "type", journal.content_text(F.col("data")).alias("text")
     )
@@ -194,7 +194,7 @@ def journal_records(spark, sf_dir):
     f"""WITH {_JOURNAL_SQL} SELECT session_id, 3 AS line_no, role AS type, text FROM j WHERE NOT headless""",
 )
 def replay(spark, sf_dir):
-    played = journal.replay(journal.journal_records(_journals(spark, sf_dir)))
+    played = journal.replay(journal.journal_records(journals(spark, sf_dir)))
     return played.select("session_id", "line_no", "type", journal.content_text(F.col("data")).alias("text"))
 
 
@@ -207,12 +207,12 @@ _LIST_SQL = f"""{_JOURNAL_SQL},
 
 @query("session_list", f"WITH {_LIST_SQL} SELECT * FROM s")
 def session_list(spark, sf_dir):
-    return journal.session_list(_journals(spark, sf_dir)).drop("meta")
+    return journal.session_list(journals(spark, sf_dir)).drop("meta")
 
 
 @query("latest_session", f"WITH {_LIST_SQL} SELECT * FROM s ORDER BY mtime DESC, session_id DESC LIMIT 1")
 def latest_session(spark, sf_dir):
-    return journal.latest_session(_journals(spark, sf_dir)).drop("meta")
+    return journal.latest_session(journals(spark, sf_dir)).drop("meta")
 
 
 def _sheets(spark, sf_dir):

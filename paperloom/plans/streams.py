@@ -12,9 +12,11 @@ from paperloom.plans import derived as d
 from paperloom.plans.compare import diff_sql
 from paperloom.plans.pii import hits_sql
 from paperloom.plans.registry import SQL, query
+from paperloom.plans.sources import journals as journal_files
 from paperloom.session import shared_folder
+from paperloom.sources.journal import content_text
 from paperloom.sources.tables import load
-from paperloom.streaming import approvals, feeds
+from paperloom.streaming import approvals, feeds, journals
 
 
 def _stream(spark, sf_dir, table):
@@ -167,6 +169,27 @@ def stream_pending_approvals(spark, sf_dir):
     return rows.withColumn("asked_at", F.col("asked_at").cast("timestamp_ntz"))
 
 
+@query("stream_growing_journal", SQL["journal_records"])
+def stream_growing_journal(spark, sf_dir):
+    """Journals read twice while they grow: first up to their middle, then either whole or from there on."""
+    written = journal_files(spark, sf_dir).select("session_id", F.concat("content", F.lit("\n")).alias("content"))
+    middle = F.floor(F.length("content") / 2).cast("int")
+    whole = F.expr("crc32(session_id) % 2 = 0")
+    first = written.select("session_id", F.lit(0).alias("at"), F.left("content", middle).alias("chunk"))
+    then = written.select(
+        "session_id",
+        F.when(whole, 0).otherwise(middle).alias("at"),
+        F.when(whole, F.col("content")).otherwise(F.substr("content", middle + 1)).alias("chunk"),
+    )
+    folder = shared_folder(spark, "growing")
+    with approvals.timed_state(spark):
+        for pieces in (first, then):
+            pieces.write.mode("append").parquet(f"{folder}/pieces")
+            arrived = spark.readStream.schema(pieces.schema).parquet(f"{folder}/pieces")
+            records = feeds.run_to_table(journals.growing_journal(arrived), f"{folder}/records")
+    return records.select("session_id", "line_no", "v", "type", content_text(F.col("data")).alias("text"))
+
+
 # Documents 2k and 2k + 1 are two versions of one file.
 _FEED_UNITS = """
 u AS (

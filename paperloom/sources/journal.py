@@ -30,6 +30,22 @@ def read_journal_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def record_of(line: Column) -> Column:
+    """The record of a line; its type is null if the line is no JSON object."""
+    return F.from_json(line, RECORD)
+
+
+def record_columns(record: str) -> list[Column]:
+    """Columns of a numbered record."""
+    return [
+        F.col(f"{record}.line_no"),
+        F.col(f"{record}.r.v"),
+        F.col(f"{record}.r.ts").try_cast("timestamp").alias("ts"),
+        F.col(f"{record}.r.type"),
+        F.col(f"{record}.r.data"),
+    ]
+
+
 def _records(content: Column) -> Column:
     """Parsed lines; a line that is no JSON object has a null type."""
     numbered = F.transform(
@@ -37,7 +53,7 @@ def _records(content: Column) -> Column:
     )
     return F.transform(
         F.filter(numbered, lambda s: ~is_blank(s["line"])),
-        lambda s: F.struct(s["line_no"].alias("line_no"), F.from_json(s["line"], RECORD).alias("r")),
+        lambda s: F.struct(s["line_no"].alias("line_no"), record_of(s["line"]).alias("r")),
     )
 
 
@@ -52,12 +68,7 @@ def journal_records(files: DataFrame) -> DataFrame:
     """Records of every valid session; broken lines are dropped."""
     kept = F.filter(F.col("_rs"), lambda x: x["r"]["type"].isNotNull())
     return _valid(files).select("session_id", F.explode(kept).alias("x")).select(
-        "session_id",
-        "x.line_no",
-        "x.r.v",
-        F.col("x.r.ts").try_cast("timestamp").alias("ts"),
-        "x.r.type",
-        "x.r.data",
+        "session_id", *record_columns("x")
     )
 
 

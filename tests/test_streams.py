@@ -7,7 +7,7 @@ from test_sources import journal_folder
 
 from paperloom.operators.versions import parse_version_name
 from paperloom.sources import journal
-from paperloom.streaming import approvals, feeds
+from paperloom.streaming import approvals, feeds, journals
 
 T0 = dt.datetime(2026, 1, 1)
 
@@ -77,6 +77,34 @@ def test_journal_stream(spark, tmp_path):
     assert rows(got, "session_id", "line_no", "type", "data") == rows(want, "session_id", "line_no", "type", "data")
 
 
+def test_growing_journals_give_every_line_once(spark, tmp_path):
+    """Pieces cut anywhere, repeated, overlapping and out of order; against the whole files as a batch."""
+    record = lambda kind, n: f'{{"v":1,"ts":"2026-01-01T00:00:00Z","type":"{kind}","data":{{"n":"{n}é😀"}}}}\n'
+    body = "".join(record(k, i) for i, k in enumerate(["meta", "user", "assistant", "approval", "user"]))
+    texts = {
+        "a": " \n" + body.replace("approval", "broken\\", 1),
+        "b": body[body.index("\n") + 1 :],  # no meta record first
+        "c": body + '{"v":1, "type"\n\n' + record("user", 9),
+        None: body,
+        "e": "",
+    }
+    piece = lambda s, lo, hi: (s, lo, texts[s][lo:hi])
+    parts = [
+        [piece("a", 0, 30), piece("b", 0, 10), piece("c", 50, 120), ("e", 0, None)],
+        [piece("a", 0, 90), piece("a", 0, 30), piece(None, 0, 1), piece("c", 60, 70), piece("c", 200, 9999), ("e", None, "")],
+        [piece("c", 0, 50), piece("b", 10, 9999), piece(None, 1, 9999), piece("a", 80, 9999)],
+        [piece("c", 100, 220), piece("a", 0, 9999), piece(None, 0, 9999)],
+    ]
+    files = spark.createDataFrame(list(texts.items()), "session_id string, content string")
+    want = rows(journal.journal_records(files), "session_id", "line_no", "type", "data")
+    assert len(want) == 15 and not any(r[0] == "b" for r in want)
+    for k, dealt in enumerate([parts, [[p for part in parts for p in part]]]):
+        with approvals.timed_state(spark):
+            pieces = arriving(spark, str(tmp_path / f"in{k}"), dealt, "session_id string, at long, chunk string")
+            got = feeds.run_to_table(journals.growing_journal(pieces), str(tmp_path / f"o{k}"))
+        assert rows(got, "session_id", "line_no", "type", "data") == want, k
+
+
 def test_change_feed_over_batches(spark, tmp_path):
     schema = "filename string, mtime timestamp, content string"
     name = lambda h, f: f"2026-01-01T{h:02}-00-00-000Z-{f}.md"
