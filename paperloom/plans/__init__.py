@@ -11,6 +11,7 @@ from paperloom.plans import (  # noqa: F401
     sources,
     streams,
     structure,
+    surface,
     versions,
 )
 from paperloom.plans.registry import QUERIES, SQL

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from paperloom.plans import derived as d
 from paperloom.plans.registry import query
+from paperloom.session import shared_folder
 from paperloom.sources import encoding, files, journal, sheets
 from paperloom.sources.tables import load_wide
 
@@ -240,3 +241,20 @@ def sheets_to_rows(spark, sf_dir):
 )
 def sheet_shapes(spark, sf_dir):
     return sheets.sheet_shapes(_sheets(spark, sf_dir))
+
+
+@query(
+    "sheet_sink",
+    """WITH r AS (SELECT doc_id, lang AS sheet, unnest(string_split(text, chr(10))) AS line,
+        generate_subscripts(string_split(text, chr(10)), 1) - 1 AS row FROM documents WHERE lang IN ('de', 'en'))
+    SELECT doc_id, sheet, row, CASE WHEN sheet = 'en' THEN 'line ' || row ELSE unnest(string_split(line, ' ')) END AS text,
+      generate_subscripts(string_split(line, ' '), 1) - 1 AS col FROM r""",
+)
+def sheet_sink(spark, sf_dir):
+    """Sheets written by name, one of them replaced, two of them read back."""
+    cells = sheets.sheets_to_rows(_sheets(spark, sf_dir))
+    path = shared_folder(spark, "sheets")
+    sheets.write_partitioned(cells, path, ["sheet"], files_per_value=8)
+    mended = cells.filter("sheet = 'en'").withColumn("text", F.concat(F.lit("line "), F.col("row").cast("string")))
+    sheets.write_partitioned(mended, path, ["sheet"], files_per_value=8, keep_others=True)
+    return sheets.read_partitioned(spark, path, cells.schema).filter("sheet IN ('de', 'en')")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def sheets_to_rows(sheets: DataFrame) -> DataFrame:
@@ -27,13 +28,24 @@ def sheet_shapes(sheets: DataFrame) -> DataFrame:
 
 
 def write_partitioned(
-    df: DataFrame, path: str, by: Sequence[str], fmt: str = "parquet", files_per_value: int = 1
+    df: DataFrame, path: str, by: Sequence[str], fmt: str = "parquet", files_per_value: int = 1, keep_others: bool = False
 ) -> None:
     """Write one folder per value of ``by``.
 
     Rows of a value are spread over ``files_per_value`` tasks, so a value with a large share of
-    the rows is neither one task nor one file.
+    the rows is neither one task nor one file. With ``keep_others`` only folders of values that occur in
+    ``df`` are replaced; otherwise everything below ``path`` is.
     """
     salt = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_value)).cast("int")
     spread = df.withColumn("_salt", salt).repartition(*by, "_salt").drop("_salt")
-    spread.write.mode("overwrite").partitionBy(*by).format(fmt).save(path)
+    mode = "dynamic" if keep_others else "static"
+    spread.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(*by).format(fmt).save(path)
+
+
+def read_partitioned(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet") -> DataFrame:
+    """What ``write_partitioned`` wrote, columns in the order and types of ``schema``.
+
+    A filter on the partition columns reads the folders it names only; a null value is null again, an
+    empty string too (the folders of both have one name).
+    """
+    return spark.read.schema(schema).format(fmt).load(path).select(*schema.names)
