@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.arrays import let
 from paperloom.functions.text import contains_text, nfc, trim_ws, window_text, with_nfc
-from paperloom.operators.ranking import attach, cap, match
+from paperloom.operators.ranking import attach, cap, match, running
 from paperloom.operators.structure import excerpt_blocks
 
 CELL_HIT, BODY_HIT = "표", "본문"  # fixed values
+PIECE_CHARS = 4096
+_TABLE = ["doc_id", "section", "table_idx"]
 
 
 def search_excerpts(
@@ -169,32 +171,58 @@ def _by_pieces(low: DataFrame, terms: DataFrame) -> DataFrame:
     return attach(doc_words, term_words, ["word"]).select("doc_id", F.explode("_terms").alias("term_id"))
 
 
-def table_texts(cells: DataFrame) -> DataFrame:
-    """All cell texts of each table, in reading order. A table is part of one document row."""
-    ordered = F.array_sort(F.collect_list(F.struct("row", "col", "text")))
-    return cells.groupBy("doc_id", "section", "table_idx").agg(
-        F.array_join(F.transform(ordered, lambda c: c["text"]), "").alias("table_text")
+def table_pieces(cells: DataFrame, size: int = PIECE_CHARS) -> DataFrame:
+    """The cell texts of each table one after the other, in reading order, cut into pieces.
+
+    ``cells`` carries ``reach``, the most characters that anyone looks for in its document. A piece
+    begins every ``size`` characters (or ``reach``, if that is more) and runs ``reach - 1`` characters into
+    the next, so whatever is looked for lies whole in one of them, also across cells. No table is one
+    row or one task, however large; a table of empty cells has one empty piece.
+    """
+    length = F.length(F.coalesce("text", F.lit("")))
+    placed = running(
+        cells, _TABLE, ["row", "col", "text"], {"_rows": F.floor(F.col("row") / 1024)}, sums={"_end": length}
+    )
+    start = F.col("_end") - length
+    width = F.greatest(F.lit(size), F.col("reach"))
+    first = F.greatest(F.lit(0), F.floor((start - F.col("reach") + 1) / width))
+    last = F.floor(F.greatest(F.col("_end") - 1, start) / width)
+    dealt = placed.withColumns({"_start": start, "_width": width}).withColumn("piece", F.explode(F.sequence(first, last)))
+    low = F.col("piece") * F.col("_width")
+    begin = F.greatest("_start", low)
+    end = F.least(F.col("_end"), low + F.col("_width") + F.col("reach") - 1)
+    part = F.substr("text", (begin - F.col("_start") + 1).cast("int"), (end - begin).cast("int"))
+    # Empty cells make a piece, but nothing is gathered of them.
+    held = F.collect_list(F.when(end > begin, F.struct(begin.alias("at"), part.alias("part"))))
+    return dealt.groupBy(*_TABLE, "piece").agg(
+        F.array_join(F.transform(F.array_sort(held), lambda x: x["part"]), "").alias("piece_text")
     )
 
 
-def resolve_anchor(cells: DataFrame, anchors: DataFrame) -> DataFrame:
+def resolve_anchor(cells: DataFrame, anchors: DataFrame, size: int = PIECE_CHARS) -> DataFrame:
     """The one table whose text contains the anchor: ``found``, ``ambiguous`` or ``not_found``.
 
-    Sections are searched in order; the first one with any match decides.
-    ``cells``: doc_id, section, table_idx, row, col, text; ``anchors``: doc_id, anchor.
+    Sections are searched in order; the first one with any match decides. An anchor without text is
+    in every table; a null one is in none. ``cells``: doc_id, section, table_idx, row, col, text;
+    ``anchors``: doc_id, anchor.
     """
-    asked = anchors.select("doc_id").distinct()
-    texts = table_texts(cells.join(asked, "doc_id", "left_semi"))
+    wanted = anchors.select("doc_id", "anchor").distinct()
+    reach = wanted.groupBy("doc_id").agg(
+        F.greatest(F.lit(1), F.max(F.length(trim_ws(F.col("anchor"))))).cast("bigint").alias("reach")
+    )
+    pieces = table_pieces(attach(cells.select(*_TABLE, "row", "col", "text"), reach, ["doc_id"]), size)
     hits = (
-        anchors.join(texts, "doc_id")
-        .filter(F.contains("table_text", trim_ws(F.col("anchor"))))
+        attach(pieces, wanted, ["doc_id"])
+        .filter(F.contains("piece_text", trim_ws(F.col("anchor"))))
+        .select("doc_id", "anchor", "section", "table_idx")
+        .distinct()
         .groupBy("doc_id", "anchor", "section")
         .agg(F.count("*").alias("matches"), F.min("table_idx").alias("table_idx"))
         .groupBy("doc_id", "anchor")
         .agg(F.min(F.struct("section", "matches", "table_idx")).alias("m"))
     )
     found = F.col("m.matches") == 1
-    return anchors.join(hits, ["doc_id", "anchor"], "left").select(
+    return match(anchors, hits, ["doc_id", "anchor"], "left").select(
         "doc_id",
         "anchor",
         F.when(F.col("m").isNull(), "not_found")

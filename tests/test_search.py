@@ -108,6 +108,40 @@ def test_anchor_rule_over_sections(spark):
     }
 
 
+def test_anchors_in_pieces_of_tables(spark):
+    """Whatever the size of a piece, the same as a search in the whole text of every table."""
+    rnd = random.Random(5)
+    cells, texts = [], {}
+    for doc in (1, 2, 3, None):
+        for table in range(4):
+            # Long cells, empty ones, null ones; rows in disorder.
+            grid = [(r, c, rnd.choice(["", None, "ab", "abc" * 7, "".join(rnd.choices("abc", k=rnd.randint(1, 90)))])) for r in range(6) for c in range(3)]
+            grid = [(r, c, None if doc == 2 and table == 3 else t) for r, c, t in grid]
+            texts[doc, table // 2, table] = "".join(t or "" for _, _, t in grid)
+            cells += [(doc, table // 2, table, r, c, t) for r, c, t in rnd.sample(grid, len(grid))]
+    asked = [(doc, " " + "".join(rnd.choices("abc", k=k)) + " ") for doc in (1, 2, 3, None) for k in (1, 2, 4, 5, 6, 7) for _ in range(3)]
+    for (doc, _, _), text in texts.items():
+        asked += [(doc, text[i : i + k].strip()) for i, k in ((0, 150), (40, 70), (len(text) - 9, 9), (3, 64))]
+    asked += [(1, ""), (2, None), (9, "a"), (1, "ab"), (1, "ab")]
+
+    def want(doc, anchor):
+        found = [key for key, text in sorted(texts.items(), key=repr) if key[0] == doc and anchor is not None and anchor.strip() in text]
+        found = [key for key in found if key[1] == found[0][1]]
+        status = "not_found" if not found else "found" if len(found) == 1 else "ambiguous"
+        return (doc, anchor, status, *(found[0][1:] if len(found) == 1 else (None, None)), len(found))
+
+    df = spark.createDataFrame(cells, "doc_id long, section int, table_idx int, row int, col int, text string")
+    anchors = spark.createDataFrame(asked, "doc_id long, anchor string")
+    expected = sorted((want(*a) for a in asked), key=repr)
+    assert {e[2] for e in expected} == {"not_found", "found", "ambiguous"}
+    for size in (1, 64, search.PIECE_CHARS):
+        got = search.resolve_anchor(df, anchors, size)
+        assert rows(got, "doc_id", "anchor", "status", "section", "table_idx", "matches") == expected, size
+    assert search.resolve_anchor(df.limit(0), anchors).filter("status <> 'not_found'").count() == 0
+    asks = df.withColumn("reach", F.lit(10).cast("long"))
+    assert search.table_pieces(asks, 64).filter(F.length("piece_text") > 64 + 9).count() == 0
+
+
 def test_labels(spark):
     import unicodedata
 
