@@ -35,11 +35,22 @@ def match(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inne
     return left.join(other, same, how).drop(*[f"_r_{k}" for k in on])
 
 
-def cap(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int | None = None) -> DataFrame:
+def cap(
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[Column],
+    n: int | None = None,
+    buckets: dict[str, Column] | None = None,
+) -> DataFrame:
     """Rows ranked in their group, plus its true ``total`` and a ``truncated`` flag.
 
-    With ``n`` only the first ``n`` rows of a group, found as in ``top_n``.
+    With ``n`` only the first ``n`` rows of a group, found as in ``top_n``. Without, a group is one
+    task unless ``buckets``, as in ``running``, spread it.
     """
+    if n is None and buckets:
+        ranked = running(df, by, order, buckets, {"rank": F.lit(1)})
+        totals = df.groupBy(*by).agg(F.count("*").alias("total"))
+        return attach(ranked, totals, by).withColumns({"rank": F.col("rank").cast("int"), "truncated": F.lit(False)})
     if n is None:
         w = Window.partitionBy(*by)
         return df.withColumns(
@@ -60,7 +71,7 @@ def cap(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int | None
 def running(
     df: DataFrame,
     by: Sequence[str],
-    order: Sequence[str],
+    order: Sequence[str | Column],
     buckets: dict[str, Column] | None = None,
     sums: dict[str, Column] | None = None,
     maxes: dict[str, Column] | None = None,

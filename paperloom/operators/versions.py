@@ -42,6 +42,13 @@ def _newest() -> list[Column]:
     return [F.desc("mtime"), F.desc("token")]
 
 
+def _newest_buckets() -> dict[str, Column]:
+    """Days and minutes backwards; a version without a time comes last."""
+    back = F.coalesce(-F.unix_micros(F.col("mtime").cast("timestamp")), F.lit((1 << 63) - 1))
+    minute = 60_000_000
+    return {"_day": F.floor(back / (1440 * minute)), "_minute": F.floor(back / minute)}
+
+
 def list_versions(versions: DataFrame, path: str | None = None, k: int | None = None) -> DataFrame:
     """Versions of one file, or of all files together, newest first, with the true total.
 
@@ -51,19 +58,7 @@ def list_versions(versions: DataFrame, path: str | None = None, k: int | None =
     if path is not None:
         versions = versions.filter(F.col("base_name") == path.rsplit("/", 1)[-1])
     if k is None:
-        # Time backwards; a version without a time comes last.
-        back = F.coalesce(-F.unix_micros(F.col("mtime").cast("timestamp")), F.lit((1 << 63) - 1))
-        minute = 60_000_000
-        ranked = running(
-            versions.withColumn("_back", back),
-            [],
-            ["_back", F.desc("token")],
-            {"_day": F.floor(F.col("_back") / (1440 * minute)), "_minute": F.floor(F.col("_back") / minute)},
-            {"rank": F.lit(1)},
-        )
-        return ranked.drop("_back").withColumns(
-            {"rank": F.col("rank").cast("int"), "total": F.lit(versions.count()), "truncated": F.lit(False)}
-        )
+        return cap(versions, [], _newest(), None, _newest_buckets())
     top = top_n(versions, [], _newest(), k)
     # The total travels as one more row, so k + 1 rows meet in the last step.
     total = versions.agg(F.count("*").alias("total")).withColumn("rank", F.lit(0))
@@ -75,7 +70,7 @@ def list_versions(versions: DataFrame, path: str | None = None, k: int | None =
 
 def versions_per_file(versions: DataFrame, k: int | None = None) -> DataFrame:
     """Versions of every file, newest first, with the true total of each."""
-    return cap(versions, ["base_name"], _newest(), k)
+    return cap(versions, ["base_name"], _newest(), k, _newest_buckets())
 
 
 def pick_version(versions: DataFrame, requests: DataFrame) -> DataFrame:
@@ -179,7 +174,7 @@ def timelines(versions: DataFrame, sidecars: DataFrame, k: int | None = None) ->
     placed = sidecars.filter("source_path IS NOT NULL").select(
         "filename", "summary", folder_of(F.col("source_path")).alias("folder")
     )
-    return cap(versions.join(placed, "filename"), ["folder"], _newest(), k)
+    return cap(versions.join(placed, "filename"), ["folder"], _newest(), k, _newest_buckets())
 
 
 def retention(versions: DataFrame, now: Column, max_age_days: int = 30) -> DataFrame:

@@ -215,7 +215,8 @@ def resolve_labels(spark, sf_dir):
 )
 def cap_per_source(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
-    return ranking.cap(docs, ["source"], [F.desc("n_chars"), F.col("doc_id")]).drop("n_chars")
+    spread = {"_size": F.coalesce(-F.col("n_chars"), F.lit((1 << 63) - 1)), "_ids": F.floor(F.col("doc_id") / 100_000)}
+    return ranking.cap(docs, ["source"], [F.desc("n_chars"), F.col("doc_id")], buckets=spread).drop("n_chars")
 
 
 @query(

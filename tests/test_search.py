@@ -92,6 +92,20 @@ FORM = [
 ]
 
 
+def test_ranks_of_a_spread_group(spark):
+    """Buckets change the tasks of a ranking, not its rows; null keys and null values too."""
+    rnd = random.Random(3)
+    data = [(rnd.choice(["hot", "hot", "x", None]), rnd.choice([None, *range(6)]), i) for i in range(300)]
+    df = spark.createDataFrame(data, "source string, n long, id long")
+    order = [F.desc("n"), F.col("id")]
+    spread = {"_n": F.coalesce(-F.col("n"), F.lit(99)), "_ids": F.floor(F.col("id") / 20)}
+    want = ranking.cap(df, ["source"], order)
+    got = ranking.cap(df, ["source"], order, buckets=spread)
+    assert rows(got, *want.columns) == rows(want, *want.columns) and got.schema["rank"].dataType == want.schema["rank"].dataType
+    assert rows(ranking.cap(df, ["source"], order, 3, spread), *want.columns) == rows(ranking.cap(df, ["source"], order, 3), *want.columns)
+    assert ranking.cap(df.limit(0), ["source"], order, buckets=spread).count() == 0
+
+
 def test_anchor_rule_over_sections(spark):
     cells = spark.createDataFrame(FORM, CELLS)
     anchors = spark.createDataFrame(
