@@ -39,6 +39,30 @@ def test_recall_against_brute_force(spark):
     assert hits >= 0.97 * sum(map(len, want.values()))
 
 
+def test_windows_prune():
+    """Few distances are computed, of clustered vectors and of vectors without clusters, and little is lost."""
+    rnd = np.random.default_rng(7)
+    centres = rnd.normal(size=(60, 64))
+    clustered = centres[rnd.integers(0, 60, 6000)] + 0.35 * rnd.normal(size=(6000, 64))
+    loose = rnd.normal(size=(6000, 64))
+    loose /= np.linalg.norm(loose, axis=1)[:, None]
+    for table, share, recall in ((clustered, 0.05, 0.95), (loose, 0.4, 0.95)):
+        shard = collision.Shard(np.arange(6000), table)
+        hits = 0
+        for q in range(0, 6000, 150):
+            d = ((table - table[q]) ** 2).sum(1)
+            d[q] = np.inf
+            hits += len({i for _, i in shard.nearest(q, table[q], 10)} & set(np.argsort(d)[:10].tolist()))
+        assert hits >= recall * 400, hits
+        assert shard.verified <= share * 40 * 6000, shard.verified
+
+
+def test_vectors_of_extreme_size(spark):
+    rows = [(1, [1e200, 0.0]), (2, [-1e200, 1.0]), (3, [1.0, 2.0]), (4, [1.0, 2.5]), (5, [1e-200, 0.0])]
+    found = collision.Shard(np.array([i for i, _ in rows]), np.array([v for _, v in rows])).nearest(3, np.array([1.0, 2.0]), 10)
+    assert [i for _, i in found[:2]] == [4, 5] and len(found) == 4
+
+
 def test_ties_copies_and_bad_vectors(spark):
     rnd = np.random.default_rng(2)
     rows = [(i, rnd.normal(size=8).astype("float32").tolist()) for i in range(100, 160)]
