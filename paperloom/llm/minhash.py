@@ -3,6 +3,9 @@
 Two small collections of keys, A and B, are made of three minhashes each. A table of the banding is
 a pair (A_i, B_j), so SIDE * SIDE tables of six minhashes cost only 2 * SIDE * 3 minhash functions.
 Documents that meet in a table are candidates; candidates are confirmed on their full shingle sets.
+A bucket of a table is named by both keys. Few classes that agree in A_i are held as one bucket, where
+B keys are compared in place; more than PAIRED of them go to the buckets of their pairs (A_i, B_j), so
+that what a frequent passage brings together is parted again by the other collection.
 
 Documents with equal sets form a class and are compared as one. Candidates are first taken as a star
 and a chain in each bucket, which joins most of a group with few comparisons; then all classes that
@@ -36,6 +39,8 @@ PERCENT = 80
 LEAST_AGREE = 57
 # Classes of a bucket that one task holds from each of two blocks.
 BLOCK = 1024
+# Classes that may agree in a key of A before they are parted by the keys of B.
+PAIRED = 256
 CACHE_WORDS = 150_000
 
 _rng = np.random.default_rng(20)
@@ -81,8 +86,8 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """Rows of (id, text_hash, n_shingles, cls, a, short): cls names the set (null if empty), a holds
-    the minhashes of collection A, short one byte of each minhash."""
+    """Rows of (id, text_hash, n_shingles, cls, a, b, short): cls names the set (null if empty), a and b
+    hold the minhashes of the two collections, short one byte of each minhash."""
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +97,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
             for x, y in steps(data):
                 sets = [shingles(t, known, size) for t in data[x:y]]
                 sig = signatures(sets)
-                a, short = sig[:, : HASHES // 2], sig.astype(np.uint8)
+                a, b, short = sig[:, : HASHES // 2], sig[:, HASHES // 2 :], sig.astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(x, y - x),
@@ -100,12 +105,13 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                         pa.array([r.tobytes() for r in np.ascontiguousarray(a)], pa.binary()),
+                        pa.array([r.tobytes() for r in np.ascontiguousarray(b)], pa.binary()),
                         pa.array([r.tobytes() for r in short], pa.binary()),
                     ],
-                    names=["id", "text_hash", "n_shingles", "cls", "a", "short"],
+                    names=["id", "text_hash", "n_shingles", "cls", "a", "b", "short"],
                 )
 
-    return narrow.mapInArrow(run, "id long, text_hash long, n_shingles long, cls binary, a binary, short binary")
+    return narrow.mapInArrow(run, "id long, text_hash long, n_shingles long, cls binary, a binary, b binary, short binary")
 
 
 def _agree(one: np.ndarray, other: np.ndarray, n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
@@ -174,7 +180,8 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _crossing(rows: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
     """Row numbers of a bucket: each that is outside the largest component, with those of other
-    components that it may be a near-duplicate of. A pair counts in the first bucket it shares only."""
+    components that it may be a near-duplicate of. A pair counts in the first key of A it shares only:
+    it meets there, if it meets at all, since every key of B comes with every key of A."""
     _, comp, sizes = np.unique(np.array(rows.column(5).to_pylist(), "S16"), return_inverse=True, return_counts=True)
     if len(sizes) < 2:
         return
@@ -290,7 +297,7 @@ def _confirm(pairs: DataFrame, pool: DataFrame, size: int) -> DataFrame:
     return joined.mapInArrow(run, "x binary, y binary")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, shingle: int = SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, shingle: int = SHINGLE, paired: int = PAIRED) -> DataFrame:
     """Rows of (id, n_shingles, component_id, kept), one per document.
 
     Shingles are runs of `shingle` words. Documents are linked where 100 times the common shingles are at least PERCENT times all shingles
@@ -298,19 +305,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts without words (null, empty, white space) are linked with nothing and kept. Rows that
     repeat an id have the component of their own texts. A null id is reached like any other but
     never names a component while another id is in it; alone, its component is null and it is kept.
-    An empty table gives an empty table; other columns are not read.
+    An empty table gives an empty table; other columns are not read. More than `paired` classes that
+    agree in a key of A are parted by B; `block` bounds what one task holds. Neither loses a pair that a table holds.
     """
     base = staged(sketch(docs, id_col, text_col, shingle), "minhash-base")
-    grouped = base.filter("cls IS NOT NULL").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.first("a").alias("a"), F.first("short").alias("short"), F.min("text_hash").alias("text_hash"))
+    grouped = base.filter("cls IS NOT NULL").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"), F.first("short").alias("short"), F.min("text_hash").alias("text_hash"))
     classes = staged(grouped, "minhash-classes")
-    size = 4 * ROWS
-    bucket = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)), lambda i: F.xxhash64(i, F.substring("a", i * size + 1, F.lit(size)))))
-    keys = classes.select("cls", bucket.alias("i", "bucket"))
+    keys = classes.select("cls", _exploded("a", F.lit(0), "i", "bucket"))
     # Written, as are the facts joined below: between two plain shuffles a busy key can be split.
-    busy = staged(keys.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1"), "minhash-busy")
+    busy = staged(_busy(keys), "minhash-busy")
+    few = keys.join(busy.filter(F.col("members") <= paired), "bucket")
+    many = keys.join(busy.filter(F.col("members") > paired), "bucket").drop("members").withColumnRenamed("bucket", "half")
+    many = many.join(classes.select("cls", "b"), "cls").select("cls", "i", _exploded("b", F.col("half"), "j", "bucket"))
+    many = staged(many.select("cls", "i", "bucket"), "minhash-tensor")
+    many = many.join(staged(_busy(many), "minhash-tensor-busy"), "bucket")
     # Most keys are alone; what is compared is joined to the few that are not.
     facts = classes.select("cls", "n", "short", "text_hash")
-    rows = staged(keys.join(busy, "bucket").join(facts, "cls").select("bucket", "i", "cls", "n", "short", "members", "text_hash"), "minhash-rows")
+    rows = staged(few.unionByName(many).join(facts, "cls").select("bucket", "i", "cls", "n", "short", "members", "text_hash"), "minhash-rows")
     blocks = F.ceil(F.col("members") / block).cast("int")
     own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
 
@@ -353,6 +364,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), _kept(F.col("id"), component).alias("kept"))
 
 
+def _exploded(side: str, half: Column, number: str, bucket: str) -> Column:
+    """Number and bucket of each key of a collection, beside half a bucket that is known already."""
+    size = 4 * ROWS
+    named = F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)), lambda k: F.xxhash64(half, k, F.substring(side, k * size + 1, F.lit(size))))
+    return F.posexplode(named).alias(number, bucket)
+
+
+def _busy(keys: DataFrame) -> DataFrame:
+    return keys.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
+
+
 def _kept(own: Column, component: Column) -> Column:
     return own.eqNullSafe(component)
 
