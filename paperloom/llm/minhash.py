@@ -3,9 +3,8 @@
 Two small collections of keys, A and B, are made of three minhashes each. A table of the banding is
 a pair (A_i, B_j), so SIDE * SIDE tables of six minhashes cost only 2 * SIDE * 3 minhash functions.
 Documents that meet in a table are candidates; candidates are confirmed on their full shingle sets.
-A bucket of a table is named by both keys. Few classes that agree in A_i are held as one bucket, where
-B keys are compared in place; more than PAIRED of them go to the buckets of their pairs (A_i, B_j), so
-that what a frequent passage brings together is parted again by the other collection.
+A bucket of a table is named by both keys, so that what a frequent passage brings together in A_i is
+parted again by the other collection. Only keys of A that two classes share are paired.
 
 Documents with equal sets form a class and are compared as one. Candidates are first taken as a star
 and a chain in each bucket, which joins most of a group with few comparisons; then all classes that
@@ -40,7 +39,7 @@ LEAST_AGREE = 57
 # Classes of a bucket that one task holds from each of two blocks.
 BLOCK = 1024
 # Classes that may agree in a key of A before they are parted by the keys of B.
-PAIRED = 256
+PAIRED = 1
 CACHE_WORDS = 150_000
 
 _rng = np.random.default_rng(20)
@@ -180,21 +179,26 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _crossing(rows: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
     """Row numbers of a bucket: each that is outside the largest component, with those of other
-    components that it may be a near-duplicate of. A pair counts in the first key of A it shares only:
-    it meets there, if it meets at all, since every key of B comes with every key of A."""
+    components that it may be a near-duplicate of. A pair counts in its first table only: that of the
+    first key of A and the first key of B that it shares."""
     _, comp, sizes = np.unique(np.array(rows.column(5).to_pylist(), "S16"), return_inverse=True, return_counts=True)
     if len(sizes) < 2:
         return
     n, short = rows.column(3).to_numpy(zero_copy_only=False), _short(rows.column(4))
     # Whole minhashes, as in the names of the buckets: bytes that agree do not mean that a pair has met.
     keys = np.frombuffer(b"".join(rows.column(7).to_pylist()), np.uint32).reshape(len(short), SIDE, ROWS)
-    i = int(rows.column(6)[0].as_py())
+    i, j = int(rows.column(6)[0].as_py()), 0
+    if "j" in rows.schema.names and rows.column("j")[0].as_py() is not None:
+        j = int(rows.column("j")[0].as_py())
+        others_keys = np.frombuffer(b"".join(rows.column("b").to_pylist()), np.uint32).reshape(len(short), SIDE, ROWS)
     largest = int(sizes.argmax())
     for r in np.flatnonzero(comp != largest).tolist():
         other = np.flatnonzero((comp != comp[r]) & ((comp == largest) | (np.arange(len(comp)) > r)))
         good = other[_agree(short[other], short[r : r + 1], n[other], n[r : r + 1])]
         if i and len(good):
             good = good[~(keys[good, :i] == keys[r, :i]).all(2).any(1)]
+        if j and len(good):
+            good = good[~(others_keys[good, :j] == others_keys[r, :j]).all(2).any(1)]
         if len(good):
             yield r, good
 
@@ -214,7 +218,7 @@ def _link(batches: Iterator[pa.RecordBatch], size: int = SHINGLE) -> Iterator[pa
     """The same rows with their texts: a link for each two components that the full sets join."""
     known = Words()
     for rows in _groups(batches):
-        codes = [shingles(t, known, size) for t in texts(rows.column(8))]
+        codes = [shingles(t, known, size) for t in texts(rows.column("text"))]
         sizes = np.array([len(c) for c in codes])
         begin = np.cumsum(sizes) - sizes
         vocabulary, flat = np.unique(np.concatenate(codes), return_inverse=True)
@@ -314,14 +318,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = classes.select("cls", _exploded("a", F.lit(0), "i", "bucket"))
     # Written, as are the facts joined below: between two plain shuffles a busy key can be split.
     busy = staged(_busy(keys), "minhash-busy")
-    few = keys.join(busy.filter(F.col("members") <= paired), "bucket")
+    few = keys.join(busy.filter(F.col("members") <= paired), "bucket").withColumn("j", F.lit(None).cast("int"))
     many = keys.join(busy.filter(F.col("members") > paired), "bucket").drop("members").withColumnRenamed("bucket", "half")
     many = many.join(classes.select("cls", "b"), "cls").select("cls", "i", _exploded("b", F.col("half"), "j", "bucket"))
-    many = staged(many.select("cls", "i", "bucket"), "minhash-tensor")
+    many = staged(many.select("cls", "i", "j", "bucket"), "minhash-tensor")
     many = many.join(staged(_busy(many), "minhash-tensor-busy"), "bucket")
     # Most keys are alone; what is compared is joined to the few that are not.
     facts = classes.select("cls", "n", "short", "text_hash")
-    rows = staged(few.unionByName(many).join(facts, "cls").select("bucket", "i", "cls", "n", "short", "members", "text_hash"), "minhash-rows")
+    rows = staged(few.unionByName(many).join(facts, "cls").select("bucket", "i", "j", "cls", "n", "short", "members", "text_hash"), "minhash-rows")
     blocks = F.ceil(F.col("members") / block).cast("int")
     own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
 
@@ -338,20 +342,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = staged(_confirm(first, pool, shingle), "minhash-links")
     roots = components(links)
 
-    placed = rows.join(roots, F.col("cls") == F.col("node"), "left").select("bucket", "i", "cls", "n", "short", "members", F.coalesce("root", "cls").alias("comp"))
+    placed = rows.join(roots, F.col("cls") == F.col("node"), "left").select("bucket", "i", "j", "cls", "n", "short", "members", F.coalesce("root", "cls").alias("comp"))
     placed = staged(placed, "minhash-placed")
     torn = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("bucket")
-    minhashes = classes.select("cls", "a")
+    minhashes = classes.select("cls", "a", "b")
     left = placed.join(staged(torn, "minhash-torn"), "bucket").join(minhashes, "cls")
     # A class goes to every pair of blocks that holds its own: one task per pair.
     pair = F.transform(F.sequence(F.lit(0), blocks - 1), lambda c: F.least(own, c).cast("long") * (1 << 31) + F.greatest(own, c))
     key = ["bucket", "blocks"]
-    across = left.select("bucket", F.explode(pair).alias("blocks"), "cls", "n", "short", "comp", "i", "a")
+    across = left.select("bucket", F.explode(pair).alias("blocks"), "cls", "n", "short", "comp", "i", "a", "j", "b")
     suspects = across.repartition(*key).sortWithinPartitions(*key).mapInArrow(_suspects, "bucket long, blocks long, cls binary")
     suspects = staged(suspects, "minhash-suspects")
     # Texts only for the few that the signatures leave open; compared where they meet.
-    facts = placed.select("cls", "n", "short", "comp", "bucket", "i")
-    open_ = suspects.join(facts, ["bucket", "cls"]).join(minhashes, "cls").join(pool, "cls").select(*key, "cls", "n", "short", "comp", "i", "a", "text")
+    facts = placed.select("cls", "n", "short", "comp", "bucket", "i", "j")
+    open_ = suspects.join(facts, ["bucket", "cls"]).join(minhashes, "cls").join(pool, "cls").select(*key, "cls", "n", "short", "comp", "i", "a", "text", "j", "b")
     more = open_.repartition(*key).sortWithinPartitions(*key).mapInArrow(lambda rows: _link(rows, shingle), "x binary, y binary").distinct()
     star = roots.filter("node != root").select(F.col("node").alias("x"), F.col("root").alias("y"))
     final = staged(components(star.unionByName(more)), "minhash-roots")
