@@ -66,17 +66,6 @@ def test_matches_all_pairs(spark, size):
     rnd.shuffle(rows)
     assert run(spark, rows, shingle=size) == brute(rows, size)
     assert run(spark, rows, shingle=size, block=3) == brute(rows, size)
-    assert run(spark, rows, shingle=size, block=3, paired=2) == brute(rows, size)
-    assert run(spark, rows, shingle=size, paired=1) == brute(rows, size)
-
-
-def test_a_passage_that_all_share_is_parted_by_pairs(spark):
-    """Texts of which half is one passage meet in keys of A by the hundred; pairs of keys part them."""
-    rnd = random.Random(8)
-    passage = [f"p{k}" for k in range(60)]
-    rows = [(n, " ".join(passage + [f"t{n}x{k}" for k in range(50)])) for n in range(300)]
-    rows += [(300 + n, edited(rnd, rows[n][1].split(), 1)) for n in range(0, 300, 10)]
-    assert run(spark, rows, paired=20, block=16) == brute(rows)
 
 
 def test_edge_rows(spark):
