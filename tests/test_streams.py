@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pandas as pd
 from conftest import rows
 from test_sources import journal_folder
 
@@ -153,3 +154,82 @@ def test_pending_approvals_do_not_depend_on_batches(spark, tmp_path):
             got = feeds.run_to_table(stream, str(tmp_path / f"o{k}"))
         assert rows(got, "proposal_id", "outcome") == want, k
         assert got.filter("proposal_id = 6").first().asked_at == at(2)
+
+
+class CountedStore:
+    """A state store in memory that counts what it is asked."""
+
+    def __init__(self):
+        self.calls, self.list, self.value, self.map, self.timers = 0, [], None, {}, set()
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            return getattr(self, f"_{name}")(*args)
+
+        if name.startswith("_"):
+            raise AttributeError(name)
+        return call
+
+    _getListState = lambda self, *_: View(self, "list")
+    _getValueState = lambda self, *_: View(self, "value")
+    _getMapState = lambda self, name, *_: View(self, "map", name)
+
+    def _registerTimer(self, at):
+        self.timers.add(at)
+
+    def _deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+class View:
+    def __init__(self, store, kind, name=None):
+        self.store, self.kind, self.name = store, kind, name
+
+    def __getattribute__(self, name):
+        if name in ("store", "kind", "name"):
+            return object.__getattribute__(self, name)
+        store, kind = self.store, self.kind
+        store.calls += 1
+        return {
+            ("list", "appendValue"): lambda v: store.list.append(v),
+            ("list", "get"): lambda: iter(store.list),
+            ("list", "put"): lambda v: setattr(store, "list", list(v)),
+            ("list", "clear"): lambda: setattr(store, "list", []),
+            ("value", "get"): lambda: store.value,
+            ("value", "update"): lambda v: setattr(store, "value", v),
+            ("value", "clear"): lambda: setattr(store, "value", None),
+            ("map", "getValue"): lambda k: store.map.get((self.name, k)),
+            ("map", "updateValue"): lambda k, v: store.map.__setitem__((self.name, k), v),
+            ("map", "removeKey"): lambda k: store.map.pop((self.name, k)),
+        }[kind, name]
+
+
+class Clock:
+    def __init__(self, at):
+        self.at = at
+
+    def getExpiryTimeInMs(self):
+        return self.at
+
+    getCurrentWatermarkInMs = getExpiryTimeInMs
+
+
+def test_proposals_share_the_calls_to_the_state():
+    store, n = CountedStore(), 1000
+    states = approvals.Deadlines(5_000_000)
+    states.init(store)
+    asks = pd.DataFrame({"name": [f"i{k}" for k in range(n)], "at": [k * 1000 for k in range(n)], "what": approvals.ASK})
+    answers = pd.DataFrame({"name": [f"i{k}" for k in range(0, n, 2)], "at": 3_000_000, "what": [k // 2 % 2 for k in range(0, n, 2)]})
+    for batch in (answers, asks):
+        assert not list(states.handleInputRows((1,), iter([batch]), Clock(0)))
+    at = []
+    while store.timers:
+        now = max(min(store.timers), 5_500)
+        store.timers = {t for t in store.timers if t > now}
+        at += list(states.handleExpiredTimer((1,), Clock(now), Clock(now)))
+    found = pd.concat(at)
+    assert len(found) == n and found["name"].is_unique and not store.list
+    assert found["outcome"].value_counts().to_dict() == {"expired": 500, "approved": 250, "rejected": 250}
+    # 25 calls for each proposal before.
+    assert store.calls < 6 * n
