@@ -233,3 +233,16 @@ def test_proposals_share_the_calls_to_the_state():
     assert found["outcome"].value_counts().to_dict() == {"expired": 500, "approved": 250, "rejected": 250}
     # 25 calls for each proposal before.
     assert store.calls < 6 * n
+
+
+def test_journals_take_two_calls_to_the_state_each():
+    store, n = CountedStore(), 200
+    growth = journals.Growth()
+    growth.init(store)
+    pieces = [(f"i{k}", at, chunk) for k in range(n) for at, chunk in ((0, "a\nb"), (3, "c\n"), (5, "d\ne\n"))]
+    out = list(growth.handleInputRows((1,), iter([pd.DataFrame(pieces, columns=["name", "at", "chunk"])]), None))
+    assert len(out) == 1 and sum(len(x) for x in out[0]["lines"]) == 4 * n
+    assert store.calls <= 2 * n + 10
+    early = pd.DataFrame([("i0", 14, "g\n"), ("i0", 9, "f\n"), ("i0", 11, "-\n-")], columns=["name", "at", "chunk"])
+    lines = [x for t in growth.handleInputRows((1,), iter([early]), None) for row in t["lines"] for x in row]
+    assert lines == ["f", "-", "-g"]
