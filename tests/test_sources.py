@@ -91,3 +91,12 @@ def test_sheets(spark, tmp_path):
     out = str(tmp_path / "out")
     sheets.write_partitioned(long, out, ["sheet"], files_per_value=3)
     assert rows(spark.read.parquet(out), "text") == [("a",), ("b",), ("c",)]
+
+
+def test_files_reach_the_decoder_in_small_batches(spark):
+    """Bad sequences of many files, none of them in an Arrow batch of 10,000 whole files."""
+    files = spark.range(300).selectExpr("id AS doc_id", "cast(concat('x', id) AS binary) || unhex('FFC7D1') AS content")
+    got = encoding.decode_text(files)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "Arrow" not in plan
+    assert {r.text for r in got.collect()} == {(b"x%d\xff\xc7\xd1" % k).decode("cp949", "replace") for k in range(300)}
