@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
@@ -14,6 +15,8 @@ from paperloom.operators.ranking import attach
 
 # Characters of the terms that one task holds at a time.
 SHARD_CHARS = 1 << 23
+# Bytes of the texts that are scanned at a time, one text at least.
+BATCH_BYTES = 1 << 20
 _HIT = "array<struct<at:int,size:int,to:string>>"
 Hit = tuple[int, int, str]
 
@@ -73,6 +76,24 @@ def term_shards(terms: DataFrame, shard_chars: int = SHARD_CHARS) -> list[list[t
     return [[tuple(r) for r in clean.filter(shard == k).collect()] for k in range(shards)]
 
 
+def bounded(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in runs of about BATCH_BYTES of a column.
+
+    An Arrow batch is up to 10,000 rows, however long; as Python texts with all their hits they are many
+    times as large.
+    """
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        begin = held = 0
+        for i, size in enumerate(sizes):
+            if i > begin and held + size > BATCH_BYTES:
+                yield batch.slice(begin, i - begin)
+                begin, held = i, 0
+            held += size
+        if begin < len(sizes):
+            yield batch.slice(begin)
+
+
 def rename_dictionary(docs: DataFrame, terms: DataFrame, case_sensitive: bool = True, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """Documents with all terms of a dictionary replaced at once, and the number ``replaced``.
 
@@ -99,7 +120,7 @@ def rename_dictionary(docs: DataFrame, terms: DataFrame, case_sensitive: bool =
         known = spark.sparkContext.broadcast(automaton(shards[0] if shards else [], case_sensitive))
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in bounded(batches):
                 yield applied(batch, [hits(known.value, t or "", case_sensitive) for t in batch.column("text").to_pylist()])
 
         return docs.select(*rest, "text").mapInArrow(whole, done)
@@ -115,7 +136,7 @@ def rename_dictionary(docs: DataFrame, terms: DataFrame, case_sensitive: bool =
     joined = attach(docs.select(*rest, "text", *key), found, ["_key", "_key2"], "left").select(*rest, "text", "_hits")
 
     def late(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             yield applied(batch, [[(h["at"], h["size"], h["to"]) for h in row or []] for row in batch.column("_hits").to_pylist()])
 
     return joined.mapInArrow(late, done)
@@ -126,7 +147,7 @@ def _part(texts: DataFrame, known, case_sensitive: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shape = pa.list_(pa.struct([("at", pa.int32()), ("size", pa.int32()), ("to", pa.string())]))
-        for batch in batches:
+        for batch in bounded(batches):
             found = [hits(known.value, t, case_sensitive) for t in batch.column("text").to_pylist()]
             rows = [[{"at": a, "size": n, "to": t} for a, n, t in f] for f in found]
             out = pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("_key2"), pa.array(rows, shape)], names=["_key", "_key2", "_hits"])

@@ -90,3 +90,16 @@ def test_dictionary_equals_replacements_in_turn(spark):
             t = t.replace(find, to)
         whole.append((t, n))
     assert apply(spark, texts, terms) == whole
+
+
+def test_texts_are_scanned_in_bounded_runs(monkeypatch):
+    import pyarrow as pa
+
+    from paperloom.operators import dictionary
+
+    monkeypatch.setattr(dictionary, "BATCH_BYTES", 10)
+    texts = ["가나", "x" * 50, None, "", "abc", "defgh", "ijk", "l"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(8)), "text": texts})
+    runs = [b.column("text").to_pylist() for b in dictionary.bounded(iter([batch, batch.slice(0, 0), batch.slice(7)]))]
+    assert sum(runs, []) == [*texts, "l"]
+    assert all(len(run) == 1 or sum(len((t or "").encode()) for t in run) <= 10 for run in runs)
