@@ -32,12 +32,13 @@ def write_partitioned(
 ) -> None:
     """Write one folder per value of ``by``.
 
-    Rows of a value are spread over ``files_per_value`` tasks, so a value with a large share of
-    the rows is neither one task nor one file. With ``keep_others`` only folders of values that occur in
+    Rows of a value are dealt to ``files_per_value`` parts, so a value with a large share of
+    the rows is neither one task nor one file. Adaptive execution cuts parts that outgrow its advisory
+    size, since a task sorts what it writes, and joins small ones; then a value has more or fewer files. With ``keep_others`` only folders of values that occur in
     ``df`` are replaced; otherwise everything below ``path`` is.
     """
     salt = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_value)).cast("int")
-    spread = df.withColumn("_salt", salt).repartition(*by, "_salt").drop("_salt")
+    spread = df.withColumn("_salt", salt).hint("rebalance", *by, "_salt").drop("_salt")
     mode = "dynamic" if keep_others else "static"
     spread.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(*by).format(fmt).save(path)
 

@@ -100,3 +100,17 @@ def test_files_reach_the_decoder_in_small_batches(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" in plan and "Arrow" not in plan
     assert {r.text for r in got.collect()} == {(b"x%d\xff\xc7\xd1" % k).decode("cp949", "replace") for k in range(300)}
+
+
+def test_large_parts_of_a_value_are_cut(spark, tmp_path):
+    """One value with more rows than a task should sort comes in more files than were asked for."""
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    cells = spark.range(0, 200_000, 1, 8).selectExpr("id AS doc_id", "'en' AS sheet", "cast(hash(id) AS string) AS text")
+    spark.conf.set(size, "100k")
+    try:
+        sheets.write_partitioned(cells, str(tmp_path / "o"), ["sheet"], files_per_value=2)
+    finally:
+        spark.conf.unset(size)
+    assert len(list((tmp_path / "o/sheet=en").glob("*.parquet"))) > 4
+    back = sheets.read_partitioned(spark, str(tmp_path / "o"), cells.schema)
+    assert back.count() == 200_000 and not back.exceptAll(cells).head(1)
