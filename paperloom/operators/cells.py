@@ -264,7 +264,8 @@ def fill_fields(fields: DataFrame, values: DataFrame) -> DataFrame:
     """
     known = fields.groupBy("doc_id", "label").agg(F.max_by("value", "field_no").alias("old_value"))
     joined = values.withColumnRenamed("value", "new_value").join(
-        known.withColumn("matched", F.lit(True)), ["doc_id", "label"], "left"
+        # Both sides grow alike, so neither is sent to every task, however small it looks.
+        known.withColumn("matched", F.lit(True)).hint("merge"), ["doc_id", "label"], "left"
     )
     diff = joined.select(
         "doc_id",
@@ -274,7 +275,7 @@ def fill_fields(fields: DataFrame, values: DataFrame) -> DataFrame:
         F.coalesce("matched", F.lit(False)).alias("matched"),
     )
     any_match = diff.groupBy("doc_id").agg(F.some("matched").alias("any_matched"))
-    return attach(diff, any_match, ["doc_id"]).select(
+    return attach(diff, any_match.hint("merge"), ["doc_id"]).select(
         "doc_id",
         "label",
         "old_value",

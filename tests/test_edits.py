@@ -174,3 +174,12 @@ def test_values_stand_in_the_slot_of_their_key(spark):
     ).selectExpr("*", "cast(null AS int) AS idx", "cast(null AS string) AS expected_text", "cast(null AS boolean) AS expected_bool")
     got = rows(cells.form_edit_results(objects, edits_), "edit_no", "status")
     assert got == [(1, "type_mismatch"), (2, "ok"), (3, "type_mismatch"), (4, "ok"), (5, "nothing_set")]
+
+
+def test_sides_that_grow_alike_are_not_sent_to_every_task(spark):
+    fields = spark.createDataFrame([(1, 0, "a", "x")], "doc_id long, field_no int, label string, value string")
+    values = spark.createDataFrame([(1, "a", "y"), (1, "b", "z")], "doc_id long, label string, value string")
+    for df in (cells.fill_fields(fields, values),):
+        df.collect()
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    assert rows(cells.fill_fields(fields, values), "label", "status") == [("a", "filled"), ("b", "unmatched")]
