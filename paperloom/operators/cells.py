@@ -46,7 +46,9 @@ def cell_edit_results(cells: DataFrame, edits: DataFrame) -> DataFrame:
     place = lambda c: F.when(is_label, F.col(f"_{c}")).when(
         F.col("mode") == "coordinate", F.col(c)
     )
-    placed = checked.join(pointed, ["doc_id", "edit_no"], "left").select(
+    # Edits grow with the cells. Sent to every task, they would leave the shuffled cells to be read
+    # by as many tasks as wrote them, whatever their size.
+    placed = checked.join(pointed.hint("merge"), ["doc_id", "edit_no"], "left").select(
         "doc_id",
         "edit_no",
         *[place(c).alias(c) for c in ("table_idx", "row", "col")],
@@ -60,7 +62,7 @@ def cell_edit_results(cells: DataFrame, edits: DataFrame) -> DataFrame:
     )
     current = cells.select(*CELL, F.col("text").alias("old_text"))
     tables = cells.select("doc_id", "table_idx").distinct().withColumn("has_table", F.lit(True))
-    joined = placed.join(current, CELL, "left").join(tables, ["doc_id", "table_idx"], "left")
+    joined = placed.join(current.hint("merge"), CELL, "left").join(tables.hint("merge"), ["doc_id", "table_idx"], "left")
     # Equal texts need no normal form; it is taken only of those that differ.
     unequal = F.col("expected_text") != F.col("old_text")
     pair = joined.withColumns(

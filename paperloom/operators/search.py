@@ -250,7 +250,8 @@ def label_targets(cells: DataFrame, requests: DataFrame) -> DataFrame:
     requests = requests.select("doc_id", "request_no", "label", "direction", "table_idx")
     asked = requests.withColumn("key", nfc(trim_ws(F.col("label"))))
     matches = (
-        asked.join(labels, ["doc_id", "key"])
+        # Requests grow with the cells: neither side is sent to every task.
+        asked.join(labels.hint("merge"), ["doc_id", "key"])
         .filter(F.col("table_idx").isNull() | (F.col("table_idx") == F.col("t")))
         .groupBy("doc_id", "request_no")
         .agg(
@@ -259,7 +260,7 @@ def label_targets(cells: DataFrame, requests: DataFrame) -> DataFrame:
         )
     )
     right = F.coalesce("direction", F.lit("right")) == "right"
-    return requests.join(matches, ["doc_id", "request_no"], "left").select(
+    return requests.join(matches.hint("merge"), ["doc_id", "request_no"], "left").select(
         "doc_id",
         "request_no",
         "label",

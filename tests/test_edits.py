@@ -179,7 +179,12 @@ def test_values_stand_in_the_slot_of_their_key(spark):
 def test_sides_that_grow_alike_are_not_sent_to_every_task(spark):
     fields = spark.createDataFrame([(1, 0, "a", "x")], "doc_id long, field_no int, label string, value string")
     values = spark.createDataFrame([(1, "a", "y"), (1, "b", "z")], "doc_id long, label string, value string")
-    for df in (cells.fill_fields(fields, values),):
+    grid = "doc_id long, table_idx int, row int, col int, row_span int, col_span int, text string"
+    table = spark.createDataFrame([(1, 0, 0, 0, 1, 1, "k"), (1, 0, 0, 1, 1, 1, "v")], grid)
+    edit = "doc_id long, edit_no int, table_idx int, row int, col int, label string, direction string, new_text string, expected_text string"
+    edits = spark.createDataFrame([(1, 1, None, None, None, "k", "right", "w", "v"), (1, 2, 0, 0, 5, None, None, "w", None)], edit)
+    for df in (cells.fill_fields(fields, values), cells.cell_edit_results(table, edits)):
         df.collect()
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
     assert rows(cells.fill_fields(fields, values), "label", "status") == [("a", "filled"), ("b", "unmatched")]
+    assert rows(cells.cell_edit_results(table, edits), "edit_no", "status") == [(1, "ok"), (2, "cell_missing")]
