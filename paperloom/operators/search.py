@@ -84,91 +84,99 @@ def top_hits(hits: DataFrame, k: int | None = None) -> DataFrame:
     return cap(hits, ["doc_id"], order, k)
 
 
-_GRAM = 4
 _SPACES = "[ \t\r\n]+"
+# Characters before and after a boundary of two words that make a key; sizes of pieces of one word.
+_BOUNDARIES = ((1, 3), (3, 1), (1, 1))
+_PIECES = (1, 2, 4, 8)
 
 
 def find_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc_id, term_id) where the document contains the whole term, ignoring case.
 
     ``terms``: term_id, term, of any length and number; outer spaces do not count, blank terms are
-    nowhere. The words inside a term, all but its first and last, are whole words of a document that
-    holds it: its two rarest ones are looked up in an index of (word, document, position) and must
-    stand at their distance. Terms of one or two words are looked up by a piece of their longest
-    word. Whatever is found is verified on the text. All steps are equi-joins, salted where a word is
-    frequent, and are the same for any number of terms.
+    nowhere. A term has keys of which every document that holds it has one at least: the longest of its
+    inner words (all but the first and last are whole words of the document) with a character on
+    either side; the boundary of its two words; pieces of its only word. They meet in an equi-join, and
+    a word counts if it and its neighbours are as in the term. What is found is verified on the text.
+    Words of documents go to the terms, so that with few terms they are never shuffled; the steps are
+    the same for any number of terms.
     """
     clean = terms.select("term_id", F.lower(F.trim("term")).alias("term")).filter("term != ''")
+    words = F.split(F.regexp_replace("term", f"^{_SPACES}|{_SPACES}\\z", ""), _SPACES)
+    split = clean.select("term_id", words.alias("_words")).filter("_words[0] != ''")
     low = docs.select("doc_id", F.lower("text").alias("_text"))
-    words = clean.withColumn("_words", F.split("term", _SPACES))
-    within = F.slice("_words", 2, F.greatest(F.size("_words") - 2, F.lit(0)))
-    long = words.filter(F.size("_words") > 2).select("term_id", F.posexplode(within).alias("at", "word"))
-    short = words.filter(F.size("_words") <= 2).select("term_id", "term")
-    found = _by_rare_words(low, long).unionByName(_by_pieces(low, short)).distinct()
+    found = _by_words(low, split).unionByName(_by_pieces(low, split)).distinct()
     # All that a document may hold is tested in one go over its text.
     asked = match(found, clean, ["term_id"]).groupBy("doc_id").agg(F.collect_list(F.struct("term_id", "term")).alias("_asked"))
-    held = let(F.col("_text"), lambda text: F.filter("_asked", lambda t: F.contains(text, t["term"])))
-    return match(low, asked, ["doc_id"]).select("doc_id", F.explode(held).alias("t")).select("doc_id", "t.term_id")
-
-
-def _by_rare_words(low: DataFrame, inner: DataFrame) -> DataFrame:
-    """Candidates (doc_id, term_id) from inner words (term_id, at, word) of terms."""
-    vocabulary = inner.select("word").distinct()
-    index = low.select("doc_id", F.posexplode(F.split("_text", _SPACES)).alias("place", "word"))
-    index = index.join(vocabulary, "word", "left_semi")
-    # Postings of a word are what it costs as an anchor; words without any rule their terms out.
-    counts = index.groupBy("word").agg(F.count("*").alias("n"))
-    ranked = inner.join(counts, "word", "left").groupBy("term_id").agg(
-        F.min(F.coalesce("n", F.lit(0))).alias("_least"),
-        F.slice(F.array_sort(F.collect_list(F.struct("n", "at", "word"))), 1, 2).alias("_rare"),
-    ).filter("_least > 0")
-
-    def starts(rank: int) -> DataFrame:
-        anchors = ranked.filter(F.size("_rare") > rank).select("term_id", F.size("_rare").alias("anchors"), F.col("_rare")[rank].alias("r"))
-        by_word = anchors.groupBy(F.col("r.word").alias("word")).agg(F.collect_list(F.struct("term_id", "anchors", F.col("r.at").alias("at"))).alias("_terms"))
-        hits = attach(index, by_word, ["word"]).select("doc_id", "place", F.explode("_terms").alias("t"))
-        return hits.select("doc_id", "t.term_id", (F.col("place") - F.col("t.at")).alias("start"), "t.anchors")
-
-    first = starts(0)
-    second = starts(1).select("doc_id", "term_id", "start").distinct()
-    both = match(first.filter("anchors = 2"), second, ["doc_id", "term_id", "start"], "left_semi")
-    return both.unionByName(first.filter("anchors = 1")).select("doc_id", "term_id")
-
-
-def _by_pieces(low: DataFrame, terms: DataFrame) -> DataFrame:
-    """Candidates (doc_id, term_id): term -> vocabulary words that can hold its longest word -> documents.
-
-    The longest word of a term lies inside one word of any document that contains the term.
-    Vocabulary words are found by a short piece of it.
+    held = let(F.lower("text"), lambda text: F.filter("_asked", lambda t: F.contains(text, t["term"])))
+    return match(docs.select("doc_id", "text"), asked, ["doc_id"]).select("doc_id", F.explode(held).alias("t")).select("doc_id", "t.term_id")
+
+
+def _placed(low: DataFrame) -> DataFrame:
+    """Words of documents with their neighbours, empty at the ends; other columns stay."""
+    words = F.coalesce(F.split("_text", _SPACES), F.array().cast("array<string>"))
+    placed = low.withColumn("_words", words).drop("_text")
+    others = [c for c in placed.columns if c != "_words"]
+    # Not the column itself: Spark would split every text once more to leave out empty arrays.
+    placed = placed.select(*others, "_words", F.posexplode(F.coalesce("_words", F.array().cast("array<string>"))).alias("_at", "_word"))
+    before, after = (F.coalesce(F.get("_words", F.col("_at") + k), F.lit("")) for k in (-1, 1))
+    return placed.select(*others, before.alias("_before"), "_word", after.alias("_after"))
+
+
+def _boundary_key(first: Column, second: Column, i: int, j: int) -> Column:
+    return F.xxhash64(F.right(first, F.lit(i)), F.left(second, F.lit(j)))
+
+
+def _word_key(before: Column, word: Column, after: Column) -> Column:
+    return F.xxhash64(F.right(before, F.lit(1)), word, F.left(after, F.lit(1)))
+
+
+def _by_words(low: DataFrame, split: DataFrame) -> DataFrame:
+    """Candidates (doc_id, term_id) of terms of two or more words."""
+    terms = split.withColumn("_n", F.size("_words")).filter("_n > 1")
+    first, second = F.get("_words", F.lit(0)), F.get("_words", F.lit(1))
+    shape = F.when(F.length(second) >= 3, "1_3").when(F.length(first) >= 3, "3_1").otherwise("1_1")
+    inner = F.transform(F.sequence(F.lit(1), F.greatest("_n", F.lit(3)) - 2), lambda i: F.struct(F.length(F.get("_words", i)).alias("n"), (-i).alias("at")))
+    terms = terms.withColumns({"_shape": F.when(F.col("_n") == 2, shape), "_at": -F.array_max(inner)["at"]})
+    before, word, after = (F.get("_words", F.col("_at") + k) for k in (-1, 0, 1))
+    key = F.when(F.col("_n") > 2, _word_key(before, word, after))
+    for i, j in _BOUNDARIES:
+        key = key.when(F.col("_shape") == f"{i}_{j}", _boundary_key(first, second, i, j))
+    # Inner words are whole, the first and last may be parts of words.
+    around = F.concat_ws(" ", F.when(F.col("_at") > 1, ""), before, word, after, F.when(F.col("_at") < F.col("_n") - 2, ""))
+    part = F.when(F.col("_n") > 2, around).otherwise(F.array_join("_words", " "))
+    keyed = terms.select("term_id", "_shape", key.alias("_key"), part.alias("_part"))
+
+    # One row, whatever the number of terms: keys that no term has are not made.
+    used = keyed.agg(*[F.coalesce(F.max(F.col("_shape") == f"{i}_{j}"), F.lit(False)).alias(f"_{i}_{j}") for i, j in _BOUNDARIES])
+    placed = _placed(low.crossJoin(F.broadcast(used)))
+    keys = [_word_key(F.col("_before"), F.col("_word"), F.col("_after"))]
+    keys += [F.when(F.col(f"_{i}_{j}"), _boundary_key(F.col("_before"), F.col("_word"), i, j)) for i, j in _BOUNDARIES]
+    placed = placed.select("doc_id", "_before", "_word", "_after", F.explode(F.array(*keys)).alias("_key"))
+    near = F.concat(F.lit(" "), "_before", F.lit(" "), "_word", F.lit(" "), "_after", F.lit(" "))
+    return placed.join(keyed.drop("_shape"), "_key").filter(F.contains(near, F.col("_part"))).select("doc_id", "term_id")
+
+
+def _by_pieces(low: DataFrame, split: DataFrame) -> DataFrame:
+    """Candidates (doc_id, term_id) of terms of one word: they lie inside one word of a document.
+
+    That word is cut into pieces end to end. A term of 2n - 1 characters holds one of n whole, which
+    begins at one of its first n.
     """
-    words = F.array_distinct(F.split("_text", _SPACES))
-    doc_words = low.select("doc_id", F.explode(words).alias("word")).filter("word != ''")
-    longest = F.array_max(
-        F.transform(F.split("term", _SPACES), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
-    )["w"]
-    anchored = terms.withColumn("anchor", longest).withColumn(
-        "gram", F.substring("anchor", 1, _GRAM)
-    )
-
-    def grams(size: int) -> Column:
-        return F.when(
-            F.length("word") >= size,
-            F.transform(
-                F.sequence(F.lit(1), F.length("word") - size + 1),
-                lambda i: F.col("word").substr(i, F.lit(size)),
-            ),
-        ).otherwise(F.array().cast("array<string>"))
-
-    vocabulary = doc_words.select("word").distinct()
-    pieces = F.array_distinct(F.flatten(F.array(*[grams(n) for n in range(1, _GRAM + 1)])))
-    term_words = (
-        vocabulary.select("word", F.explode(pieces).alias("gram"))
-        .join(anchored.select("term_id", "anchor", "gram"), "gram")
-        .filter(F.contains("word", "anchor"))
-        .groupBy("word")
-        .agg(F.collect_set("term_id").alias("_terms"))
-    )
-    return attach(doc_words, term_words, ["word"]).select("doc_id", F.explode("_terms").alias("term_id"))
+    terms = split.filter(F.size("_words") == 1).select("term_id", F.get("_words", F.lit(0)).alias("_term"))
+    size = F.lit(_PIECES[0])
+    for n in _PIECES[1:]:
+        size = F.when(F.length("_term") >= 2 * n - 1, n).otherwise(size)
+    terms = terms.withColumn("_size", size)
+    keyed = terms.select("*", F.explode(F.sequence(F.lit(1), "_size")).alias("_from"))
+    keyed = keyed.select("term_id", "_term", F.xxhash64(F.col("_term").substr(F.col("_from"), F.col("_size"))).alias("_key"))
+
+    # As many rows as there are sizes, whatever the number of terms.
+    used = terms.groupBy("_size").agg(F.min(F.length("_term")).alias("_least"))
+    words = _placed(low.crossJoin(F.broadcast(used))).filter(F.length("_word") >= F.col("_least"))
+    pieces = F.regexp_extract_all("_word", F.concat(F.lit("(?s).{"), "_size", F.lit("}")), F.lit(0))
+    placed = words.select("doc_id", "_word", F.explode(pieces).alias("_piece")).withColumn("_key", F.xxhash64("_piece"))
+    return placed.join(keyed, "_key").filter(F.contains("_word", F.col("_term"))).select("doc_id", "term_id")
 
 
 def table_pieces(cells: DataFrame, size: int = PIECE_CHARS) -> DataFrame:

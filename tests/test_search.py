@@ -80,6 +80,43 @@ def test_whole_terms(spark):
     assert search.find_terms(docs, spark.createDataFrame([], "term_id int, term string")).collect() == []
 
 
+def test_short_terms_of_every_length(spark):
+    """Terms of one to three words, cut from the texts at any place, so that every size of key occurs."""
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choices("abé한", k=rnd.choice([1, 2, 3, 6, 20, 40])))
+    texts = [(i, "".join(word() + rnd.choice([" ", "  ", "\n", "\u2028", "\t"]) for _ in range(25))) for i in range(60)]
+    cut = [t[a : a + n] for k, (_, t) in enumerate(texts) for n in (1, 2, 3, 4, 7, 8, 15, 16, 40) for a in [rnd.randrange(len(t) - n)] if k % 2]
+    terms = [(k, t) for k, t in enumerate(cut) if t.strip(" \t\n")] + [(1000, "b\n"), (1001, "\ta"), (1002, "a \u2028"), (1003, "ab " + "b" * 50), (None, "ba ab")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = search.find_terms(docs, spark.createDataFrame(terms, "term_id int, term string")).collect()
+    want = [(i, k) for i, t in texts for k, term in terms if term.strip(" ").lower() in t.lower()]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_terms_that_share_an_id(spark, docs_of):
+    """A term is found whether or not another term of its id is."""
+    terms = [(1, "alpha beta gamma delta"), (1, "no such words here"), (2, "beta gamma"), (2, "x"), (3, "gamma delta"), (3, "gamma delta")]
+    docs = docs_of("Alpha beta gamma delta x", "beta  gamma")
+    got = search.find_terms(docs, spark.createDataFrame(terms, "term_id int, term string")).collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (1, 2), (1, 2), (1, 3), (1, 3)]
+
+
+def test_words_stay_where_few_terms_are_sought(spark, tmp_path):
+    """With a small table of terms, only texts and what is found in them are shuffled."""
+    rnd = random.Random(8)
+    noise = lambda: " ".join(str(rnd.random()) for _ in range(40))
+    docs = [(i, f"some words of text {noise()} that hold term{i % 3} here") for i in range(300)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    spark.createDataFrame([(1, "that hold term1 here"), (2, "old term2"), (3, "ext")], "term_id int, term string").coalesce(1).write.parquet(f"{tmp_path}/terms")
+    # Below the size of the documents, above that of the terms.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 50_000)
+    found = search.find_terms(spark.read.parquet(f"{tmp_path}/docs"), spark.read.parquet(f"{tmp_path}/terms"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("SortMergeJoin") <= 1
+    assert found.count() == 100 + 100 + 300
+
+
 CELLS = "doc_id long, section int, table_idx int, row int, col int, row_span int, col_span int, text string"
 FORM = [
     (1, 0, 0, 0, 0, 1, 2, "신청서 양식"),
