@@ -145,16 +145,14 @@ def _by_words(low: DataFrame, split: DataFrame) -> DataFrame:
     # Inner words are whole, the first and last may be parts of words.
     around = F.concat_ws(" ", F.when(F.col("_at") > 1, ""), before, word, after, F.when(F.col("_at") < F.col("_n") - 2, ""))
     part = F.when(F.col("_n") > 2, around).otherwise(F.array_join("_words", " "))
-    keyed = terms.select("term_id", "_shape", key.alias("_key"), part.alias("_part"))
+    keyed = terms.select("term_id", key.alias("_key"), part.alias("_part"))
 
-    # One row, whatever the number of terms: keys that no term has are not made.
-    used = keyed.agg(*[F.coalesce(F.max(F.col("_shape") == f"{i}_{j}"), F.lit(False)).alias(f"_{i}_{j}") for i, j in _BOUNDARIES])
-    placed = _placed(low.crossJoin(F.broadcast(used)))
+    placed = _placed(low)
     keys = [_word_key(F.col("_before"), F.col("_word"), F.col("_after"))]
-    keys += [F.when(F.col(f"_{i}_{j}"), _boundary_key(F.col("_before"), F.col("_word"), i, j)) for i, j in _BOUNDARIES]
+    keys += [_boundary_key(F.col("_before"), F.col("_word"), i, j) for i, j in _BOUNDARIES]
     placed = placed.select("doc_id", "_before", "_word", "_after", F.explode(F.array(*keys)).alias("_key"))
     near = F.concat(F.lit(" "), "_before", F.lit(" "), "_word", F.lit(" "), "_after", F.lit(" "))
-    return placed.join(keyed.drop("_shape"), "_key").filter(F.contains(near, F.col("_part"))).select("doc_id", "term_id")
+    return placed.join(keyed, "_key").filter(F.contains(near, F.col("_part"))).select("doc_id", "term_id")
 
 
 def _by_pieces(low: DataFrame, split: DataFrame) -> DataFrame:
@@ -171,9 +169,10 @@ def _by_pieces(low: DataFrame, split: DataFrame) -> DataFrame:
     keyed = terms.select("*", F.explode(F.sequence(F.lit(1), "_size")).alias("_from"))
     keyed = keyed.select("term_id", "_term", F.xxhash64(F.col("_term").substr(F.col("_from"), F.col("_size"))).alias("_key"))
 
-    # As many rows as there are sizes, whatever the number of terms.
+    # As many rows as there are sizes, whatever the number of terms: others are not cut.
     used = terms.groupBy("_size").agg(F.min(F.length("_term")).alias("_least"))
-    words = _placed(low.crossJoin(F.broadcast(used))).filter(F.length("_word") >= F.col("_least"))
+    sized = low.withColumn("_size", F.explode(F.array(*map(F.lit, _PIECES))))
+    words = _placed(sized.join(F.broadcast(used), "_size")).filter(F.length("_word") >= F.col("_least"))
     pieces = F.regexp_extract_all("_word", F.concat(F.lit("(?s).{"), "_size", F.lit("}")), F.lit(0))
     placed = words.select("doc_id", "_word", F.explode(pieces).alias("_piece")).withColumn("_key", F.xxhash64("_piece"))
     return placed.join(keyed, "_key").filter(F.contains("_word", F.col("_term"))).select("doc_id", "term_id")
