@@ -135,7 +135,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
     if not len(labels) or labels.min() == labels.max():
         return Model(bias, *nothing)
     term, weighs = screen(rows, labels)
-    place = np.full(1 << BITS, -1, np.int64)
+    place = np.full(1 << BITS, -1, np.int32)
     place[term] = np.arange(len(term))
     kept = [at[at >= 0] for at in (place[row] for row in rows)]
     lengths = np.array([len(r) for r in kept])
@@ -167,13 +167,24 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
     return Model(float(bias), term, weight, vector.T.copy())
 
 
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (label, terms), in order and in one partition: one row, the model."""
+    held = list(batches)
+    # Views of what Arrow holds, no copies.
+    found = [np.frombuffer(x.as_buffer(), np.uint32) for batch in held for x in batch.column(1)]
+    labels = np.array([x for batch in held for x in batch.column(0).to_pylist()], np.int64)
+    model = fit(found, labels)
+    arrays = [pa.array([x.tobytes()], pa.binary()) for x in (model.term, model.weight, model.vector)]
+    yield pa.RecordBatch.from_arrays([pa.array([model.bias]), *arrays], names=["bias", "term", "weight", "vector"])
+
+
 def held_out(id_col: str = "doc_id"):
     """Whether a document never teaches: crc32 of its id as text, modulo 5, is 0 or unknown."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on at most fit_rows labelled documents that are not held out.
+    """Fit on at most fit_rows labelled documents that are not held out, in one task.
 
     Rows with a null id or label teach nothing; a document with several labels takes the largest;
     several texts under one id are several examples.
@@ -200,9 +211,13 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col:
     schema = with_fields(chosen.select("_id").schema, "_label int, _terms binary")
     # The same order whatever came in first, so that reruns give the same model; a text whose id
     # repeats adds rows, so the bound is applied to what comes back too.
-    rows = chosen.mapInArrow(run, schema).orderBy(F.xxhash64("_id", "_terms"), "_id").limit(fit_rows).select("_label", "_terms").toArrow()
-    found = [np.frombuffer(x, np.uint32) for x in rows.column("_terms").to_pylist()]
-    return fit(found, np.array(rows.column("_label").to_pylist(), np.int64))
+    rows = chosen.mapInArrow(run, schema).orderBy(F.xxhash64("_id", "_terms"), "_id").limit(fit_rows).select("_label", "_terms")
+    # The task that holds the sorted rows fits on them: only the model comes to the driver.
+    fitted = rows.mapInArrow(_fitted, "bias double, term binary, weight binary, vector binary").collect()
+    if not fitted:  # no partition, no task
+        return fit([], np.zeros(0, np.int64))
+    one = fitted[0]
+    return Model(one.bias, np.frombuffer(one.term, np.int64), np.frombuffer(one.weight), np.frombuffer(one.vector).reshape(-1, RANK))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

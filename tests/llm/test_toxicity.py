@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from paperloom.llm import toxicity
 
@@ -58,6 +59,26 @@ def test_held_out_rows_teach_nothing(spark):
     assert {r.held_out for r in toxicity.score(docs, model).withColumn("held_out", toxicity.held_out()).filter("doc_id = %d" % out[0]).collect()} == {True}
 
 
+def test_rows_fitted_on_stay_off_the_driver(spark, monkeypatch):
+    ids = range(400)
+    docs = spark.createDataFrame([(i, f"vile {'abcdefg'[i % 7]} word{'xyz'[i % 3]}" if i % 2 else f"kind {'abcdefg'[i % 7]}") for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    known = toxicity.Terms()
+    taught = [(r.doc_id, toxicity.features(r.text.encode(), known)) for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 5]
+    order = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in taught], "_id long, _terms binary").orderBy(F.xxhash64("_id", "_terms"), "_id")
+    by_id = dict(taught)
+    order = [r["_id"] for r in order.select("_id").collect()]
+    want = toxicity.fit([by_id[i] for i in order], np.array([i % 2 for i in order]))
+
+    def here(*_):
+        raise AssertionError("fitted in the driver's process")
+
+    monkeypatch.setattr(toxicity, "fit", here)
+    got = toxicity.train(docs, labels)
+    assert len(got.term) > 5 and got.bias == want.bias
+    assert all(np.array_equal(a, b) for a, b in ((got.term, want.term), (got.weight, want.weight), (got.vector, want.vector)))
+
+
 def test_edge_rows(spark, edge_docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (4, 0), (8, 0)], "doc_id long, toxic int")
     none = labels.limit(0)
