@@ -309,8 +309,9 @@ def form_edit_results(form_objects: DataFrame, edits: DataFrame) -> DataFrame:
     objects = form_objects.select(
         "doc_id", "name", F.col("idx").alias("o_idx"), "type", "value_text", "value_bool", "combo_items"
     )
+    # Edits grow with the controls, so neither side may be held whole by the driver and every task.
     found = (
-        edits.join(objects, ["doc_id", "name"])
+        edits.join(objects.hint("merge"), ["doc_id", "name"])
         .filter(F.col("idx").isNull() | (F.col("idx") == F.col("o_idx")))
         .groupBy("doc_id", "edit_no")
         .agg(
@@ -326,7 +327,7 @@ def form_edit_results(form_objects: DataFrame, edits: DataFrame) -> DataFrame:
     has_text, has_flag = F.col("set_text").isNotNull(), F.col("set_bool").isNotNull()
     wrong_slot = F.when(F.col("set_key") == "checked", has_text).otherwise(has_flag)
     return (
-        edits.join(found, ["doc_id", "edit_no"], "left")
+        edits.join(found.hint("merge"), ["doc_id", "edit_no"], "left")
         .select(
             "doc_id",
             "edit_no",

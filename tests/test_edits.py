@@ -188,3 +188,21 @@ def test_sides_that_grow_alike_are_not_sent_to_every_task(spark):
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
     assert rows(cells.fill_fields(fields, values), "label", "status") == [("a", "filled"), ("b", "unmatched")]
     assert rows(cells.cell_edit_results(table, edits), "edit_no", "status") == [(1, "ok"), (2, "cell_missing")]
+
+
+def test_form_edits_are_not_sent_to_every_task(spark):
+    objects = spark.createDataFrame(
+        [(1, 0, "a", "edit", "old", None, None), (1, 1, "a", "edit", "", None, None), (2, 0, "a", "edit", "x", None, None)],
+        "doc_id long, idx int, name string, type string, value_text string, value_bool boolean, combo_items array<string>",
+    )
+    edits_ = spark.createDataFrame(
+        [(1, 1, "a", None), (1, 2, "a", 0), (2, 1, "a", None), (2, 2, "b", None), (3, 1, "a", None)],
+        "doc_id long, edit_no int, name string, idx int",
+    ).selectExpr("*", "'text' AS set_key", "'new' AS set_text", "cast(null AS boolean) AS set_bool", "cast(null AS string) AS expected_text", "cast(null AS boolean) AS expected_bool")
+    got = cells.form_edit_results(objects, edits_)
+    assert rows(got, "doc_id", "edit_no", "old_value", "status") == [
+        (1, 1, "old", "ambiguous"), (1, 2, "old", "ok"), (2, 1, "x", "ok"), (2, 2, None, "not_found"), (3, 1, None, "not_found")
+    ]
+    got.collect()
+    # Neither the plan that was made nor the one that ran.
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
